@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: the characters that count as white space (Unicode White_Space and the four
 # ASCII separators), as a Java character class.
-SPACE = r"[\s\x0B\x1C-\x1F\x85   -     　]"
+SPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def strip(c: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,13 +32,34 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back: lineage ends here.
+    """Write ``df`` as a table to the shared folder and read it back: lineage ends here.
 
     The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a temporary folder is made. The data are files in the shared folder, so the loss
-    of an executor loses nothing.
+    laptop) a temporary folder is made. The data are compressed columns in files all executors
+    share, so the loss of an executor loses nothing. :func:`clear_cuts` removes them.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tesseral-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    path = f"{folder.rstrip('/')}/tesseral-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _cuts.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the tables that :func:`cut` wrote; DataFrames made from them can't be read any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _cuts:
+        path = jvm.org.apache.hadoop.fs.Path(_cuts.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tesseral-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+_cuts: list[str] = []
