@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.llm.conversations import ordered, verdicts
+from tesseral.llm.packing import pack
 from tesseral.llm.quality import text_types
 from tesseral.llm.tokenizer import encode
 from tesseral.session import table
@@ -25,6 +26,21 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode(table(spark, root, "documents"), "doc_id", "text").select(F.col("row").alias("doc_id"), "ids")
 
 
+def p7_packed(spark: SparkSession, root: str) -> DataFrame:
+    return pack(table(spark, root, "documents"), table(spark, root, "context_window"), "doc_id", "text", ["lang", "source"]).withColumnRenamed("row", "doc_id")
+
+
+def p7_fill(spark: SparkSession, root: str) -> DataFrame:
+    """How full the windows of each capacity are."""
+    used = p7_packed(spark, root).groupBy("window_id", "bin").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("pieces"))
+    return (
+        used.groupBy("window_id")
+        .agg(F.count("*").alias("bins"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum("pieces").alias("pieces"))
+        .join(F.broadcast(table(spark, root, "context_window")), "window_id")
+        .withColumn("filled", F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")))
+    )
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_statistics(spark, root).where("text_type <> 'prose'").select("doc_id")
 
@@ -33,7 +49,7 @@ def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
     return text_types(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "common_word")).withColumnRenamed("row", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_conversations, p6_ids, p8_found, p8_statistics)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_conversations, p6_ids, p7_packed, p7_fill, p8_found, p8_statistics)}
 ORACLES: dict[str, str] = {
     "p2_found": r"""
 WITH ev AS (
