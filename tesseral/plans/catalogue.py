@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesseral.plans import training
+from tesseral.plans import sessions, training
 
-_MODULES = [training]
+_MODULES = [training, sessions]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
