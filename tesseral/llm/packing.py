@@ -35,6 +35,8 @@ from tesseral.session import cut
 #: Documents and tokens a shard is planned for.
 SHARD_DOCS, SHARD_TOKENS = 2_000, 4_000_000
 K1, B = 1.2, 0.75
+#: A term in at least one of so many documents of a shard is a dense row of its index.
+DENSE = 16
 #: Neighbours fill a window until this share of it is left, then the largest that fits does.
 REST = 0.25
 
@@ -72,16 +74,26 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        # Terms in many of the documents as dense rows, which add up faster than lists of documents.
+        n = np.diff(self.starts)
+        often = np.flatnonzero(n * DENSE >= max(1, self.n))
+        self.dense_of = np.full(len(idf), -1)
+        self.dense_of[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n), np.float32)
+        for k, t in enumerate(often):
+            self.dense[k, self.doc[self.starts[t] : self.starts[t + 1]]] = self.weight[self.starts[t] : self.starts[t + 1]]
         self.rows: dict[int, np.ndarray] = {}
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
         if (got := self.rows.get(seed)) is None:
             q = self.terms[self.offsets[seed] : self.offsets[seed + 1]]
+            k = self.dense_of[q]
+            often, q = k[k >= 0], q[k < 0]
             lo, n = self.starts[q], self.starts[q + 1] - self.starts[q]
             ends = np.cumsum(n)
             at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            got = self.rows[seed] = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
+            got = self.rows[seed] = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32) + self.dense[often].sum(axis=0)
         return got
 
 
