@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesseral.plans import flows, sessions, training
+from tesseral.plans import flows, sessions, texts, training
 
-_MODULES = [training, sessions, flows]
+_MODULES = [training, sessions, flows, texts]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
