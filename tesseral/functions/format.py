@@ -28,17 +28,21 @@ def preview(c: Column, keep: int = 140) -> Column:
     return F.when(F.length(c) > keep, F.concat(F.substring(c, 1, keep), F.lit("…"))).otherwise(c)
 
 
+#: Counts below 10,000 in the middle between two tenths of a thousand whose binary quotient lies below it, or ties to the even tenth.
+_DOWN = [n for n in range(1050, 10_000, 100) if f"{n / 1000:.1f}" == f"{(n - 1) / 1000:.1f}"]
+
+
 def short_count(n: Column) -> Column:
-    """950, 7.1k, 12k, 1.2M: one decimal below ten of a unit, none above."""
-    k, m = n / 1e3, n / 1e6
-    return F.when(n < 1000, n.cast("string")).when(n < 10_000, F.format_string("%.1fk", k)).when(n < 1_000_000, F.format_string("%.0fk", k)).otherwise(F.format_string("%.1fM", m))
+    """950, 7.1k, 12k, 1.2M: one decimal below ten of a unit, none above; rounded as the binary quotient is."""
+    k = F.when(n.isin(_DOWN), n - 1).otherwise(n) / 1e3
+    return F.when(n.isNull(), None).when(n < 1000, n.cast("string")).when(n < 10_000, F.format_string("%.1fk", k)).when(n < 1_000_000, F.format_string("%dk", F.bround(n / 1e3).cast("bigint"))).otherwise(F.format_string("%.1fM", n / 1e6))
 
 
 def duration(sec: Column) -> Column:
     """5s, 2m05s, 1h02m."""
     s = sec.cast("bigint")
     div = lambda a, b: F.floor(a / b).cast("bigint")
-    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.format_string("%dm%02ds", div(s, 60), s % 60)).otherwise(F.format_string("%dh%02dm", div(s, 3600), div(s % 3600, 60)))
+    return F.when(s.isNull(), None).when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.format_string("%dm%02ds", div(s, 60), s % 60)).otherwise(F.format_string("%dh%02dm", div(s, 3600), div(s % 3600, 60)))
 
 
 def offset(start_us: Column, us: Column) -> Column:

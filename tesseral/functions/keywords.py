@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tesseral.functions.text import let
+
 # Fixed value: words that are no keywords.
 STOP = "about above after again always before below between could every first have having their there these those through under until where which while would should rules rule block section files file code task tasks".split()
 # Fixed value: phrases that give reasons.
@@ -22,8 +24,7 @@ def keywords(text: Column, prompt: Column | None = None, n: int = 12, least: int
 
 def hits(text: Column, words: Column) -> Column:
     """How many of the words a text contains."""
-    t = F.lower(text)
-    return F.size(F.filter(words, lambda w: t.contains(w)))
+    return let(F.lower(text), lambda t: F.size(F.filter(words, lambda w: t.contains(w))))
 
 
 def topical_score(text: Column, words: Column, named: tuple[str, ...] = ("the rule", "global rules")) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,3 +20,8 @@ def strip(c: Column) -> Column:
 def is_blank(c: Column) -> Column:
     """Empty or white space only; null for null."""
     return ~c.rlike(f"(?!{SPACE})[\\s\\S]")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often lambdas inside refer to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -139,6 +139,10 @@ ORACLES: dict[str, str] = {
     "block_cost_share": _LINES + """, x AS (SELECT doc_id, block_idx, CAST(end_line - start_line + 1 AS DOUBLE) AS lines, n_chars AS cost FROM blocks JOIN documents USING (doc_id)), e AS (SELECT *, cost * lines / sum(lines) OVER (PARTITION BY doc_id) AS exact FROM x),
 z AS (SELECT *, floor(exact) AS fl, cost - sum(floor(exact)) OVER (PARTITION BY doc_id) AS rest, row_number() OVER (PARTITION BY doc_id ORDER BY exact - floor(exact) DESC, block_idx) AS place FROM e)
 SELECT doc_id, block_idx, CAST(fl + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS tokens FROM z""",
+    "near_copies": _SHINGLES + """, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS class_id FROM n), r AS (SELECT doc_id AS d, len(s) AS n, unnest(s) AS h FROM s WHERE doc_id IN (SELECT class_id FROM c)),
+p AS (SELECT a.d AS a, b.d AS b FROM r a JOIN r b ON a.h = b.h AND a.d < b.d GROUP BY a.d, b.d HAVING count(*) / least(any_value(a.n), any_value(b.n)) >= 0.8),
+k AS (SELECT d, count(*) AS links FROM (SELECT a AS d FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
+SELECT c.doc_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN k ON k.d = c.class_id""",
     "shingle_counts": _SHINGLES + "SELECT doc_id, len(s) AS shingles FROM s",
     "backticks": r"SELECT doc_id, unnest(range(len(t))) AS place, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '`([^`\n]+)`', 1) AS t FROM documents)",
     "formats": f"""SELECT return_row, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN printf('%.1fk', n / 1e3) WHEN n < 1000000 THEN printf('%.0fk', n / 1e3) ELSE printf('%.1fM', n / 1e6) END AS tokens,
