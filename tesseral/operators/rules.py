@@ -203,5 +203,5 @@ def states(found: DataFrame, sessions: DataFrame, exercised: DataFrame) -> DataF
     rank = F.array_position(F.array(*map(F.lit, STATES)), F.col("state"))
     f = found.groupBy("session_key").agg(F.min(rank).alias("_r"), F.count("*").alias("findings"))
     x = sessions.join(f, "session_key", "left").join(exercised.select("session_key").distinct().withColumn("_e", F.lit(True)), "session_key", "left")
-    worst = F.element_at(F.array(*map(F.lit, STATES)), F.col("_r").cast("int"))
+    worst = F.when(F.col("_r").isNotNull(), F.get(F.array(*map(F.lit, STATES)), (F.col("_r") - 1).cast("int")))
     return x.select("session_key", F.coalesce(worst, F.when(F.col("_e"), "clear").otherwise("not-exercised")).alias("state"), F.coalesce("findings", F.lit(0)).alias("findings"))

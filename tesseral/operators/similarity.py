@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesseral.functions.text import let
+
 # Fixed value: words that make no shingle.
 STOP = "the and for are was with that this from have you your all any but not use into onto out".split()
 WORDS, THRESHOLD = 5, 0.8
@@ -27,9 +29,13 @@ def normal(text: Column) -> Column:
 def shingles(text: Column, words: int = WORDS) -> Column:
     """The distinct runs of so many words; words are three letters or more, without the stop words."""
     stop = F.array(*map(F.lit, STOP))
-    w = F.filter(F.regexp_extract_all(normal(text), F.lit(r"([a-z][a-z0-9-]{2,})"), F.lit(1)), lambda x: ~F.array_contains(stop, x))
-    runs = F.transform(F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - words + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(w, i, words), " "))
-    return F.array_distinct(runs)
+    kept = F.filter(F.regexp_extract_all(normal(text), F.lit(r"([a-z][a-z0-9-]{2,})"), F.lit(1)), lambda x: ~F.array_contains(stop, x))
+
+    def runs(w: Column) -> Column:
+        places = F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - words + 1)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(w, i, words), " ")))
+
+    return let(kept, runs)
 
 
 def containment(a: Column, b: Column) -> Column:

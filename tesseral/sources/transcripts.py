@@ -79,7 +79,7 @@ def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def file_stats(spark: SparkSession, paths: str | list[str], limit: int = 20 << 20) -> DataFrame:
     """(path, size_bytes, lines, sha256): lines and the first 16 digits of the hash, null above ``limit`` bytes."""
     f = spark.read.format("binaryFile").load(paths)
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"))) + F.when((F.length(text) > 0) & ~text.endswith("\n"), 1).otherwise(0)
     small = F.col("length") <= limit
     return f.select("path", F.col("length").alias("size_bytes"), F.when(small, n).alias("lines"), F.when(small, F.substring(F.sha2("content", 256), 1, 16)).alias("sha256"))
