@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -39,23 +41,37 @@ def align(pairs: DataFrame, pair: str, side: str, order: str, step: str) -> Data
     """Steps of two sequences aligned by longest matching blocks: (pair, place, kind, step_a, step_b).
 
     ``pairs`` has the steps of both sides ('a', 'b') of each pair. Blocks are found recursively
-    over the whole two sequences, so a pair is one group; it holds the steps of two sessions.
+    over the whole two sequences, so a pair is worked at once; sorted partitions are streamed, and
+    a task holds one pair's steps.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[pair].iloc[0]
-        a, b = (pdf[pdf[side] == s].sort_values(order)[step].tolist() for s in "ab")
-        out = []
+    def steps_of(name: Any, a: list[str], b: list[str]) -> Iterator[tuple]:
+        place = 0
         for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-            n = max(i2 - i1, j2 - j1)
-            for k in range(n):
+            for k in range(max(i2 - i1, j2 - j1)):
                 x, y = (a[i1 + k] if i1 + k < i2 else None), (b[j1 + k] if j1 + k < j2 else None)
                 kind = "match" if tag == "equal" else "changed" if x is not None and y is not None else "removed" if y is None else "added"
-                out.append((name, len(out), kind, x, y))
-        return pd.DataFrame(out, columns=[pair, "place", "kind", "step_a", "step_b"])
-
+                yield name, place, kind, x, y
+                place += 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sides, out = None, {"a": [], "b": []}, []
+        for batch in batches:
+            for name, side_, step_ in batch.itertuples(index=False):
+                if name != now:
+                    if now is not None:
+                        out.extend(steps_of(now, sides["a"], sides["b"]))
+                    now, sides = name, {"a": [], "b": []}
+                sides[side_].append(step_)
+            yield pd.DataFrame(out, columns=names)
+            out = []
+        if now is not None:
+            yield pd.DataFrame(list(steps_of(now, sides["a"], sides["b"])), columns=names)
+
+    names = [pair, "place", "kind", "step_a", "step_b"]
     t = dict(pairs.dtypes)[pair]
-    return pairs.select(pair, side, order, step).groupBy(pair).applyInPandas(run, f"{pair} {t}, place int, kind string, step_a string, step_b string")
+    rows = pairs.select(pair, side, order, step).repartition(pair).sortWithinPartitions(pair, side, order).select(pair, side, step)
+    return rows.mapInPandas(run, f"{pair} {t}, place int, kind string, step_a string, step_b string")
 
 
 def union_first_wins(parts: list[DataFrame], keys: list[str]) -> DataFrame:

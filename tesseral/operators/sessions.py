@@ -61,11 +61,14 @@ def count_of(v: Column, path: str) -> Column:
     return F.coalesce(F.when(bit == 8, F.try_variant_get(v, f"$.{path}", "boolean").cast("bigint")).when(bit == 1, F.try_variant_get(v, f"$.{path}", "bigint")).when(bit == 2, F.try_variant_get(v, f"$.{path}", "double").cast("bigint")), F.lit(0).cast("bigint"))
 
 
-def usage_series(df: DataFrame, session: str, order: str, request: str, usage: str) -> DataFrame:
-    """One row a request with its token counts: the first row of a request id in a session; rows without an id all stand."""
-    rows = df.where(F.col(usage).isNotNull()).select(session, order, F.col(request).alias("request_id"), *(count_of(F.col(usage), p).alias(n) for n, p in USAGE.items()))
+def usage_series(df: DataFrame, session: str, order: str, request: str, usage: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a request with its token counts: the first row of a request id in a session; rows without an id all stand.
+
+    Columns to ``carry`` come along, so that nothing need be joined back.
+    """
+    rows = df.where(F.col(usage).isNotNull()).select(session, order, *carry, F.col(request).alias("request_id"), *(count_of(F.col(usage), p).alias(n) for n, p in USAGE.items()))
     key = F.coalesce(F.concat(F.lit("="), "request_id"), F.concat(F.lit("#"), F.col(order).cast("string")))
-    kept = F.struct(order, "request_id", *USAGE)
+    kept = F.struct(order, "request_id", *USAGE, *carry)
     return rows.groupBy(session, key.alias("_key")).agg(F.min(kept).alias("_k")).select(session, "_k.*")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions.text import let
+from tesseral.session import cut
 
 # Fixed value: words that make no shingle.
 STOP = "the and for are was with that this from have you your all any but not use into onto out".split()
@@ -53,6 +54,7 @@ def classes(df: DataFrame, doc: str, text: str) -> DataFrame:
 def similar_pairs(reps: DataFrame, doc: str, text: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, shared, similarity): every pair of texts that reaches the containment; doc_a has fewer shingles."""
     sets = reps.select(F.col(doc).alias("d"), F.transform(shingles(F.col(text), words), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0).withColumn("n", F.size("s"))
+    sets = cut(sets)  # read by each step below
     all_ = sets.select("d", "n", F.explode("s").alias("h"))
     often = all_.groupBy("h").agg(F.count("*").alias("df"))
     # Rarest first; the prefix that any partner must share one shingle of.

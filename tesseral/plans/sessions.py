@@ -30,9 +30,9 @@ def turned(spark: SparkSession, root: str) -> DataFrame:
     return sessions.split_turns(tr.prompts(events(spark, root)), compactions(spark, root))
 
 
-def _series(ev: DataFrame) -> DataFrame:
+def _series(ev: DataFrame, *carry: str) -> DataFrame:
     rows = ev.withColumn("usage", F.try_variant_get("v", "$.usage", "variant"))
-    return sessions.usage_series(rows.where(F.schema_of_variant("usage").startswith("OBJECT")), "session_key", "event_idx", "request_id", "usage")
+    return sessions.usage_series(rows.where(F.schema_of_variant("usage").startswith("OBJECT")), "session_key", "event_idx", "request_id", "usage", carry)
 
 
 def items(ev: DataFrame) -> DataFrame:
@@ -102,15 +102,12 @@ def usage_session_totals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def turn_usage_totals(spark: SparkSession, root: str) -> DataFrame:
-    t = turned(spark, root)
-    s = _series(t).join(t.select("session_key", "event_idx", "turn_idx"), ["session_key", "event_idx"])
-    return sessions.usage_totals(s, ["session_key", "turn_idx"])
+    return sessions.usage_totals(_series(turned(spark, root), "turn_idx"), ["session_key", "turn_idx"])
 
 
 def usage_session_and_turn(spark: SparkSession, root: str) -> DataFrame:
     """Both grains in one pass."""
-    t = turned(spark, root)
-    s = _series(t).join(t.select("session_key", "event_idx", "turn_idx"), ["session_key", "event_idx"]).where("turn_idx is not null")
+    s = _series(turned(spark, root), "turn_idx").where("turn_idx is not null")
     return s.groupingSets([["session_key"], ["session_key", "turn_idx"]], "session_key", "turn_idx").agg(F.grouping("turn_idx").cast("int").alias("is_session"), F.count("*").alias("requests"), F.sum("input").alias("input"), F.sum("output").alias("output"))
 
 
