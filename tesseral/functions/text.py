@@ -25,3 +25,9 @@ def is_blank(c: Column) -> Column:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once a row, however often lambdas inside refer to it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def iso_micros(ts: Column) -> Column:
+    """An ISO time as microseconds since 1970; without a zone it means UTC, whatever the session's zone; null if unreadable."""
+    bare = ts.contains(":") & ~ts.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})\s*$")
+    return F.unix_micros(F.try_to_timestamp(F.when(bare, F.concat(ts, F.lit("Z"))).otherwise(ts)))

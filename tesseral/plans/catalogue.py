@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesseral.plans import flows, reports, sessions, texts, training
+from tesseral.plans import flows, reports, sessions, streams, texts, training
 
-_MODULES = [training, sessions, flows, texts, reports]
+_MODULES = [training, sessions, flows, texts, reports, streams]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

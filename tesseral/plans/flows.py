@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesseral.functions.text import iso_micros
 from tesseral.functions.messages import AGENT_TOOLS
 from tesseral.operators import agents, compare, intervals
 from tesseral.operators.sessions import in_order
@@ -50,7 +51,7 @@ def undelivered_points(spark: SparkSession, root: str) -> DataFrame:
 
 def instruction_changes(spark: SparkSession, root: str) -> DataFrame:
     loads, comp = tr.hook_facts(table(spark, root, "hook_record"))
-    us = F.unix_micros(F.try_to_timestamp("ts")).alias("us")
+    us = iso_micros(F.col("ts")).alias("us")
     a = loads.where("path is not null").select(F.col("session_id").alias("session_key"), F.col("path").alias("key"), us, F.col("load_reason").alias("reason"))
     b = comp.select(F.col("session_id").alias("session_key"), F.lit(None).cast("string").alias("key"), us, F.lit(None).cast("string").alias("reason"))
     return a.unionByName(b).where("session_key is not null and us is not null")
@@ -63,12 +64,12 @@ def residency_asof(spark: SparkSession, root: str) -> DataFrame:
 
 def spawns(spark: SparkSession, root: str) -> DataFrame:
     c = calls(spark, root).where(F.col("name").isin(*AGENT_TOOLS))
-    return c.select("session_key", "event_idx", F.col("id").alias("spawn"), F.unix_micros(F.try_to_timestamp("ts")).alias("spawn_us"), F.get_json_object("input", "$.description").alias("description"), F.get_json_object("input", "$.subagent_type").alias("subagent_type"))
+    return c.select("session_key", "event_idx", F.col("id").alias("spawn"), iso_micros(F.col("ts")).alias("spawn_us"), F.get_json_object("input", "$.description").alias("description"), F.get_json_object("input", "$.subagent_type").alias("subagent_type"))
 
 
 def reports(spark: SparkSession, root: str) -> DataFrame:
     r = table(spark, root, "agent_return")
-    return r.select("session_key", "return_row", "task_id", "tool_use_id", "status", "summary", "subagent_tokens", "tool_uses", "duration_ms", F.unix_micros(F.try_to_timestamp("ts")).alias("return_us"))
+    return r.select("session_key", "return_row", "task_id", "tool_use_id", "status", "summary", "subagent_tokens", "tool_uses", "duration_ms", iso_micros(F.col("ts")).alias("return_us"))
 
 
 def spawn_return_pairs(spark: SparkSession, root: str) -> DataFrame:
@@ -136,7 +137,7 @@ def timeline_rows(spark: SparkSession, root: str) -> DataFrame:
 def timeline_markers(spark: SparkSession, root: str) -> DataFrame:
     """Events with the compactions spliced in at their time."""
     rows = events(spark, root).select("session_key", "event_idx", "us", F.lit("event").alias("kind"))
-    m = table(spark, root, "hook_record").where("event in ('PreCompact', 'PostCompact') and session_id is not null").select(F.col("session_id").alias("session_key"), F.col("hook_row").alias("mark"), F.unix_micros(F.try_to_timestamp("ts")).alias("us"), F.lit("compaction").alias("kind"))
+    m = table(spark, root, "hook_record").where("event in ('PreCompact', 'PostCompact') and session_id is not null").select(F.col("session_id").alias("session_key"), F.col("hook_row").alias("mark"), iso_micros(F.col("ts")).alias("us"), F.lit("compaction").alias("kind"))
     out = intervals.insert_markers(rows, m, "session_key", "event_idx", "us")
     return out.select("session_key", "place", "kind", "event_idx", "mark", "us")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesseral.functions.text import iso_micros
 from tesseral.functions.variant import text_at
 from tesseral.operators import allocate, sessions
 from tesseral.plans.common import EVENTS, NAMES, TURNS, USAGE
@@ -23,7 +24,7 @@ def events(spark: SparkSession, root: str) -> DataFrame:
 
 def compactions(spark: SparkSession, root: str) -> DataFrame:
     log = tr.hook_facts(table(spark, root, "hook_record"))[1]
-    return log.where("session_id is not null").select(F.col("session_id").alias("session_key"), F.unix_micros(F.try_to_timestamp("ts")).alias("us"))
+    return log.where("session_id is not null").select(F.col("session_id").alias("session_key"), iso_micros(F.col("ts")).alias("us"))
 
 
 def turned(spark: SparkSession, root: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions.messages import items, prompt_text, user_text
-from tesseral.functions.text import strip
+from tesseral.functions.text import iso_micros, strip
 from tesseral.functions.variant import parse_object
 
 LINE_END = r"\r\n|\n|\r"
@@ -54,7 +54,7 @@ def events(delivered: DataFrame) -> DataFrame:
     """One parsed row an event: columns of the transcript, time in microseconds, message ``v`` and its items."""
     one = first_copies(delivered, ["session_key", "event_idx"], ["arrived_at", "line_id"]) if "arrived_at" in delivered.columns else delivered
     cols = ["session_key", "event_idx", "type", "ts", "is_meta", "session_id", "git_branch", "cwd", "version", "request_id", "attachment"]
-    return one.select(*cols, F.unix_micros(F.try_to_timestamp("ts")).alias("us"), parse_object(F.col("message")).alias("v")).withColumn("items", items(F.col("v")))
+    return one.select(*cols, iso_micros(F.col("ts")).alias("us"), parse_object(F.col("message")).alias("v")).withColumn("items", items(F.col("v")))
 
 
 def prompts(ev: DataFrame) -> DataFrame:
