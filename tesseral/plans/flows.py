@@ -144,7 +144,7 @@ def timeline_markers(spark: SparkSession, root: str) -> DataFrame:
 
 def context_first_wins(spark: SparkSession, root: str) -> DataFrame:
     """The files a session knew, from attachments, loads and reads, each once by the source of highest priority."""
-    a = tr.attachments(events(spark, root)).where("path is not null and kind = 'nested_memory'").select("session_key", "path", F.col("event_idx").alias("seq"), F.lit("attachment").alias("source"))
+    a = tr.attachments(events(spark, root, "attachment")).where("path is not null and kind = 'nested_memory'").select("session_key", "path", F.col("event_idx").alias("seq"), F.lit("attachment").alias("source"))
     h = table(spark, root, "hook_record").where("event = 'InstructionsLoaded' and path is not null and session_id is not null").select(F.col("session_id").alias("session_key"), "path", F.col("hook_row").alias("seq"), F.lit("load").alias("source"))
     r = calls(spark, root).where("name = 'Read'").select("session_key", F.get_json_object("input", "$.file_path").alias("path"), F.col("call_row").alias("seq"), F.lit("read").alias("source")).where("path is not null")
     return compare.union_first_wins([a, h, r], ["session_key", "path"]).select("session_key", "path", "priority", "seq", "source")
@@ -170,7 +170,7 @@ def path_presence(spark: SparkSession, root: str) -> DataFrame:
 
 def session_pairs(spark: SparkSession, root: str) -> DataFrame:
     """Each session with the next of its branch."""
-    s = events(spark, root).groupBy("session_key").agg(F.min_by("git_branch", F.when(F.col("git_branch").isNotNull(), F.col("event_idx"))).alias("git_branch"))
+    s = events(spark, root, "git_branch").groupBy("session_key").agg(F.min_by("git_branch", F.when(F.col("git_branch").isNotNull(), F.col("event_idx"))).alias("git_branch"))
     return s.withColumn("other", F.lead("session_key").over(Window.partitionBy("git_branch").orderBy("session_key"))).where("other is not null and git_branch is not null").select("session_key", "other")
 
 

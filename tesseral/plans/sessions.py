@@ -18,8 +18,8 @@ from tesseral.sources import transcripts as tr
 CLIP = 600
 
 
-def events(spark: SparkSession, root: str) -> DataFrame:
-    return tr.events(table(spark, root, "transcript_event"))
+def events(spark: SparkSession, root: str, *keep: str) -> DataFrame:
+    return tr.events(table(spark, root, "transcript_event"), keep)
 
 
 def compactions(spark: SparkSession, root: str) -> DataFrame:
@@ -32,8 +32,7 @@ def turned(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _series(ev: DataFrame, *carry: str) -> DataFrame:
-    rows = ev.withColumn("usage", F.try_variant_get("v", "$.usage", "variant"))
-    return sessions.usage_series(rows.where(F.schema_of_variant("usage").startswith("OBJECT")), "session_key", "event_idx", "request_id", "usage", carry)
+    return sessions.usage_series(ev.where(F.schema_of_variant("usage").startswith("OBJECT")), "session_key", "event_idx", "request_id", "usage", carry)
 
 
 def items(ev: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def first_event_at_or_after(spark: SparkSession, root: str) -> DataFrame:
 
 
 def session_summary(spark: SparkSession, root: str) -> DataFrame:
-    ev = tr.prompts(events(spark, root))
+    ev = tr.prompts(events(spark, root, "session_id", "git_branch", "cwd", "version"))
     firsts = {c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("event_idx"))).alias(c) for c in ("session_id", "git_branch", "cwd", "version")}
     us = lambda f: f("us", F.when(F.col("us").isNotNull(), F.col("event_idx")))
     a = ev.groupBy("session_key").agg(
@@ -170,11 +169,11 @@ def latest_instructions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def attachments(spark: SparkSession, root: str) -> DataFrame:
-    return tr.attachments(events(spark, root)).select("session_key", "event_idx", "kind", "path", "count", "drift", F.length("content").alias("chars"))
+    return tr.attachments(events(spark, root, "attachment")).select("session_key", "event_idx", "kind", "path", "count", "drift", F.length("content").alias("chars"))
 
 
 def listed_names(spark: SparkSession, root: str) -> DataFrame:
-    a = tr.attachments(events(spark, root)).where("kind = 'skill_listing'")
+    a = tr.attachments(events(spark, root, "attachment")).where("kind = 'skill_listing'")
     return a.select("session_key", "event_idx", F.posexplode(tr.listed_names(F.col("content"))).alias("place", "name"))
 
 

@@ -50,11 +50,23 @@ def first_copies(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_k")).select(*keys, *(f"_k.{c}" for c in [*order, *rest]))
 
 
-def events(delivered: DataFrame) -> DataFrame:
-    """One parsed row an event: columns of the transcript, time in microseconds, message ``v`` and its items."""
-    one = first_copies(delivered, ["session_key", "event_idx"], ["arrived_at", "line_id"]) if "arrived_at" in delivered.columns else delivered
-    cols = ["session_key", "event_idx", "type", "ts", "is_meta", "session_id", "git_branch", "cwd", "version", "request_id", "attachment"]
-    return one.select(*cols, iso_micros(F.col("ts")).alias("us"), parse_object(F.col("message")).alias("v")).withColumn("items", items(F.col("v")))
+EVENT_COLUMNS = ("session_id", "git_branch", "cwd", "version", "attachment")
+
+
+def events(delivered: DataFrame, keep: tuple[str, ...] = EVENT_COLUMNS) -> DataFrame:
+    """One parsed row an event: time in microseconds, message ``v``, its usage and its items.
+
+    Of the columns that not every operator needs those to ``keep`` are carried; the others are
+    neither read nor shuffled. The usage stands beside the message, so that operators on usage
+    leave the message behind before they sort.
+    """
+    cols = ["session_key", "event_idx", "type", "ts", "is_meta", "request_id", *keep]
+    copies = [c for c in ("arrived_at", "line_id") if c in delivered.columns]
+    one = delivered.select(*cols, "message", *copies)
+    one = first_copies(one, ["session_key", "event_idx"], copies) if copies else one
+    v = parse_object(F.col("message")).alias("v")
+    parsed = one.select(*cols, iso_micros(F.col("ts")).alias("us"), v)
+    return parsed.withColumns({"items": items(F.col("v")), "usage": F.try_variant_get("v", "$.usage", "variant")})
 
 
 def prompts(ev: DataFrame) -> DataFrame:
