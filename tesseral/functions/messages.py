@@ -65,3 +65,13 @@ def notification(text: Column) -> Column:
     plain = [strip(get(t)).alias(t.replace("-", "_")) for t in NOTIFICATION_FIELDS[:5]]
     numbers = [strip(get(t)).try_cast("bigint").alias(t) for t in NOTIFICATION_FIELDS[5:]]
     return F.when(strip(text).startswith(NOTIFICATION), F.struct(*plain, *numbers))
+
+
+def mentions_command(name: Column, prompt: Column) -> Column:
+    """Whether a prompt calls ``/name``: not inside a path or a longer word, in any letter case."""
+    return F.rlike(prompt, F.concat(F.lit(r"(?i)(?<![\w./:-])/\Q"), name, F.lit(r"\E(?![\w:-])")))
+
+
+def wrapper_name(text: Column) -> Column:
+    """The command a wrapper names, lower case and without its slash; null if there is none."""
+    return F.nullif(F.lower(F.regexp_replace(strip(F.regexp_extract(text, NAME_TAG, 1)), "^/", "")), F.lit(""))

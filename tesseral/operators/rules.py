@@ -140,6 +140,39 @@ def load_checks(data: dict[str, Any]) -> tuple[list[dict[str, Any]], list[tuple[
     return good, bad
 
 
+# How a text forbids something, and what in backticks looks like code or a glob.
+FORBIDS = re.compile(r"\b(?:never|don't|do not|avoid|must not|no longer)\b[^.\n]{0,40}?`([A-Za-z_][A-Za-z0-9_.]{2,}(?:\(\))?)`", re.I)
+GLOB = re.compile(r"`(\*{1,2}[^`\s]*\.\w+|[\w*/.-]+\.\w+)`")
+CODE_SHAPED = re.compile(r"[A-Z_.]|\(\)$")
+#: Checks taken from one text at most: a guess is kept small.
+FALLBACK = 5
+
+
+def fallback_checks(title: str, content: str | None) -> list[dict[str, Any]]:
+    """Checks guessed from a text that forbids code by name; of low confidence, for code files only."""
+    text = content or ""
+    globs = [g for g in GLOB.findall(text) if "*" in g or g[0] == "."] or sorted(f"**/*{e}" for e in HASH_EXT + C_EXT)
+    names = {n.lower(): n for n in reversed(FORBIDS.findall(text)) if CODE_SHAPED.search(n)}
+    first = sorted(names.values(), key=text.index)[:FALLBACK]
+    return [
+        {"id": "fallback-" + re.sub("[^a-z0-9]+", "-", n.lower()).strip("-"), "rule_ref": title, "rule_text": text.strip()[:200], "kind": "forbidden_pattern", "pattern": rf"\b{re.escape(n.rstrip('()'))}\b", "applies_to": globs, "confidence": "low"} for n in first
+    ]
+
+
+def bind(checks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(doc, block_idx, check_id, stale): checks (doc, check_id, rule_ref, rule_key) with the block their reference names.
+
+    A reference names a block by its heading, either containing the other, or by a line inside it. A
+    check is stale if its key is not the block's any more. Headings are compared inside a document only.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    ref, title = flat(F.col("rule_ref")), flat(F.col("title"))
+    line = F.regexp_extract("rule_ref", r"(\d+)\s*$", 1).try_cast("int")
+    named = (title != "") & (ref != "") & (ref.contains(title) | title.contains(ref))
+    j = checks.join(blocks.withColumnRenamed("rule_key", "_key"), "doc").where(named | line.between(F.col("start_line"), F.col("end_line")))
+    return j.select("doc", "block_idx", "check_id", (F.col("rule_key").isNotNull() & (F.col("rule_key") != F.col("_key"))).alias("stale"))
+
+
 def written_files(calls: DataFrame) -> DataFrame:
     """(session_key, path, first, text): what a session wrote into each file, its pieces in order."""
     j = lambda k: F.get_json_object("input", f"$.{k}")

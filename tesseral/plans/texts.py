@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesseral.functions import format as fmt
 from tesseral.functions import keywords as kw
 from tesseral.operators import compare, rules, similarity
+from tesseral.plans.common import strip
 from tesseral.plans.flows import calls
 from tesseral.plans.sessions import prompts
 from tesseral.session import table
@@ -136,6 +137,11 @@ s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(ran
 _CALLS = "WITH c AS (SELECT * FROM tool_call QUALIFY row_number() OVER (PARTITION BY session_key, event_idx, item_idx ORDER BY arrived_at, call_row) = 1)"
 _SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 ORACLES: dict[str, str] = {
+    "markdown_blocks": _LINES + f""", body AS (SELECT b.doc_id, b.block_idx, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n > start_line), '')")} AS content FROM b JOIN blocks k ON k.doc_id = b.doc_id AND k.block_idx = b.block_idx GROUP BY 1, 2)
+SELECT k.doc_id, k.block_idx, title, level, start_line, end_line, length(content) AS chars,
+  CASE WHEN contains(lower(title), 'rules') AND contains(lower(title), 'global') THEN 'overview' WHEN contains(lower(title), 'skill') OR contains(lower(content), 'trigger:') OR regexp_matches(content, '`/[a-z]+`') THEN 'skill'
+    WHEN regexp_matches(content, '(?i)\\brule:\\b') OR regexp_matches(lower(content), 'always|never|must') THEN 'rule' WHEN contains(lower(content), 'see ') OR contains(content, '@') OR contains(content, '.md)') THEN 'reference' ELSE 'instruction' END AS kind
+FROM blocks k JOIN body d ON d.doc_id = k.doc_id AND d.block_idx = k.block_idx""",
     "block_cost_share": _LINES + """, x AS (SELECT doc_id, block_idx, CAST(end_line - start_line + 1 AS DOUBLE) AS lines, n_chars AS cost FROM blocks JOIN documents USING (doc_id)), e AS (SELECT *, cost * lines / sum(lines) OVER (PARTITION BY doc_id) AS exact FROM x),
 z AS (SELECT *, floor(exact) AS fl, cost - sum(floor(exact)) OVER (PARTITION BY doc_id) AS rest, row_number() OVER (PARTITION BY doc_id ORDER BY exact - floor(exact) DESC, block_idx) AS place FROM e)
 SELECT doc_id, block_idx, CAST(fl + CASE WHEN place <= rest THEN 1 ELSE 0 END AS BIGINT) AS tokens FROM z""",

@@ -52,6 +52,31 @@ def resolve(refs: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
     return x.groupBy(*refs.columns).agg(F.min(F.struct("_r", "path"))["path"].alias("path"))
 
 
+def units(files: DataFrame, folder: str) -> DataFrame:
+    """(name, path): the units of a folder, ``<name>.md`` or ``<name>/SKILL.md``; a file wins over a folder of its name."""
+    inside = F.regexp_extract("path", "^" + _quoted(folder.rstrip("/") + "/") + r"([^/]+?)(?:\.md|/SKILL\.md)$", 1)
+    x = files.select(inside.alias("name"), "path").where("name <> ''")
+    return x.groupBy("name").agg(F.min(F.struct(F.col("path").endswith("/SKILL.md").alias("_s"), "path"))["path"].alias("path"))
+
+
+def newest(files: DataFrame, pattern: str) -> DataFrame:
+    """(key, path): of the files whose path matches, the one modified last for each first group of the pattern."""
+    x = files.select(F.regexp_extract("path", pattern, 1).alias("key"), "path", "modified").where("key <> ''")
+    return x.groupBy("key").agg(F.max(F.struct("modified", "path"))["path"].alias("path"))
+
+
+def sidecars(documents: DataFrame, files: DataFrame, suffix: str = ".checks.json") -> DataFrame:
+    """(path, sidecar): the file of checks beside each document, by its full name first, then by its stem; null if none."""
+    names = F.array(F.struct(F.lit(0).alias("_r"), F.concat("path", F.lit(suffix)).alias("sidecar")), F.struct(F.lit(1).alias("_r"), F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit(suffix)).alias("sidecar")))
+    tries = documents.select("path", F.explode(names).alias("_t")).select("path", "_t.*")
+    hit = tries.join(files.select(F.col("path").alias("sidecar")).distinct(), "sidecar", "left_semi").groupBy("path").agg(F.min(F.struct("_r", "sidecar"))["sidecar"].alias("sidecar"))
+    return documents.select("path").join(hit, "path", "left")
+
+
+def _quoted(text: str) -> str:
+    return "\\Q" + text + "\\E"
+
+
 def block_kind(title: Column, content: Column) -> Column:
     """overview, skill, rule, reference or instruction; the first that holds."""
     t, c = F.lower(title), F.lower(content)

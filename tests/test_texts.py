@@ -101,3 +101,31 @@ def test_findings_and_states(spark):
     assert sorted((r["session_key"], r["check_id"], r["path"], r["line"]) for r in f.collect()) == [("s", "b", "(shell)", 1), ("s", "c", "a.py", 1)]
     used = rules.written_files(calls).select("session_key").union(rules.shell_commands(calls).select("session_key"))
     assert {r["session_key"]: (r["state"], r["findings"]) for r in rules.states(f, calls.select("session_key").distinct(), used).collect()} == {"s": ("violated", 2), "t": ("clear", 0), "u": ("not-exercised", 0)}
+
+
+def test_fallback_and_binding(spark):
+    got = rules.fallback_checks("T", "Never call `os.system` in `*.py`. Avoid `Foo()`; do not use `plain`. Never call `os.system` again.")
+    assert [(c["id"], c["applies_to"]) for c in got] == [("fallback-os-system", ["*.py"]), ("fallback-foo", ["*.py"])]
+    assert rules.fallback_checks("T", None) == []
+    blocks = spark.createDataFrame([(1, 0, "Code Style", 1, 5, "k0"), (1, 1, "Tests", 6, 9, "k1"), (2, 0, "Tests", 1, 2, "k2")], "doc int, block_idx int, title string, start_line int, end_line int, rule_key string")
+    checks = spark.createDataFrame([(1, "a", "code-style section", "k0"), (1, "b", "line 7", "old"), (1, "c", "nothing", None)], "doc int, check_id string, rule_ref string, rule_key string")
+    assert sorted((r["check_id"], r["block_idx"], r["stale"]) for r in rules.bind(checks, blocks).collect()) == [("a", 0, False), ("b", 1, True)]
+
+
+def test_listings(spark):
+    import datetime as dt
+
+    t = lambda d: dt.datetime(2024, 1, d)
+    files = spark.createDataFrame([("r/a.md", t(1)), ("r/a/SKILL.md", t(1)), ("r/b/SKILL.md", t(1)), ("r/b/x.md", t(1)), ("p/x/1/s.md", t(2)), ("p/x/2/s.md", t(3)), ("r/a.checks.json", t(1)), ("r/b/x.md.checks.json", t(1))], "path string, modified timestamp")
+    assert sorted(map(tuple, docs.units(files, "r/").collect())) == [("a", "r/a.md"), ("b", "r/b/SKILL.md")]
+    assert [tuple(r) for r in docs.newest(files, r"^p/([^/]+)/[^/]+/s\.md$").collect()] == [("x", "p/x/2/s.md")]
+    d = spark.createDataFrame([("r/a.md",), ("r/b/x.md",), ("r/none.md",)], "path string")
+    assert {r["path"]: r["sidecar"] for r in docs.sidecars(d, files).collect()} == {"r/a.md": "r/a.checks.json", "r/b/x.md": "r/b/x.md.checks.json", "r/none.md": None}
+
+
+def test_commands_in_prompts(spark):
+    from tesseral.functions.messages import mentions_command, wrapper_name
+
+    df = spark.createDataFrame([("run", "please /RUN it"), ("run", "a/run"), ("run", "/runner"), ("a.b", "/a.b"), ("a.b", "/axb")], "n string, p string")
+    assert [r[0] for r in df.select(mentions_command(F.col("n"), F.col("p"))).collect()] == [True, False, False, True, False]
+    assert one(spark, wrapper_name(F.col("t")), t="<command-name> /Deploy </command-name>") == "deploy"
