@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The closed vocabulary of checks, what each needs, and the marker that suppresses one.
@@ -28,8 +28,6 @@ STATES = ["violated", "acknowledged", "unclear", "clear", "not-exercised", "not-
 HASH_EXT = ".py .sh .bash .zsh .rb .yml .yaml .toml .cfg .ini .pl .r".split()
 C_EXT = ".ts .tsx .js .jsx .mjs .cjs .mts .cts .go .rs .java .kt .swift .c .h .cc .cpp .hpp .cs .m .mm .php .scala .dart .css .scss .less .sass .vue .svelte .json5 .proto".split()
 TRIPLE_EXT = [".py"]
-#: Findings a session shows at most; the rest is cut in order of checks.
-LIMIT = 20
 
 _C = re.compile(r"""(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)""")
 _HASH = re.compile(r"""(?P<string>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?)|(?P<comment>\#[^\n]*)""")
@@ -187,14 +185,14 @@ def shell_commands(calls: DataFrame) -> DataFrame:
     return calls.where("name = 'Bash'").select("session_key", F.struct("event_idx", "item_idx").alias("at"), F.get_json_object("input", "$.command").alias("command")).where("command is not null")
 
 
-def findings(calls: DataFrame, checks: list[dict[str, Any]], limit: int = LIMIT) -> DataFrame:
-    """(session_key, check_no, check_id, state, confidence, path, line, match): at most ``limit`` a session."""
+def findings(calls: DataFrame, checks: list[dict[str, Any]]) -> DataFrame:
+    """(session_key, check_no, check_id, state, confidence, path, line, match): every finding of every check."""
     files = written_files(calls)
-    schema = "session_key string, check_no int, check_id string, state string, confidence string, path string, line int, match string, ord bigint"
+    schema = "session_key string, check_no int, check_id string, state string, confidence string, path string, line int, match string"
     by = {k: [(i, c) for i, c in enumerate(checks) if c["kind"] in g] for k, g in (("source", SOURCE), ("shell", SHELL), ("path", PATH))}
 
     def row(r: Any, i: int, c: dict, state: str, path: str, line: int, match: str) -> tuple:
-        return (r.session_key, i, c["id"], state, c["confidence"], path, line, match, (r.event_idx << 20) + r.item_idx)
+        return (r.session_key, i, c["id"], state, c["confidence"], path, line, match)
 
     def over_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -222,13 +220,11 @@ def findings(calls: DataFrame, checks: list[dict[str, Any]], limit: int = LIMIT)
             yield pd.DataFrame(out, columns=names)
 
     names = [x.split()[0] for x in schema.split(", ")]
-    a = files.select("session_key", "path", "text", "first.event_idx", "first.item_idx").mapInPandas(over_files, schema)
-    s = shell_commands(calls).select("session_key", "command", "at.event_idx", "at.item_idx").mapInPandas(over_commands, schema)
+    a = files.select("session_key", "path", "text").mapInPandas(over_files, schema)
+    s = shell_commands(calls).select("session_key", "command").mapInPandas(over_commands, schema)
     # A required command that any command of the session satisfies is no finding.
     met = s.where("state = 'satisfied'").select("session_key", "check_no").distinct()
-    both = a.unionByName(s.where("state <> 'satisfied'").join(met, ["session_key", "check_no"], "left_anti"))
-    w = Window.partitionBy("session_key").orderBy("check_no", "ord", "path", "line")
-    return both.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n", "ord")
+    return a.unionByName(s.where("state <> 'satisfied'").join(met, ["session_key", "check_no"], "left_anti"))
 
 
 def states(found: DataFrame, sessions: DataFrame, exercised: DataFrame) -> DataFrame:

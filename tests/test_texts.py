@@ -103,6 +103,16 @@ def test_findings_and_states(spark):
     assert {r["session_key"]: (r["state"], r["findings"]) for r in rules.states(f, calls.select("session_key").distinct(), used).collect()} == {"s": ("violated", 2), "t": ("clear", 0), "u": ("not-exercised", 0)}
 
 
+def test_a_long_session_keeps_every_finding(spark):
+    # 30 acknowledged findings of the first check stand before 30 violations of the second
+    rows = [("s", i, 0, "Edit", '{"file_path":"a%d.py","new_string":"# ctx-allow: c\\nbad"}' % i) for i in range(30)] + [("s", 30 + i, 0, "Bash", '{"command":"lint %d"}' % i) for i in range(30)]
+    calls = spark.createDataFrame(rows, "session_key string, event_idx bigint, item_idx int, name string, input string")
+    f = rules.findings(calls, [check(), check(id="l", kind="forbidden_command", pattern="^lint")])
+    assert {(r["check_id"], r["state"]): r["count"] for r in f.groupBy("check_id", "state").count().collect()} == {("c", "acknowledged"): 30, ("l", "violated"): 30}
+    sessions = calls.select("session_key").distinct()
+    assert [tuple(r) for r in rules.states(f, sessions, sessions).collect()] == [("s", "violated", 60)]
+
+
 def test_fallback_and_binding(spark):
     got = rules.fallback_checks("T", "Never call `os.system` in `*.py`. Avoid `Foo()`; do not use `plain`. Never call `os.system` again.")
     assert [(c["id"], c["applies_to"]) for c in got] == [("fallback-os-system", ["*.py"]), ("fallback-foo", ["*.py"])]
