@@ -226,5 +226,5 @@ def _name(base: tuple[str, ...]) -> str:
 def flat_tables(df: DataFrame, row: str, column: str) -> dict[str, DataFrame]:
     """A DataFrame for each array path: parent key (row, parent_path), own key item_path, place, JSON of the object."""
     every = explode_objects(df, row, column)
-    names = [r[0] for r in every.select("kind_path").distinct().limit(MAX_PATHS).collect()]
+    names = [r[0] for r in every.select("kind_path").distinct().collect()]
     return {n: every.where(F.col("kind_path") == n).select("row", "parent_path", "item_path", "place", F.to_json("node").alias("object")) for n in sorted(names)}

@@ -3,7 +3,7 @@
 import json
 import random
 
-from tesseral.operators.nested import _loads, _walk, explode_objects, flat_tables, merged_schema
+from tesseral.operators.nested import MAX_PATHS, _loads, _walk, explode_objects, flat_tables, merged_schema
 
 
 def rows(spark, texts):
@@ -64,3 +64,10 @@ def test_flat_tables_keep_links(spark):
     t = flat_tables(rows(spark, ['{"a":[{"b":[{"c":1},{"c":2}]}]}']), "line_id", "message")
     assert sorted(t) == ["a[]", "a[].b[]"]
     assert [(r["parent_path"], r["place"], r["object"]) for r in t["a[].b[]"].orderBy("place").collect()] == [("a[0]", 0, '{"c":1}'), ("a[0]", 1, '{"c":2}')]
+
+
+def test_flat_tables_beyond_the_paths_of_one_plan(spark):
+    keys = [f"k{i}" for i in range(MAX_PATHS + 5)]
+    t = flat_tables(rows(spark, [json.dumps({k: [{"v": k}] for k in keys})]), "line_id", "message")
+    assert sorted(t) == sorted(f"{k}[]" for k in keys)
+    assert [tuple(r) for r in t["k7[]"].collect()] == [(0, "", "k7[0]", 0, '{"v":"k7"}')]
