@@ -9,7 +9,7 @@ Defined cases
 - text that is not one complete JSON object (null, broken, an array, a scalar) has no children;
 - elements that are no objects (text, numbers, null) are no rows, but count in the positions;
 - repeated rows and ties count each for itself; the record id is carried, not compared;
-- an object repeating a key is no record (VARIANT has none);
+- an object repeating a key is no record (VARIANT has none), as is one with NaN or Infinity;
 - empty table: no rows; other columns are ignored, so their names cannot clash.
 
 Size: the schema is metadata, one entry a distinct array path. Beyond MAX_PATHS of them (keys
@@ -50,9 +50,20 @@ def _shape(value: object, path: tuple[str, ...], out: dict[tuple[str, ...], int]
                     _shape(x, p, out)
 
 
+def _unique(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    if len(out := dict(pairs)) < len(pairs):
+        raise ValueError("repeated key")
+    return out
+
+
+def _refuse(constant: str) -> None:
+    raise ValueError(constant)
+
+
 def _loads(text: str | None) -> dict | None:
+    """The text's object under VARIANT's rules: no repeated key, no NaN or Infinity."""
     try:
-        v = json.loads(text) if text else None
+        v = json.loads(text, object_pairs_hook=_unique, parse_constant=_refuse) if text else None
     except (ValueError, RecursionError):
         return None
     return v if isinstance(v, dict) else None

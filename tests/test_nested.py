@@ -39,6 +39,14 @@ def test_generic_walk_gives_the_same(spark):
     assert found(spark, CASES, max_paths=1) == brute(CASES)
 
 
+def test_both_ways_refuse_the_same_records(spark):
+    good = '{"a":[{"b":[{}]}]}'
+    bad = ['{"a":[{}],"a":[{},{}]}', '{"a":[{}],"\\u0061":[{}]}', '{"a":[{"b":1,"b":2}]}', '{"a":[{"x":NaN}]}', '{"a":[{"x":-Infinity}]}', '{"z":[{"x":Infinity}]}']
+    want = [(0, "a[0]", "", 0), (0, "a[0].b[0]", "a[0]", 0)]
+    assert found(spark, [good, *bad]) == found(spark, [good, *bad], max_paths=1) == want
+    assert {r["path"] for r in merged_schema(rows(spark, [good, *bad]), "message").collect()} == {'["a", "[]"]', '["a", "[]", "b", "[]"]'}
+
+
 def test_random_trees(spark):
     rnd = random.Random(2)
 
