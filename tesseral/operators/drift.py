@@ -30,10 +30,13 @@ MAX_COLUMNS = 2000
 
 
 def file_schemas(lines: DataFrame, file_id: str = "file_id", line: str = "line") -> DataFrame:
-    """(file_id, outer, inner, kinds): the fields of each file; inner is null for a top field."""
+    """(file_id, outer, inner, kinds): the fields of each file; inner is null for a top field.
+
+    A file with lines that count but hold no value, as in ``{}``, has a row with a null outer and no kinds.
+    """
     spark = lines.sparkSession
     v = lines.select(F.col(file_id).alias("file_id"), parse_object(F.col(line)).alias("_v")).where("_v is not null")
-    top = v.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select("file_id", F.col("key").alias("outer"), F.col("value").alias("_x")).withColumn("kind", kind_bit(F.col("_x"))).where("kind > 0")
+    top = v.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).select("file_id", F.col("key").alias("outer"), F.col("value").alias("_x")).withColumn("kind", F.coalesce(kind_bit(F.col("_x")), F.lit(0))).withColumn("outer", F.when(F.col("kind") > 0, F.col("outer")))
     deep = top.where(F.col("kind") == OBJECT).lateralJoin(spark.tvf.variant_explode(F.col("_x").outer())).select("file_id", "outer", F.col("key").alias("inner"), kind_bit(F.col("value")).alias("kind")).where("kind > 0")
     rows = top.select("file_id", "outer", F.lit(None).cast("string").alias("inner"), "kind").unionByName(deep)
     return rows.groupBy("file_id", "outer", "inner").agg(F.bit_or("kind").alias("kinds"))
@@ -78,6 +81,7 @@ def schema_changes(lines: DataFrame, files: DataFrame, schemas: DataFrame | None
     kinds = F.when(F.col("kinds").bitwiseAND(NUMBER) != 0, F.col("kinds").bitwiseOR(F.lit(NUMBER))).otherwise(F.col("kinds"))
     schemas = schemas.withColumn("kinds", kinds)
     order = successions(files, schemas)
+    schemas = schemas.where("outer is not null")
     # Every file is the new side of its own comparison and the old side of its successor's.
     sides = F.explode(F.array(F.struct(F.col("file_id").alias("pair"), F.lit(True).alias("is_new")), F.struct(F.col("next_id").alias("pair"), F.lit(False).alias("is_new"))))
     sided = schemas.join(order, "file_id").select(sides.alias("s"), "outer", "inner", "kinds").select("s.*", "outer", "inner", "kinds").where("pair is not null")
@@ -136,7 +140,7 @@ def union_table(lines: DataFrame, files: DataFrame, keys: list[str] | None = Non
     """
     keys = keys or ["line_id", "file_id", "line_no"]
     schemas = cut(file_schemas(lines))
-    flat = schemas.select("file_id", "outer", "inner", "kinds")
+    flat = schemas.where("outer is not null").select("file_id", "outer", "inner", "kinds")
     fields = {(r["outer"], r["inner"]): r["kinds"] for r in flat.groupBy("outer", "inner").agg(F.bit_or("kinds").alias("kinds")).collect()}
     tops = {o: k for (o, i), k in fields.items() if i is None}
     a, b = flat.where("inner is null").select("file_id", F.col("outer").alias("a")), flat.where("inner is null").select("file_id", F.col("outer").alias("b"))

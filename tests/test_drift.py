@@ -33,6 +33,16 @@ def test_rename_retype_and_nested(spark):
     assert changes(spark, files) == [(2, "added", "", "msg"), (2, "added", "", "n"), (2, "removed", "m", ""), (2, "retyped", "a", "a")]
 
 
+def test_files_without_values_are_in_use(spark):
+    for empty in ([{}, "broken"], [{"a": None}], [{"m": None}, {}]):
+        files = [("s", 1, [{"a": 1, "m": {"x": 1}}]), ("s", 2, empty), ("s", 3, [{"a": "1"}]), ("s", 4, ["broken"]), ("s", 5, [{}])]
+        assert changes(spark, files) == [(1, "removed", "a", ""), (1, "removed", "m", ""), (2, "added", "", "a"), (4, "removed", "a", "")]
+    # the inner fields of an object without values are no reason to pass its file over either
+    assert changes(spark, [("s", 1, [{"m": {"x": 1}}]), ("s", 2, [{"m": {}}]), ("s", 3, [{"m": {"x": 1}}])]) == [(1, "removed", "m.x", ""), (2, "added", "", "m.x")]
+    lines, reg = tables(spark, [("s", 1, [{}]), ("s", 2, [{"a": 1}])])
+    assert [(r["line_id"], r["a"]) for r in union_table(lines, reg).orderBy("line_id").collect()] == [(1, None), (2, 1)]
+
+
 def test_renamed_parent_is_the_same_parent(spark):
     files = [("s", 1, [{"m": {"x": 1, "y": "t"}}]), ("s", 2, [{"msg": {"x": True, "z": "t"}}])]
     assert changes(spark, files) == [(1, "renamed", "m", "msg"), (1, "renamed", "m.y", "msg.z"), (1, "retyped", "m.x", "msg.x")]
