@@ -37,8 +37,6 @@ SHARD_DOCS, SHARD_TOKENS = 2_000, 4_000_000
 K1, B = 1.2, 0.75
 #: A term in at least one of so many documents of a shard is a dense row of its index.
 DENSE = 16
-#: Neighbours fill a window until this share of it is left, then the largest that fits does.
-REST = 0.25
 
 
 def measured(df: DataFrame, row: str, text: str, near: list[str], vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
@@ -148,16 +146,16 @@ def pack_shard(shard: Shard, capacity: int) -> list[tuple[int, int, int, int, in
     while (seed := left.fitting(capacity)) >= 0:
         room, place = capacity - int(sizes[seed]), 1
         put(seed, 0, 0.0)
-        if room > REST * capacity:
+        if left.fitting(room) >= 0:
             score = shard.scores(int(items[seed]))[items]
             near = np.flatnonzero(left.alive & (sizes <= room) & (score > 0))
-            for i in near[np.lexsort((near, -score[near]))]:
-                if sizes[i] <= room:
-                    put(int(i), place, float(score[i]))
-                    room -= int(sizes[i])
-                    place += 1
-                    if room <= REST * capacity:
-                        break
+            near = near[np.lexsort((near, -score[near]))]
+            while len(near):
+                i = int(near[0])
+                put(i, place, float(score[i]))
+                room -= int(sizes[i])
+                place += 1
+                near = near[1:][sizes[near[1:]] <= room]
         while (i := left.fitting(room)) >= 0:
             put(i, place, 0.0)
             room -= int(sizes[i])

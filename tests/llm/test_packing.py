@@ -73,3 +73,11 @@ def test_best_fit():
     assert s.fitting(8) == 0
     s.remove(0)
     assert s.fitting(8) in (1, 3) and s.fitting(2) == -1 and s.fitting(100) == 2
+
+
+def test_neighbours_fill_the_last_room_before_sizes_do():
+    # 0 fills more than three quarters; 1 shares its term, 2 is larger and fits but shares none
+    one = np.ones(3, np.int64)
+    shard = Shard(np.array([52, 6, 12]), np.arange(4), np.array([1, 1, 2]), one, np.ones(3), 20.0)
+    bins = {d: b for b, _, d, *_ in pack_shard(shard, 64)}
+    assert bins[0] == bins[1] != bins[2]
