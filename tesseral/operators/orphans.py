@@ -1,9 +1,10 @@
 """References to records that do not exist.
 
-Keys become integers by their place in the sorted dictionary of all keys. Next to each other
-stand keys that exist, so the existing ones compress to few contiguous runs, broken only where
-a key is referred to and missing. A reference is matched as-of to the run that starts at or
-before it; a key beyond that run's end exists nowhere. Times of validity are looked at last.
+Keys become integers by their place in a sorted dictionary, a hash block of keys each. Parent keys
+alone are compressed: to contiguous runs, broken only where a key is referred to and missing. A
+reference is matched as-of to the run that starts at or before it; a key beyond that run's end
+exists nowhere, which is the only place where existence is decided. The times a parent answers at
+come along by the same match and are those of the key itself only inside a run.
 
 Defined cases
 - null or blank reference keys are no references; null parent keys are no parents;
@@ -13,8 +14,9 @@ Defined cases
 - empty tables: no parents makes every reference ``missing``; no references makes no rows;
 - columns beyond those named are ignored, so their names cannot clash.
 
-Hot keys: keys are made distinct before the sort, by partial aggregation; the rows of a key that
-holds a large share meet its verdict through a broadcast of at most HEAVY_ONE_IN rows.
+Hot keys: keys are made distinct on each side before the sort, by partial aggregation; the rows of
+a key that holds a large share meet its verdict through a broadcast of at most HEAVY_ONE_IN rows.
+Blocks are as many as keys / BLOCK_KEYS.
 """
 
 from __future__ import annotations
@@ -26,43 +28,46 @@ from tesseral.functions.text import is_blank
 from tesseral.operators.skew import lookup
 from tesseral.session import cut
 
+#: Distinct keys a block is planned for.
+BLOCK_KEYS = 200_000
 MISSING, LATE, DELETED = "missing", "late", "deleted"
 _FIRST = "timestamp '0001-01-01 00:00:00'"
 _LAST = "timestamp '9999-12-31 23:59:59'"
 
 
-def key_codes(keys: DataFrame, key: str = "key") -> DataFrame:
-    """Adds ``code``: sorted, contiguous inside each range partition, which is ``code >> 33``.
+def key_codes(keys: DataFrame, blocks: int, key: str = "key") -> DataFrame:
+    """Adds ``block`` and ``code``: equal keys have equal codes, contiguous from 1 in the sorted dictionary of a block."""
+    w = Window.partitionBy("block").orderBy(key)
+    return keys.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("code", F.dense_rank().over(w))
 
-    The ranges are sampled, so a second evaluation could number differently; hence the cut.
-    """
-    return cut(keys.repartitionByRange(key).sortWithinPartitions(key).withColumn("code", F.monotonically_increasing_id()))
-
-
-def contiguous_runs(codes: DataFrame, code: str = "code") -> DataFrame:
-    """Sorted distinct integers as runs: (block, run_start, run_end), no gap inside a run.
 
-    A block is a range partition, so no window spans more than one of these.
-    """
-    block = F.shiftright(code, 33)
-    w = Window.partitionBy("block").orderBy(code)
+def contiguous_runs(codes: DataFrame) -> DataFrame:
+    """Distinct (block, code) as runs: (block, run_start, run_end), no gap inside a run."""
+    w = Window.partitionBy("block").orderBy("code")
     return (
-        codes.select(block.alias("block"), F.col(code))
-        .withColumn("island", F.col(code) - F.row_number().over(w))
+        codes.select("block", "code", (F.col("code") - F.row_number().over(w)).alias("island"))
         .groupBy("block", "island")
-        .agg(F.min(code).alias("run_start"), F.max(code).alias("run_end"))
+        .agg(F.min("code").alias("run_start"), F.max("code").alias("run_end"))
         .drop("island")
     )
 
 
-def beyond_runs(probes: DataFrame, runs: DataFrame, code: str = "code") -> DataFrame:
-    """The probe rows whose code lies in no run: as-of to the preceding run start, beyond its end."""
-    names = probes.columns
-    a = probes.select(F.shiftright(code, 33).alias("block"), F.col(code).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_end"), F.struct(*names).alias("_row"))
-    b = runs.select("block", F.col("run_start").alias("_at"), F.lit(0).alias("_kind"), F.col("run_end").alias("_end"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    w = Window.partitionBy("block").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("_run_end", F.last("_end", ignorenulls=True).over(w))
-    return seen.where((F.col("_kind") == 1) & (F.col("_run_end").isNull() | (F.col("_at") > F.col("_run_end")))).select("_row.*")
+def against_runs(probes: DataFrame, runs: DataFrame, parents: DataFrame) -> DataFrame:
+    """The probe rows with ``run_end`` of the run that starts at or before their code and ``span`` of the last parent up to it.
+
+    A code beyond ``run_end``, or before every run, is no parent's; for any other, the last parent is its own.
+    All three tables have block and code, ``parents`` has span.
+    """
+    names = [c for c in probes.columns if c not in ("block", "code")]
+    empty = lambda t: F.lit(None).cast(t)
+    span, row = parents.schema["span"].dataType, F.struct(*names)
+    a = probes.select("block", "code", F.lit(2).alias("kind"), empty("int").alias("end"), empty(span).alias("own"), row.alias("row"))
+    row_type = a.schema["row"].dataType
+    b = runs.select("block", F.col("run_start").alias("code"), F.lit(0).alias("kind"), F.col("run_end").alias("end"), empty(span).alias("own"), empty(row_type).alias("row"))
+    c = parents.select("block", "code", F.lit(1).alias("kind"), empty("int").alias("end"), F.col("span").alias("own"), empty(row_type).alias("row"))
+    w = Window.partitionBy("block").orderBy("code", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    seen = a.unionByName(b).unionByName(c).withColumn("run_end", F.last("end", ignorenulls=True).over(w)).withColumn("span", F.last("own", ignorenulls=True).over(w))
+    return seen.where("kind = 2").select("block", "code", "row.*", "run_end", "span")
 
 
 def covered(probes: DataFrame, intervals: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
@@ -103,32 +108,35 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str = "id", lo: str =
 
     ``refs`` as from :func:`references`. A parent answers from ``lo`` on and before ``hi``.
     """
+    blocks = max(1, -(-(parents.count() + refs.count()) // BLOCK_KEYS))
     par = parents.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.coalesce(F.col(lo).cast("timestamp"), F.expr(_FIRST)).alias("lo"), F.col(hi).cast("timestamp").alias("hi"))
     refs = refs.withColumn("at", F.coalesce("at", F.expr(_LAST)))
-    one = par.groupBy("key").agg(
-        F.lit(True).alias("is_parent"), F.count("*").alias("parents"), F.min("lo").alias("first_at"), F.min(F.when(F.col("hi").isNull(), F.col("lo"))).alias("open_from"), F.max("hi").alias("last_end"), F.lit(0).cast("bigint").alias("n")
-    )
-    used = refs.groupBy("key").agg(F.count("*").alias("n"))
-    both = one.unionByName(used, allowMissingColumns=True).groupBy("key").agg(
-        F.max("is_parent").alias("is_parent"), F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("parents", "first_at", "open_from", "last_end"))
-    )
-    coded = key_codes(both)
-    runs = contiguous_runs(coded.where("is_parent").select("code"))
-    gone = beyond_runs(coded.where("n > 0").select("code", "key", "n"), runs).select("key", "n", F.lit(True).alias("gone"), *(F.lit(None).cast(t).alias(c) for c, t in (("parents", "bigint"), ("first_at", "timestamp"), ("open_from", "timestamp"), ("last_end", "timestamp"))))
-    # Keys always answered need no row: a key seen only while it has one open parent is no case, so they stay for their times.
-    there = coded.where("is_parent and n > 0").select("key", "n", F.lit(False).alias("gone"), "parents", "first_at", "open_from", "last_end")
-    at = F.col("at")
-    rows = lookup(refs, gone.unionByName(there), ["key"], "n", F.col("row_id")).withColumn(
-        "reason",
+    judged = cut(_judged(refs, par, blocks))
+    at, span = F.col("at"), F.col("span")
+    reason = (
         F.when(F.col("gone"), MISSING)
-        .when(at < F.col("first_at"), LATE)
-        .when(at >= F.col("open_from"), "")
-        .when(at >= F.col("last_end"), DELETED)
-        .when(F.col("parents") == 1, "")
-        .otherwise("?"),
+        .when(at < span["first_at"], LATE)
+        .when(at >= span["open_from"], "")
+        .when(at >= span["last_end"], DELETED)
+        .when(span["parents"] == 1, "")
+        .otherwise("?")
     )
-    open_ = rows.where("reason = '?'").select("key", "at")
-    yes = covered(open_, par.where("hi is not null")).withColumn("_yes", F.lit(True))
-    sure = rows.where("reason not in ('', '?')").select("source_table", "row_id", "at", "reason")
-    asked = rows.where("reason = '?'").join(yes, ["key", "at"], "left").where("_yes is null").select("source_table", "row_id", "at", F.lit(DELETED).alias("reason"))
+    # Only rows that are cases, or may be, go on.
+    rows = cut(lookup(refs, judged, ["key"], "n", F.col("row_id")).withColumn("reason", reason).where("reason <> ''").select("source_table", "row_id", "at", "key", "reason"))
+    open_ = rows.where("reason = '?'")
+    yes = covered(open_.select("key", "at"), par.where("hi is not null")).withColumn("_yes", F.lit(True))
+    sure = rows.where("reason <> '?'").select("source_table", "row_id", "at", "reason")
+    asked = open_.join(yes, ["key", "at"], "left").where("_yes is null").select("source_table", "row_id", "at", F.lit(DELETED).alias("reason"))
     return sure.unionByName(asked)
+
+
+def _judged(refs: DataFrame, par: DataFrame, blocks: int) -> DataFrame:
+    """(key, n, gone, span): each key referred to, how often, whether it lies beyond the runs of parents, and its parents' times."""
+    span = F.struct(F.count("*").alias("parents"), F.min("lo").alias("first_at"), F.min(F.when(F.col("hi").isNull(), F.col("lo"))).alias("open_from"), F.max("hi").alias("last_end"))
+    held = par.groupBy("key").agg(span.alias("span"))
+    used = refs.groupBy("key").agg(F.count("*").alias("n"))
+    coded = key_codes(held.unionByName(used, allowMissingColumns=True), blocks)
+    parents = coded.where("span is not null").select("block", "code", "span")
+    found = against_runs(coded.where("n is not null").select("block", "code", "key", "n"), contiguous_runs(parents), parents)
+    gone = F.coalesce(F.col("code") > F.col("run_end"), F.lit(True))
+    return found.select("key", "n", gone.alias("gone"), "span")

@@ -3,7 +3,10 @@
 import datetime as dt
 import random
 
-from tesseral.operators.orphans import beyond_runs, contiguous_runs, find_orphans, key_codes, references
+from pyspark.sql import functions as F
+
+from tesseral.operators import orphans
+from tesseral.operators.orphans import against_runs, contiguous_runs, find_orphans, key_codes, references
 
 T0 = dt.datetime(2024, 1, 1)
 REF = "ref_row bigint, key string, arrived_at timestamp, source_table string"
@@ -55,9 +58,22 @@ def test_random_with_a_hot_key(spark):
 
 
 def test_runs_are_maximal_and_found(spark):
-    df = spark.createDataFrame([(f"k{i:04d}", i % 50 != 7) for i in range(500)], "key string, is_parent boolean")
-    coded = key_codes(df)
-    runs = contiguous_runs(coded.where("is_parent").select("code"))
-    gone = {r["key"] for r in beyond_runs(coded, runs).collect()}
+    keys = spark.createDataFrame([(f"k{i:04d}", i % 50 != 7) for i in range(500)], "key string, there boolean")
+    coded = key_codes(keys, 3).withColumn("span", F.struct("key"))
+    parents = coded.where("there").select("block", "code", "span")
+    runs = contiguous_runs(parents)
+    gone = {r["key"] for r in against_runs(coded.select("block", "code", "key"), runs, parents).collect() if r["run_end"] is None or r["code"] > r["run_end"]}
     assert gone == {f"k{i:04d}" for i in range(500) if i % 50 == 7}
-    assert runs.count() <= 11 + coded.selectExpr("shiftright(code, 33) b").distinct().count()
+    assert runs.count() <= 10 + 3
+
+
+def test_runs_decide(spark, monkeypatch):
+    """With runs that lose their last key, or that reach over gaps, other rows come out."""
+    refs, parents = [(k, 2) for k in "abcdef"], [("a", 1, None), ("b", 1, None), ("d", 1, None), ("f", 1, 3)]
+    right = run(spark, refs, parents)
+    assert right == [(2, "missing"), (4, "missing")]
+    real = orphans.contiguous_runs
+    monkeypatch.setattr(orphans, "contiguous_runs", lambda c: real(c).withColumn("run_end", F.col("run_end") - 1))
+    assert run(spark, refs, parents) != right
+    monkeypatch.setattr(orphans, "contiguous_runs", lambda c: real(c).withColumn("run_end", F.lit(1 << 30)))
+    assert run(spark, refs, parents) == []
