@@ -2,7 +2,8 @@
 
 The statistics' thresholds are noisy labelling functions, each voting for what it speaks for or
 abstaining. How far each can be trusted is learned by expectation-maximisation from how they
-agree over all documents; a document's types are the posterior given its votes.
+agree over all documents; a document's types are the posterior given its votes. One voter knows
+how the lines were read, the others see counts of words, marks and lines only.
 
 Defined cases
 - null and blank texts have no type (null) and zero statistics; they are never found as not prose;
@@ -11,7 +12,7 @@ Defined cases
 - a text without words of a known language and without any list or table is junk.
 
 Votes are counted by pattern with partial aggregation. There are at most SYMBOLS ** len(VOTERS)
-patterns, in practice some hundreds; they alone reach the driver, where the model is fitted.
+patterns, in practice about a hundred; they alone reach the driver, where the model is fitted.
 """
 
 from __future__ import annotations
@@ -29,11 +30,15 @@ from tesseral.session import cut
 TYPES = ("prose", "list", "table", "junk")
 #: A vote is 0 (abstains) or one more than the place of a type.
 SYMBOLS = len(TYPES) + 1
-VOTERS = ("connected", "items", "cells", "noise", "common", "symbols", "shape", "lines")
+VOTERS = ("shares", "common", "length", "symbols", "digits", "ends", "repeats", "marked", "celled", "lines")
 
 _NUMBERED = regex.compile(r"\s*\(?\d{1,4}[.)）．、]\s*\S")
 _FIRST = regex.compile(r"\s*\(?1[.)）．、]\s")
 _ITEM = regex.compile(r"\s*(?:[-*+•◦–—‣▪●○■□·・※→]\s+\S|\(?(?:[A-Za-z]|[ivxIVX]{2,4})[.)）]\s+\S|[①-⑳]\s*\S|\[[ xX]\]\s+\S)")
+#: Characters a cell has on average at most.
+CELL = 24
+_MARK = regex.compile(r"\s*(?:[-*+•◦–—‣▪●○■□·・※→]\s|\(?(?:\d{1,4}|[A-Za-z]|[ivxIVX]{2,4})[.)）．、]\s|[①-⑳])")
+_GAP = regex.compile(r"\S {2,}(?=\S)")
 _QUOTE = regex.compile(r"\s*(?:>\s?)+")
 _HEADING = regex.compile(r"\s*#{1,6}\s+\S")
 _END = regex.compile(r"[.!?…。！？][\"'”’)»\]]*$")
@@ -45,7 +50,10 @@ _PARTICLES = regex.compile(r"[のはをにがでとてもへやかられるす
 _MARKS = "{}[]<>=_|\\@$^~*;/+#&%"
 _TRIM = ".,;:!?…\"'`“”‘’()[]{}<>«»¿¡*_-–—。、！？「」"
 
-STATS = ("n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "prose_share", "list_share", "table_share", "junk_share", "distinct_words", "n_lines")
+STATS = (
+    "n_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_words", "distinct_words", "n_lines", "words_per_line", "marked_share", "cell_share", "unspaced_share",
+    "prose_share", "list_share", "table_share", "junk_share",
+)
 
 
 class Common:
@@ -136,7 +144,7 @@ def statistics(text: str, reader: _Reader) -> tuple[float, ...]:
     """The values of STATS for one text that is not blank."""
     common = reader.common
     shares = dict.fromkeys(TYPES, 0)
-    whole, ended, seen = _Part(), 0, set()
+    whole, ended, marked, items, celled, seen = _Part(), 0, 0, 0, 0, set()
     run, kind, closed = _Part(), "", True
 
     def close() -> None:
@@ -155,6 +163,9 @@ def statistics(text: str, reader: _Reader) -> tuple[float, ...]:
         whole.add(p)
         done = _END.search(line.rstrip()) is not None
         ended += done
+        if _MARK.match(line):
+            marked, items = marked + p.chars, items + 1
+        celled += p.chars if _celled(line) else 0
         fluent = p.words >= 3 and p.letters <= 11 * p.words and common.best(p.masks) >= 0.25 * p.words or p.cjk > 3
         kind = _kind(raw, line, p, kind, closed, fluent)
         closed = done or line.rstrip()[-1:] in ":："
@@ -166,7 +177,16 @@ def statistics(text: str, reader: _Reader) -> tuple[float, ...]:
     close()
     n, w, lines = max(1, whole.chars), whole.words, max(1, whole.lines)
     fluency = min(1.0, whole.particles / whole.cjk * 2) if whole.cjk > 0.25 * n else common.best(whole.masks) / max(1, w)
-    return (w, whole.letters / max(1, w), whole.marks / n, whole.digits / n, ended / lines, fluency, *(shares[t] / n for t in TYPES), len(seen) / max(1, w), lines)
+    raw = (w, whole.letters / max(1, w), whole.marks / n, whole.digits / n, ended / lines, fluency, len(seen) / max(1, w), lines, w / lines, marked / n if items > 1 else 0.0, celled / n, whole.cjk / n)
+    return (*raw, *(shares[t] / n for t in TYPES))
+
+
+def _celled(line: str) -> bool:
+    """Whether a line has separators enough for cells of at most CELL characters."""
+    marks = line.count("\t") + line.count("|") + line.count(";") + line.count(",") - line.count(", ")
+    if "  " in line:
+        marks += len(_GAP.findall(line))
+    return marks >= 2 and len(line) <= CELL * (marks + 1)
 
 
 def _kind(raw: str, line: str, p: _Part, before: str, closed: bool, fluent: bool) -> str:
@@ -189,20 +209,31 @@ def _kind(raw: str, line: str, p: _Part, before: str, closed: bool, fluent: bool
 
 
 def votes(s: dict[str, float]) -> tuple[int, ...]:
-    """What each labelling function says of a document's statistics."""
+    """What each labelling function says of a document's statistics.
+
+    Each is a threshold on what was counted of words, marks and lines; only ``shares`` knows how
+    the lines were read. Those on words take a list of sentences for prose, those on marks know no
+    language: which of them to trust for which type is the model's to learn.
+    """
     prose, list_, table, junk = 1, 2, 3, 4
-    shares = [s["prose_share"], s["list_share"], s["table_share"], s["junk_share"]]
-    most = 1 + max(range(1, 4), key=shares.__getitem__)
-    return (
-        prose if s["prose_share"] >= 0.5 else most,
-        list_ if s["list_share"] >= 0.5 else 0,
-        table if s["table_share"] >= 0.5 else 0,
-        junk if s["junk_share"] >= 0.5 else 0,
-        prose if 0.3 <= s["common_words"] <= 0.92 and s["prose_share"] >= 0.5 else junk if s["common_words"] > 0.92 or s["common_words"] < 0.05 and s["list_share"] + s["table_share"] < 0.5 else 0,
-        prose if s["symbol_ratio"] < 0.03 and s["prose_share"] >= 0.5 else junk if s["symbol_ratio"] > 0.15 and s["table_share"] + s["list_share"] < 0.5 else 0,
-        junk if (s["mean_word_length"] > 14 or s["distinct_words"] < 0.05) and s["junk_share"] >= 0.5 else prose if 2.5 < s["mean_word_length"] < 9 and s["prose_share"] >= 0.8 else 0,
-        prose if s["punctuated_lines"] >= 0.5 and s["prose_share"] >= 0.5 else table if s["digit_ratio"] > 0.15 and s["table_share"] >= 0.4 else 0,
-    )
+    shares = [s["list_share"], s["table_share"], s["junk_share"]]
+    unspaced, common, length, lines = s["unspaced_share"] > 0.25, s["common_words"], s["mean_word_length"], s["n_lines"]
+    marked, celled = s["marked_share"] >= 0.5 and lines >= 3, s["cell_share"] >= 0.5 and lines >= 2
+    fluent = common >= 0.16 if unspaced else 0.25 <= common <= 0.92 and length <= 9 and s["digit_ratio"] <= 0.5
+    runs = fluent and not marked and not celled
+    said = {
+        "shares": prose if s["prose_share"] >= 0.5 else 2 + max(range(3), key=shares.__getitem__),
+        "common": prose if (fluent if unspaced else 0.3 <= common <= 0.75) else junk if not unspaced and common > 0.92 or common < 0.05 and not marked and not celled else 0,
+        "length": junk if not unspaced and not celled and not 2.5 <= length <= 12 else prose if fluent and (unspaced or length < 5.5) else 0,
+        "symbols": junk if s["symbol_ratio"] > 0.25 else table if celled and s["symbol_ratio"] > 0.03 else prose if runs and s["symbol_ratio"] < 0.02 else 0,
+        "digits": table if celled and s["digit_ratio"] > 0.15 else junk if s["digit_ratio"] > 0.5 else prose if runs and s["digit_ratio"] < 0.05 else 0,
+        "ends": prose if fluent and s["punctuated_lines"] >= 0.5 else list_ if s["punctuated_lines"] < 0.05 and lines >= 3 and not celled and s["words_per_line"] <= 6 else 0,
+        "repeats": junk if s["distinct_words"] < 0.05 and s["n_words"] > 20 else 0,
+        "marked": list_ if marked else 0,
+        "celled": table if celled else 0,
+        "lines": prose if runs and (unspaced or s["words_per_line"] >= 8) else list_ if lines >= 4 and s["words_per_line"] <= 3.5 and not celled and common < 0.3 else 0,
+    }
+    return tuple(said[v] for v in VOTERS)
 
 
 def text_statistics(df: DataFrame, row: str, text: str, common: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tesseral.llm.quality import STATS, SYMBOLS, TYPES, VOTERS, Common, LabelModel, _Reader, statistics, text_types, unpack
+from tesseral.llm.quality import STATS, SYMBOLS, TYPES, VOTERS, Common, LabelModel, _Reader, statistics, text_statistics, text_types, unpack, votes
 
 WORDS = [("en", w) for w in "the of and to in a is that it for was on are as with be by this not or from at have an but which they we when will".split()] + [("de", w) for w in "der die das und in zu den nicht ist mit".split()]
 PROSE = "This is the text that was written for the test, and it is not a list. When they have read it, we will be in a state that is of use to them."
@@ -56,11 +56,43 @@ def test_model_learns_who_can_be_trusted():
 
 
 def test_codes_round_trip():
-    v = np.array([[1, 0, 3, 4, 2, 0, 1, 4]])
+    v = np.array([[1, 0, 3, 4, 2, 0, 1, 4, 0, 3]])
     code = 0
     for x in v[0]:
         code = code * SYMBOLS + int(x)
-    assert (unpack(np.array([code])) == v).all() and len(VOTERS) == 8
+    assert (unpack(np.array([code])) == v).all() and len(VOTERS) == v.shape[1]
+
+
+def _mixed(n):
+    """Prose, lists of fragments and lists of sentences, tables and junk, with how many of each."""
+    items = "\n".join(f"- {w} {w}ing" for w in ("red", "blue", "green", "grey"))
+    said = "\n".join(f"{i}. It is the one that was on the list, and we have it." for i in range(1, 6))
+    return [("prose", PROSE)] * (7 * n) + [("list", items)] * (2 * n) + [("list", said)] * (n // 2) + [("table", "\n".join("a,7,9,12" for _ in range(5)))] * n + [("junk", "0" * 400)] * n
+
+
+def test_the_model_decides_and_not_the_majority(spark):
+    """Lists of sentences win more votes for prose than for list; what the voters are worth tells them apart."""
+    texts = _mixed(20)
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    common = spark.createDataFrame(WORDS, "lang string, word string")
+    got = {r["row"]: r["text_type"] for r in text_types(df, "doc_id", "text", common).collect()}
+    assert all((got[i] == "prose") == (k == "prose") for i, (k, _) in enumerate(texts))
+    stats = text_statistics(df, "doc_id", "text", common).collect()
+    matrix = unpack(np.array([r["votes"] for r in sorted(stats, key=lambda r: r["row"])]))
+    majority = np.stack([(matrix == t + 1).sum(axis=1) for t in range(len(TYPES))], axis=1).argmax(axis=1)
+    wrong = [k for (k, t), m in zip(texts, majority) if k == "list" and m == 0 and t.startswith("1.")]
+    assert len(wrong) == 10
+
+
+def test_the_model_overrules_the_reading_of_lines():
+    """A voter that says prose alone against several that are worth more does not win."""
+    reader = _Reader(Common(WORDS))
+    texts = [t for _, t in _mixed(20)]
+    m = [votes(dict(zip(STATS, statistics(t, reader)))) for t in texts]
+    m.append((1, *votes(dict(zip(STATS, statistics("a,7,9,12\n" * 5, reader))))[1:]))
+    m = np.array(m)
+    pats, n = np.unique(m, axis=0, return_counts=True)
+    assert LabelModel.fit(pats, n.astype(float)).posterior(m[-1:]).argmax() == TYPES.index("table")
 
 
 def test_empty(spark):
