@@ -1,11 +1,10 @@
 """Filling windows of fixed capacity with documents that belong together.
 
-Documents are measured and indexed by the token ids of a public vocabulary. They are sharded by
-range over the columns that make them neighbours and, inside equal ones, by a hash, so that a
-shard holds a bounded number of documents however uneven the columns are. Each shard has its
-BM25 inverted index with the whole corpus' document frequencies. The largest document not yet
-placed seeds a window; the index returns its unused neighbours, best first, which fill the window
-as far as they fit; what room is left takes the largest that fits.
+Documents are measured and indexed by the token ids of a public vocabulary and sharded by what
+they are about (:mod:`tesseral.llm.shards`), a bounded number a shard. Each shard has its BM25
+inverted index with the whole corpus' document frequencies. The largest document not yet placed
+seeds a window; the index returns its unused neighbours, best first, which fill the window as far
+as any fits; what room is left takes the largest that fits.
 
 Defined cases
 - a document larger than the capacity is cut into pieces of exactly the capacity, each a window of
@@ -16,7 +15,8 @@ Defined cases
 - a capacity that is null or not positive gives no rows; empty tables give none;
 - other columns are ignored, so their names cannot clash.
 
-Document frequencies are the one thing collected: at most one number a token of the vocabulary.
+Collected are document frequencies, at most one number a token of the vocabulary, the sketches of
+the sample the shards' tree is fitted on, and a count a cell of that tree.
 """
 
 from __future__ import annotations
@@ -25,40 +25,75 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesseral.llm.shards import DIMS, SAMPLE_DOCS, Cells, Sketcher, rarity, with_shards
 from tesseral.llm.tokenizer import VOCABULARIES, blocks, encoder_of, read_model
 from tesseral.session import cut
 
-#: Documents and tokens a shard is planned for.
-SHARD_DOCS, SHARD_TOKENS = 2_000, 4_000_000
+#: Documents and tokens a shard is planned for, and shards a task.
+SHARD_DOCS, SHARD_TOKENS, TASK_SHARDS = 2_000, 4_000_000, 16
 K1, B = 1.2, 0.75
 #: A term in at least one of so many documents of a shard is a dense row of its index.
 DENSE = 16
 
 
-def measured(df: DataFrame, row: str, text: str, near: list[str], vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
-    """(row, near..., n_tokens, terms, counts): each document's distinct tokens and how often each stands there."""
-    shared = df.sparkSession.sparkContext.broadcast(read_model(vocabulary, folder))
-    names = ["row", *(f"near_{i}" for i in range(len(near))), "n_tokens", "terms", "counts"]
+def measured(df: DataFrame, row: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, cells: tuple[np.ndarray, Cells] | None = None) -> DataFrame:
+    """(row, cell, n_tokens, terms, counts): each document's distinct tokens and how often each stands there.
+
+    ``cells`` are the weights of terms and the tree that give a document its cell; without them it is 0.
+    """
+    shared = df.sparkSession.sparkContext.broadcast((read_model(vocabulary, folder), cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_of(shared.value)
+        model, cells = shared.value
+        enc = encoder_of(model)
+        sketcher = Sketcher(cells[0], len(enc.vocabulary.rank)) if cells else None
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(1).to_pylist()
             for lo, hi in blocks(texts):
                 sizes, ids = enc.encode(texts[lo:hi])
-                doc = np.repeat(np.arange(hi - lo), sizes)
-                key, times = np.unique(doc << 32 | ids.astype(np.int64), return_counts=True)
-                offsets = np.searchsorted(key >> 32, np.arange(hi - lo + 1))
-                offsets = pa.array(offsets, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (key & 0xFFFFFFFF, times)]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(1 + len(near))), pa.array(sizes, pa.int64()), *lists], names)
+                key = np.repeat(np.arange(hi - lo) << 32, sizes) | ids
+                key.sort()
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                times = np.diff(np.append(first, len(key)))
+                key = key[first]
+                offsets, terms = np.searchsorted(key >> 32, np.arange(hi - lo + 1)), key & 0xFFFFFFFF
+                cell = cells[1].cell_of(sketcher.sketch(terms, times, offsets)) if cells else np.zeros(hi - lo, np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (terms, times)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(cell, pa.int32()), pa.array(sizes, pa.int64()), *lists], ["row", "cell", "n_tokens", "terms", "counts"])
+
+    return df.select(F.col(row).cast("bigint").alias("row"), F.col(text).cast("string").alias("text")).mapInArrow(run, "row bigint, cell int, n_tokens bigint, terms array<int>, counts array<int>")
+
+
+def frequencies(docs: DataFrame) -> np.ndarray:
+    """In how many documents each token stands, up to the largest that occurs."""
+    found = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()
+    term = found["term"].to_numpy()
+    out = np.zeros(term.max(initial=0) + 1)
+    out[term] = found["n"].to_numpy()
+    return out
+
+
+def fit_cells(df: DataFrame, row: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> tuple[np.ndarray, Cells]:
+    """The weights of terms and the tree of cells, from about SAMPLE_DOCS documents."""
+    every = max(1, df.count() // SAMPLE_DOCS)
+    sample = cut(measured(df.where(F.pmod(F.xxhash64(row, text), F.lit(every)) == 0), row, text, vocabulary, folder))
+    weights = rarity(frequencies(sample), sample.count())
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(shared.value, len(shared.value))
+        for b in batches:
+            terms, counts = b.column("terms"), b.column("counts")
+            offsets = terms.offsets.to_numpy()
+            v = sketcher.sketch(terms.flatten().to_numpy(), counts.flatten().to_numpy(), offsets - offsets[0])
+            v = v[np.diff(offsets) > 0]
+            yield pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), DIMS).cast(pa.list_(pa.float32()))], ["v"])
 
-    cols = [F.col(row).cast("bigint").alias("row"), *(F.col(c).cast("string").alias(f"near_{i}") for i, c in enumerate(near)), F.col(text).cast("string").alias("text")]
-    return df.select(*cols).mapInArrow(run, "row bigint, " + "".join(f"near_{i} string, " for i in range(len(near))) + "n_tokens bigint, terms array<int>, counts array<int>")
+    found = sample.select("terms", "counts").mapInArrow(run, "v array<float>").toArrow()["v"].combine_chunks()
+    return weights, Cells(found.flatten().to_numpy().reshape(-1, DIMS))
 
 
 class Shard:
@@ -164,40 +199,53 @@ def pack_shard(shard: Shard, capacity: int) -> list[tuple[int, int, int, int, in
     return out
 
 
-def pack(df: DataFrame, windows: DataFrame, row: str, text: str, near: list[str], vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
+def pack(df: DataFrame, windows: DataFrame, row: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
     """(window_id, bin, place, row, piece, first_token, n_tokens, score): every document in windows of every capacity.
 
     ``windows`` (window_id, capacity_tokens) is a fixed small table and is collected; a bin's number is unique within its window_id.
     """
     spark = df.sparkSession
     sizes = [(r["window_id"], int(r["capacity_tokens"])) for r in windows.select("window_id", "capacity_tokens").distinct().orderBy("window_id", "capacity_tokens").collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0]
-    docs = cut(measured(df, row, text, near, vocabulary, folder))
+    docs = cut(measured(df, row, text, vocabulary, folder, fit_cells(df, row, text, vocabulary, folder)))
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-    frequency = {r["term"]: r["n"] for r in docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    df_of = np.zeros(max(frequency, default=0) + 1)
-    df_of[list(frequency)] = list(frequency.values())
-    shared = spark.sparkContext.broadcast(np.log1p((total["n"] - df_of + 0.5) / (df_of + 0.5)))
+    shared = spark.sparkContext.broadcast(rarity(frequencies(docs), total["n"]))
     mean = total["tokens"] / max(1, total["n"])
-    shards = max(1, -(-total["n"] // SHARD_DOCS), -(-total["tokens"] // SHARD_TOKENS))
+    sharded, shards = with_shards(docs, SHARD_DOCS, SHARD_TOKENS)
+    # A task works several shards, one after the other, once there are more than tasks to keep busy.
+    tasks = max(1, min(shards, max(-(-shards // TASK_SHARDS), 4 * spark.sparkContext.defaultParallelism)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts).combine_chunks().sort_by("row").combine_chunks()
-        terms, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks()
-        if isinstance(terms, pa.ChunkedArray):
-            terms, counts = terms.chunk(0), counts.chunk(0)
-        offsets = terms.offsets.to_numpy()
-        shard = Shard(t["n_tokens"].to_numpy(), offsets - offsets[0], terms.flatten().to_numpy(), counts.flatten().to_numpy(), shared.value, mean)
-        rows, base = t["row"].to_numpy(), TaskContext.get().partitionId() << 32
-        for window, capacity in sizes:
-            got = list(zip(*pack_shard(shard, capacity)))
-            if got:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(got[0]), window), pa.int32()), pa.array(np.array(got[0]) + base, pa.int64()), pa.array(got[1], pa.int32()), pa.array(rows[np.array(got[2])], pa.int64()), pa.array(got[3], pa.int32()), pa.array(got[4], pa.int64()), pa.array(got[5], pa.int64()), pa.array(got[6], pa.float64())],
-                    ["window_id", "bin", "place", "row", "piece", "first_token", "n_tokens", "score"],
-                )
-
-    keys = [*(f"near_{i}" for i in range(len(near))), F.xxhash64("row")]
-    return docs.repartitionByRange(shards, *keys).select("row", "n_tokens", "terms", "counts").mapInArrow(run, "window_id int, bin bigint, place int, row bigint, piece int, first_token bigint, n_tokens bigint, score double")
+        for number, t in _shards(batches):
+            terms, counts = t["terms"].combine_chunks(), t["counts"].combine_chunks()
+            if isinstance(terms, pa.ChunkedArray):
+                terms, counts = terms.chunk(0), counts.chunk(0)
+            offsets = terms.offsets.to_numpy()
+            shard = Shard(t["n_tokens"].to_numpy(), offsets - offsets[0], terms.flatten().to_numpy(), counts.flatten().to_numpy(), shared.value, mean)
+            rows, base = t["row"].to_numpy(), number << 32
+            for window, capacity in sizes:
+                got = list(zip(*pack_shard(shard, capacity)))
+                if got:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(got[0]), window), pa.int32()), pa.array(np.array(got[0]) + base, pa.int64()), pa.array(got[1], pa.int32()), pa.array(rows[np.array(got[2])], pa.int64()), pa.array(got[3], pa.int32()), pa.array(got[4], pa.int64()), pa.array(got[5], pa.int64()), pa.array(got[6], pa.float64())],
+                        ["window_id", "bin", "place", "row", "piece", "first_token", "n_tokens", "score"],
+                    )
+
+    placed = sharded.repartitionById(tasks, F.expr(f"cast(cast(shard as bigint) * {tasks} div {max(1, shards)} as int)")).sortWithinPartitions("shard", "row")
+    return placed.select("shard", "row", "n_tokens", "terms", "counts").mapInArrow(run, "window_id int, bin bigint, place int, row bigint, piece int, first_token bigint, n_tokens bigint, score double")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Sorted batches as one table a shard."""
+    held: list[pa.Table] = []
+    now = None
+    for b in batches:
+        shard = b.column("shard").to_numpy()
+        starts = [*np.flatnonzero(np.diff(shard, prepend=shard[:1] - 1)), len(shard)] if len(shard) else []
+        for lo, hi in zip(starts, starts[1:]):
+            if held and shard[lo] != now:
+                yield now, pa.concat_tables(held).combine_chunks()
+                held = []
+            now = int(shard[lo])
+            held.append(pa.Table.from_batches([b.slice(lo, hi - lo)]))
+    if held:
+        yield now, pa.concat_tables(held).combine_chunks()

@@ -27,7 +27,7 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_packed(spark: SparkSession, root: str) -> DataFrame:
-    return pack(table(spark, root, "documents"), table(spark, root, "context_window"), "doc_id", "text", ["lang", "source"]).withColumnRenamed("row", "doc_id")
+    return pack(table(spark, root, "documents"), table(spark, root, "context_window"), "doc_id", "text").withColumnRenamed("row", "doc_id")
 
 
 def p7_fill(spark: SparkSession, root: str) -> DataFrame:

@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from tesseral.llm.packing import Shard, _Sizes, pack, pack_shard
+from tesseral.llm.packing import Shard, _Sizes, fit_cells, measured, pack, pack_shard
+from tesseral.llm.shards import cell_shards, rarity, with_shards
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +14,7 @@ def windows(spark):
 
 def run(spark, texts, windows):
     df = spark.createDataFrame([(i, t, "en" if i % 2 else None, "clash", 7) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, terms string, row int")
-    return [r.asDict() for r in pack(df, windows, "doc_id", "text", ["lang"]).collect()]
+    return [r.asDict() for r in pack(df, windows, "doc_id", "text").collect()]
 
 
 def check(out, capacity, window, n_docs):
@@ -81,3 +82,46 @@ def test_neighbours_fill_the_last_room_before_sizes_do():
     shard = Shard(np.array([52, 6, 12]), np.arange(4), np.array([1, 1, 2]), one, np.ones(3), 20.0)
     bins = {d: b for b, _, d, *_ in pack_shard(shard, 64)}
     assert bins[0] == bins[1] != bins[2]
+
+
+def test_cells_become_shards_of_bounded_size():
+    rng = np.random.default_rng(1)
+    sizes = [(c, int(rng.integers(1, 300)) if c % 7 else 5000, int(rng.integers(1, 9000))) for c in range(40)]
+    cells, n = cell_shards(sizes, 1000, 20_000)
+    docs = np.zeros(n)
+    for (cell, first, parts), (_, d, _) in zip(cells, sizes):
+        assert parts == (5 if d == 5000 else 1)
+        docs[first : first + parts] += d / parts
+    assert docs.max() <= 1000 and docs.min() > 0 and [c for c, *_ in cells] == list(range(40))
+    assert cell_shards([], 10, 10) == ([], 0)
+
+
+def test_neighbours_are_in_the_shard_of_their_topic(spark, monkeypatch):
+    """Recall of the corpus' ten best by BM25 inside a document's own shard, against brute force."""
+    monkeypatch.setattr("tesseral.llm.packing.SHARD_DOCS", 60)
+    rng = np.random.default_rng(4)
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдежзиклмнопрсту"
+    topics = [["".join(rng.choice(list(letters[3 * t : 3 * t + 3]), 5)) for _ in range(30)] for t in range(12)]
+    texts = [" ".join(rng.choice(topics[i % 12], 20)) for i in range(480)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs = measured(df, "doc_id", "text", cells=fit_cells(df, "doc_id", "text"))
+    sharded, n = with_shards(docs, 60, 10**9)
+    rows = sorted(sharded.collect(), key=lambda r: r["row"])
+    assert n >= 8 and [r["row"] for r in rows] == list(range(480))
+    offsets = np.cumsum([0, *(len(r["terms"]) for r in rows)])
+    terms, counts = (np.concatenate([r[c] for r in rows]) for c in ("terms", "counts"))
+    whole = Shard(np.array([r["n_tokens"] for r in rows]), offsets, terms, counts, rarity(np.bincount(terms), len(rows)), 1.0)
+    shard = np.array([r["shard"] for r in rows])
+    found = []
+    for q in range(0, 480, 10):
+        s = whole.scores(q).astype(float)
+        s[q] = -1
+        best = np.argsort(-s, kind="stable")[:10]
+        found.append((shard[best] == shard[q]).mean())
+    assert np.mean(found) >= 0.9
+
+
+def test_two_runs_number_alike(spark, windows):
+    texts = [f"alpha {i % 7} beta {i % 3} " * (i % 9 + 1) for i in range(90)]
+    key = lambda r: (r["window_id"], r["row"], r["piece"])
+    assert sorted(run(spark, texts, windows), key=key) == sorted(run(spark, texts, windows), key=key)
