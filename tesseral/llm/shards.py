@@ -87,13 +87,23 @@ class Cells:
 
 
 def cell_shards(sizes: list[tuple[int, int, int]], docs: int, tokens: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(cell, first shard, parts) of each (cell, documents, tokens), and the number of shards, none planned for more than asked."""
+    """(cell, first shard, parts) of each (cell, documents, tokens), and the number of shards, none planned for more than asked.
+
+    A leaf that does not fit the room left begins a new shard if the one before is half full.
+    """
     out, shard, n, t = [], 0, 0, 0
+    leaf, of_leaf = -1, {}
+    for cell, d, k in sizes:
+        x = of_leaf.setdefault(cell // BUCKETS, [0, 0])
+        x[0], x[1] = x[0] + d, x[1] + k
     for cell, d, k in sorted(sizes):
-        parts = max(-(-d // docs), -(-k // tokens))
-        if n and (parts > 1 or n + d > docs or t + k > tokens):
+        parts = max(1, -(-d // docs), -(-k // tokens))
+        need_d, need_k = of_leaf[cell // BUCKETS] if cell // BUCKETS != leaf else (0, 0)
+        leaf = cell // BUCKETS
+        half = 2 * n >= docs or 2 * t >= tokens
+        if n and (parts > 1 or n + d > docs or t + k > tokens or half and (n + need_d > docs or t + need_k > tokens)):
             shard, n, t = shard + 1, 0, 0
-        out.append((cell, shard, max(1, parts)))
+        out.append((cell, shard, parts))
         if parts > 1:
             shard += parts
         else:
