@@ -97,7 +97,10 @@ def test_cells_become_shards_of_bounded_size():
 
 
 def test_neighbours_are_in_the_shard_of_their_topic(spark, monkeypatch):
-    """Recall of the corpus' ten best by BM25 inside a document's own shard, against brute force."""
+    """Recall of the corpus' ten best by BM25 inside a document's own shard, against brute force; by chance it would be 1 / n.
+
+    A topic has 40 documents and a shard at most 60, so every other topic is cut by a shard's end.
+    """
     monkeypatch.setattr("tesseral.llm.packing.SHARD_DOCS", 60)
     rng = np.random.default_rng(4)
     letters = "abcdefghijklmnopqrstuvwxyzабвгдежзиклмнопрсту"
@@ -118,7 +121,7 @@ def test_neighbours_are_in_the_shard_of_their_topic(spark, monkeypatch):
         s[q] = -1
         best = np.argsort(-s, kind="stable")[:10]
         found.append((shard[best] == shard[q]).mean())
-    assert np.mean(found) >= 0.9
+    assert np.mean(found) >= max(0.7, 5 / n)
 
 
 def test_two_runs_number_alike(spark, windows):
