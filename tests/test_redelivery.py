@@ -41,6 +41,23 @@ def test_empty(spark):
     assert run(spark, []) == []
 
 
+def test_whole_rows_repeated_are_one(spark):
+    rows = [(1, "a", 5), (1, "a", 5), (2, "b", 5), (2, "b", 5), (2, "b", 5), (3, "b", 6)]
+    assert run(spark, rows) == [3]
+
+
+def test_a_tree_of_filters_finds_what_a_list_would(spark):
+    rnd = np.random.default_rng(2)
+    n = 3000
+    ident, bucket = rnd.integers(0, 900, n), rnd.integers(0, 37, n)
+    pairs = sorted(set(zip(ident.tolist(), bucket.tolist())))
+    h = {i: (int(a), int(b)) for i, a, b in zip(range(900), rnd.integers(0, 2**62, 900), rnd.integers(0, 2**62, 900))}
+    t = pa.table({"ident": [str(i) for i, _ in pairs], "bucket": [b for _, b in pairs], "h1": [h[i][0] for i, _ in pairs], "h2": [h[i][1] for i, _ in pairs], "shard": [0] * len(pairs)})
+    got = {(r["ident"], r["bucket"], r["old_bucket"]) for r in screen_shard(t).to_pylist()}
+    want = {(str(i), b, c) for i, b in pairs for j, c in pairs if i == j and c < b}
+    assert want <= got and len(got) < 1.02 * len(want) + 20
+
+
 def test_bloom_never_forgets():
     rnd = np.random.default_rng(1)
     h1, h2 = rnd.integers(0, 2**63, 2000, dtype=np.uint64), rnd.integers(0, 2**63, 2000, dtype=np.uint64)
