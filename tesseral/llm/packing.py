@@ -206,11 +206,12 @@ def pack(df: DataFrame, windows: DataFrame, row: str, text: str, vocabulary: str
     """
     spark = df.sparkSession
     sizes = [(r["window_id"], int(r["capacity_tokens"])) for r in windows.select("window_id", "capacity_tokens").distinct().orderBy("window_id", "capacity_tokens").collect() if r["capacity_tokens"] and r["capacity_tokens"] > 0]
-    docs = cut(measured(df, row, text, vocabulary, folder, fit_cells(df, row, text, vocabulary, folder)))
+    cells = fit_cells(df, row, text, vocabulary, folder)
+    docs = cut(measured(df, row, text, vocabulary, folder, cells))
     total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     shared = spark.sparkContext.broadcast(rarity(frequencies(docs), total["n"]))
     mean = total["tokens"] / max(1, total["n"])
-    sharded, shards = with_shards(docs, SHARD_DOCS, SHARD_TOKENS)
+    sharded, shards = with_shards(docs, SHARD_DOCS, SHARD_TOKENS, cells[1])
     # A task works several shards, one after the other, once there are more than tasks to keep busy.
     tasks = max(1, min(shards, max(-(-shards // TASK_SHARDS), 4 * spark.sparkContext.defaultParallelism)))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tesseral.llm.packing import Shard, _Sizes, fit_cells, measured, pack, pack_shard
-from tesseral.llm.shards import cell_shards, rarity, with_shards
+from tesseral.llm.shards import Sketcher, cell_shards, rarity, with_shards
 
 
 @pytest.fixture(scope="module")
@@ -107,8 +107,8 @@ def test_neighbours_are_in_the_shard_of_their_topic(spark, monkeypatch):
     topics = [["".join(rng.choice(list(letters[3 * t : 3 * t + 3]), 5)) for _ in range(30)] for t in range(12)]
     texts = [" ".join(rng.choice(topics[i % 12], 20)) for i in range(480)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    docs = measured(df, "doc_id", "text", cells=fit_cells(df, "doc_id", "text"))
-    sharded, n = with_shards(docs, 60, 10**9)
+    cells = fit_cells(df, "doc_id", "text")
+    sharded, n = with_shards(measured(df, "doc_id", "text", cells=cells), 60, 10**9, cells[1])
     rows = sorted(sharded.collect(), key=lambda r: r["row"])
     assert n >= 8 and [r["row"] for r in rows] == list(range(480))
     offsets = np.cumsum([0, *(len(r["terms"]) for r in rows)])
@@ -128,3 +128,10 @@ def test_two_runs_number_alike(spark, windows):
     texts = [f"alpha {i % 7} beta {i % 3} " * (i % 9 + 1) for i in range(90)]
     key = lambda r: (r["window_id"], r["row"], r["piece"])
     assert sorted(run(spark, texts, windows), key=key) == sorted(run(spark, texts, windows), key=key)
+
+
+def test_sketches_do_not_depend_on_the_size_of_the_vocabulary():
+    terms, counts, offsets = np.array([1, 5, 7, 2]), np.array([1, 2, 1, 3]), np.array([0, 3, 3, 4])
+    w = np.arange(1.0, 9.0)
+    a, b = (Sketcher(w, n).sketch(terms, counts, offsets) for n in (8, 5000))
+    assert np.array_equal(a, b) and not a[1].any() and abs(np.linalg.norm(a[0]) - 1) < 1e-5
