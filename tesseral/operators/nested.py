@@ -19,14 +19,14 @@ that are data) the explode is done by a generic walk instead, with the same resu
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesseral.functions.variant import is_object, parse_object, path_of
+from tesseral.functions.variant import ARRAY, BOOLEAN, NUMBER, OBJECT, STRING, is_object, kind_bit, parse_object, path_of
 
 MAX_PATHS = 400
 ITEM = "[]"
@@ -84,19 +84,19 @@ def merged_schema(df: DataFrame, column: str) -> DataFrame:
     return parts.groupBy("path").agg(F.bit_or("kinds").alias("kinds"))
 
 
-def _walk(value: object, path: str, parent: str, out: list[tuple[str, str, int]]) -> None:
+def _walk(value: object, path: str, parent: str, out: list[tuple[str, str, int, str, str]], table: str = "") -> None:
     if isinstance(value, dict):
         for k, x in value.items():
             if isinstance(x, (dict, list)):
-                _walk(x, f"{path}.{k}" if path else k, parent, out)
+                _walk(x, f"{path}.{k}" if path else k, parent, out, f"{table}.{k}" if table else k)
     else:
         for i, x in enumerate(value):
             p = f"{path}[{i}]"
             if isinstance(x, dict):
-                out.append((p, parent, i, json.dumps(x)))
-                _walk(x, p, p, out)
+                out.append((p, parent, i, table + ITEM, json.dumps(x)))
+                _walk(x, p, p, out, table + ITEM)
             elif isinstance(x, list):
-                _walk(x, p, parent, out)
+                _walk(x, p, parent, out, table + ITEM)
 
 
 def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,10 +105,11 @@ def _walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if (v := _loads(t)) is not None:
                 n = len(rows)
+                rows.append(("", None, None, "", json.dumps(v)))
                 _walk(v, "", "", rows)
                 ids += [i] * (len(rows) - n)
-        cols = list(zip(*rows)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string())))], ["row", "item_path", "parent_path", "place", "json"])
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())))], ["row", "item_path", "parent_path", "place", "kind_path", "json"])
 
 
 class _Level:
@@ -198,26 +199,25 @@ def _children(levels: list[_Level], ids: dict[tuple[str, ...], int]) -> Column:
     return out
 
 
-def explode_objects(df: DataFrame, row: str, column: str, nodes: bool = True, max_paths: int = MAX_PATHS) -> DataFrame:
+def explode_objects(df: DataFrame, row: str, column: str, nodes: bool = True, max_paths: int = MAX_PATHS, root: bool = False) -> DataFrame:
     """(row, item_path, parent_path, place, kind_path, node): every object that is an element of an array.
 
     ``kind_path`` is the path without positions, the name of the flat table the row belongs to
     has ``[]`` for each. Paths start inside the record: ``a[0].b.c[2]``. Without ``nodes`` the
     objects themselves are left behind as soon as their children are out, and ``node`` is null.
+    With ``root`` the record itself is a row too: empty paths, no parent, no place.
     """
-    spark = df.sparkSession
     paths = {tuple(json.loads(r["path"])): r["kinds"] for r in merged_schema(df, column).limit(max_paths + 1).collect()}
     if len(paths) > max_paths:
-        walked = df.select(F.col(row).cast("bigint"), F.col(column).cast("string")).mapInArrow(_walked, "row bigint, item_path string, parent_path string, place int, json string")
-        return walked.select("row", "item_path", "parent_path", "place", F.regexp_replace("item_path", r"\[\d+\]", ITEM).alias("kind_path"), F.try_parse_json("json").alias("node"))
+        walked = df.select(F.col(row).cast("bigint"), F.col(column).cast("string")).mapInArrow(_walked, "row bigint, item_path string, parent_path string, place int, kind_path string, json string")
+        return walked.where("true" if root else "parent_path is not null").select("row", "item_path", "parent_path", "place", "kind_path", (F.try_parse_json("json") if nodes else F.lit(None).cast("variant")).alias("node"))
     levels, deepest = _levels(paths)
     ids = {x.base: i for i, x in enumerate(levels)}
-    if not deepest:
-        return spark.createDataFrame([], "row bigint, item_path string, parent_path string, place int, kind_path string, node variant")
     at = df.select(
         F.col(row).cast("bigint").alias("row"),
         F.struct(F.lit(0).alias("tid"), F.lit("").alias("item_path"), F.lit(None).cast("string").alias("parent_path"), F.lit(None).cast("int").alias("place"), parse_object(F.col(column).cast("string")).alias("node")).alias("c"),
     )
+    at = at.where("c.node is not null") if root else at
     heights = {x.base: _height(x.base, ids) for x in levels}
     empty = F.lit(None).cast("variant")
     for k in range(deepest):
@@ -225,17 +225,100 @@ def explode_objects(df: DataFrame, row: str, column: str, nodes: bool = True, ma
         kids = _children([x for x in levels if heights[x.base] == k], ids)
         self_ = F.array(F.col("c") if nodes else F.when(F.col("c.tid").isin(done), F.col("c").withField("node", empty)).otherwise(F.col("c"))).cast(_ROW)
         at = at.select("row", F.explode(F.concat(self_, F.coalesce(kids, F.array().cast(_ROW)))).alias("c"))
-        at = at.where("c.tid > 0") if k == 0 else at
+        at = at.where("c.tid > 0") if k == 0 and not root else at
+    if not deepest and not root:
+        at = at.where("false")
     names = F.array(*(F.lit(_name(x.base)) for x in levels))
-    return at.select("row", "c.item_path", "c.parent_path", "c.place", F.element_at(names, F.col("c.tid") + 1).alias("kind_path"), "c.node")
+    return at.select("row", "c.item_path", "c.parent_path", "c.place", F.element_at(names, F.col("c.tid") + 1).alias("kind_path"), (F.col("c.node") if nodes else empty).alias("node"))
 
 
 def _name(base: tuple[str, ...]) -> str:
     return reduce(lambda s, k: s + ITEM if k == ITEM else (f"{s}.{k}" if s else k).replace("\0[]", "[]"), base, "")
 
 
+#: Plain objects inside one another, and arrays directly inside one another, whose fields are given as fields; what lies deeper is JSON text.
+DEEP = 8
+
+_FIELD = "array<struct<place:string,part:string,field:string,node:variant>>"
+
+
+def _grown(fields: Column, go_on: Callable[[Column], Column], parts: Callable[[Column], Column]) -> Column:
+    """Each field for which ``go_on`` holds replaced by its parts."""
+    return F.flatten(F.transform(fields, lambda f: F.when(go_on(f), parts(f)).otherwise(F.array(f)).cast(_FIELD)))
+
+
+def own_fields(df: DataFrame, row: str, column: str, max_paths: int = MAX_PATHS) -> DataFrame:
+    """(row, table_name, item_path, parent_path, field, kind, text, number): every value of every flat table.
+
+    The record is a row of the table ``''``. Fields of plain objects inside a row are fields of the row, their keys
+    joined by dots; objects in arrays are rows of the array's table and not repeated here, and values in arrays are
+    rows of it too, with an empty field. Nulls have no row. ``kind`` is string, number or boolean (json beyond DEEP),
+    ``number`` has numbers, ``text`` has the others.
+    """
+    found = explode_objects(df, row, column, max_paths=max_paths, root=True)
+    entry = lambda place, part, field, node: F.struct(place.alias("place"), part.alias("part"), field.alias("field"), node.alias("node"))
+    none = F.lit("")
+    pairs = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    fields = F.transform(pairs(F.col("node")), lambda e: entry(none, none, e["key"], e["value"])).cast(_FIELD)
+    for _ in range(DEEP):
+        fields = _grown(fields, lambda f: is_object(f["node"]), lambda f: F.transform(pairs(f["node"]), lambda e: entry(none, none, F.concat(f["field"], F.lit("."), e["key"]), e["value"])))
+    # Arrays: objects in them are rows already, whatever else is in them becomes rows of their table.
+    is_array = lambda f: F.schema_of_variant(f["node"]).startswith("ARRAY")
+    items = lambda f: F.filter(
+        F.transform(
+            F.try_variant_get(f["node"], "$", "array<variant>"),
+            lambda x, i: entry(F.concat(F.when(f["part"] == "", f["field"]).otherwise(f["place"]), F.lit("["), i.cast("string"), F.lit("]")), F.concat(F.when(f["part"] == "", f["field"]).otherwise(f["part"]), F.lit("[]")), none, x),
+        ),
+        lambda f: ~F.coalesce(is_object(f["node"]), F.lit(False)),
+    )
+    for _ in range(DEEP):
+        fields = _grown(fields, is_array, items)
+    at = found.select("row", "kind_path", "item_path", "parent_path", F.explode(fields).alias("f")).withColumn("bit", kind_bit(F.col("f.node"))).where("bit > 0")
+    dotted = lambda base, more: F.when(F.col(more) == "", F.col(base)).when(F.col(base) == "", F.col(more)).otherwise(F.concat(base, F.lit("."), more))
+    number = F.col("bit").bitwiseAND(NUMBER) != 0
+    kind = F.when(number, "number").when(F.col("bit") == STRING, "string").when(F.col("bit") == BOOLEAN, "boolean").otherwise("json")
+    return at.select(
+        "row", dotted("kind_path", "f.part").alias("table_name"), dotted("item_path", "f.place").alias("item_path"),
+        F.when(F.col("f.part") == "", F.coalesce("parent_path", F.lit(""))).otherwise(F.col("item_path")).alias("parent_path"), F.col("f.field").alias("field"), kind.alias("kind"),
+        F.when(~number, F.when(F.col("bit").isin(ARRAY, OBJECT), F.to_json("f.node")).otherwise(F.try_variant_get("f.node", "$", "string"))).alias("text"), F.when(number, F.try_variant_get("f.node", "$", "double")).alias("number"),
+    )
+
+
+def field_types(fields: DataFrame) -> DataFrame:
+    """(table_name, field, kinds): of rows as from :func:`own_fields`, each table's fields and the sorted set of their kinds."""
+    return fields.groupBy("table_name", "field").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
+
+
+def flat_table(df: DataFrame, row: str, column: str, name: str, types: list[tuple[str, list[str]]]) -> DataFrame:
+    """One flat table: (row, parent_path, item_path, place) and a column a field, typed by the kinds it has.
+
+    ``types`` are the table's (field, kinds); a field of one kind is a double, boolean or string, a mixed one is text.
+    Columns are named by their fields with ``__`` for dots.
+    """
+    rows = explode_objects(df, row, column, root=True).where(F.col("kind_path") == name)
+    taken, columns = {"row", "parent_path", "item_path", "place"}, []
+    for field, kinds in sorted(types):
+        if not field:
+            continue
+        alias = field.replace(".", "__")
+        while alias.lower() in taken:
+            alias += "_"
+        taken.add(alias.lower())
+        x = F.try_variant_get("node", path_of(*field.split(".")), "variant")
+        bit = kind_bit(x)
+        if kinds == ["number"]:
+            value = F.when(bit.bitwiseAND(NUMBER) != 0, F.try_variant_get(x, "$", "double"))
+        elif kinds == ["boolean"]:
+            value = F.when(bit == BOOLEAN, F.try_variant_get(x, "$", "boolean"))
+        else:
+            value = F.when((bit == STRING) if kinds == ["string"] else bit.bitwiseAND(F.lit(ARRAY | OBJECT)) == 0, F.try_variant_get(x, "$", "string"))
+        columns.append(value.alias(alias))
+    return rows.select("row", F.coalesce("parent_path", F.lit("")).alias("parent_path"), "item_path", "place", *columns)
+
+
 def flat_tables(df: DataFrame, row: str, column: str) -> dict[str, DataFrame]:
-    """A DataFrame for each array path: parent key (row, parent_path), own key item_path, place, JSON of the object."""
-    every = explode_objects(df, row, column)
-    names = [r[0] for r in every.select("kind_path").distinct().collect()]
-    return {n: every.where(F.col("kind_path") == n).select("row", "parent_path", "item_path", "place", F.to_json("node").alias("object")) for n in sorted(names)}
+    """Every flat table by name, the records' own under ``''``. The names and types of fields, metadata, are collected."""
+    types: dict[str, list[tuple[str, list[str]]]] = {}
+    for r in field_types(own_fields(df, row, column)).collect():
+        types.setdefault(r["table_name"], []).append((r["field"], r["kinds"]))
+    return {name: flat_table(df, row, column, name, types[name]) for name in sorted(types)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesseral.operators.drift import schema_changes, union_table
-from tesseral.operators.nested import explode_objects, merged_schema
+from tesseral.operators.nested import explode_objects, field_types, flat_table, own_fields
 from tesseral.operators.orphans import find_orphans, references
 from tesseral.operators.redelivery import find_repeats
 from tesseral.session import table
@@ -54,17 +54,26 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select(F.col("row").alias("line_id"), "item_path", "parent_path")
 
 
+def _fields(spark: SparkSession, root: str) -> DataFrame:
+    return own_fields(table(spark, root, "transcript_event"), "line_id", "message")
+
+
 def p5_tables(spark: SparkSession, root: str) -> DataFrame:
-    """All flat tables in one: the table a row belongs to, its keys and its own fields as JSON."""
-    found = explode_objects(table(spark, root, "transcript_event"), "line_id", "message")
-    return found.select(F.col("row").alias("line_id"), F.col("kind_path").alias("table_name"), "item_path", "parent_path", "place", F.to_json("node").alias("fields"))
+    """All flat tables in one: a row a value, with the table and the row it belongs to and that row's parent."""
+    return _fields(spark, root).withColumnRenamed("row", "line_id")
 
 
 def p5_schema(spark: SparkSession, root: str) -> DataFrame:
-    return merged_schema(table(spark, root, "transcript_event"), "message")
+    return field_types(_fields(spark, root)).withColumn("kinds", F.concat_ws(",", "kinds"))
+
 
+def p5_records(spark: SparkSession, root: str) -> DataFrame:
+    """The flat table of the records themselves, usage included, a typed column a field."""
+    types = [(r["field"], r["kinds"]) for r in field_types(_fields(spark, root)).where("table_name = ''").collect()]
+    return flat_table(table(spark, root, "transcript_event"), "line_id", "message", "", types).withColumnRenamed("row", "line_id").drop("parent_path", "item_path", "place")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_table, p4_found, p4_kept, p5_found, p5_tables, p5_schema)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_table, p4_found, p4_kept, p5_found, p5_tables, p5_schema, p5_records)}
 
 _ORPHANS = """
 WITH refs AS (
@@ -83,6 +92,27 @@ WITH refs AS (
   FROM judged WHERE NOT ok
 )
 """
+_FIELDS = """
+WITH RECURSIVE node(line_id, v, tbl, item, parent, own, field) AS (
+  SELECT line_id, CAST(message AS JSON), '', '', '', '', '' FROM transcript_event WHERE json_valid(message) AND json_type(message) = 'OBJECT'
+  UNION ALL
+  SELECT line_id, c.v, c.tbl, c.item, CASE WHEN c.inside THEN own ELSE parent END, CASE WHEN c.inside AND json_type(c.v) = 'OBJECT' THEN c.item ELSE own END, c.field
+  FROM (
+    SELECT line_id, parent, own, unnest(
+      CASE json_type(v)
+        WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'v': json_extract(v, '$."' || k || '"'), 'tbl': tbl, 'item': item, 'field': CASE field WHEN '' THEN k ELSE field || '.' || k END, 'inside': false})
+        ELSE list_transform(range(CAST(json_array_length(v) AS BIGINT)), lambda i: {'v': json_extract(v, '$[' || i || ']'),
+          'tbl': CASE WHEN field = '' THEN tbl WHEN tbl = '' THEN field ELSE tbl || '.' || field END || '[]', 'item': CASE WHEN field = '' THEN item WHEN item = '' THEN field ELSE item || '.' || field END || '[' || i || ']', 'field': '', 'inside': true})
+      END) AS c
+    FROM node WHERE json_type(v) IN ('OBJECT', 'ARRAY')
+  )
+), val AS (
+  SELECT line_id, tbl AS table_name, item AS item_path, parent AS parent_path, field,
+    CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kind, CASE WHEN json_type(v) IN ('VARCHAR', 'BOOLEAN') THEN v->>'$' END AS text, CASE WHEN json_type(v) NOT IN ('VARCHAR', 'BOOLEAN') THEN CAST(v AS DOUBLE) END AS number
+  FROM node WHERE json_type(v) NOT IN ('OBJECT', 'ARRAY', 'NULL')
+)
+"""
+_USAGE_PATHS = ["cache_creation.ephemeral_1h_input_tokens", "cache_creation.ephemeral_5m_input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "input_tokens", "output_tokens", "output_tokens_details.thinking_tokens"]
 _RANKED = """
 WITH named AS (
   SELECT row_id, received_at, nullif(lower(regexp_replace(request_id, '^\\s+|\\s+$', '', 'g')), '') AS ident FROM usage_entry
@@ -95,6 +125,11 @@ ORACLES: dict[str, str] = {
     "p1_report": _ORPHANS + "SELECT source_table, CAST(t AS DATE) AS day, reason, count(*) AS orphans FROM cases GROUP BY ALL",
     "p4_found": _RANKED + "SELECT row_id FROM ranked WHERE ident IS NOT NULL AND n > 1",
     "p4_kept": _RANKED + "SELECT u.row_id, batch_id, request_id, usage FROM usage_entry u JOIN ranked r ON u.row_id = r.row_id WHERE ident IS NULL OR n = 1",
+    "p5_tables": _FIELDS + "SELECT * FROM val",
+    "p5_schema": _FIELDS + "SELECT table_name, field, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM val GROUP BY ALL",
+    "p5_records": "SELECT line_id, " + ", ".join(f"CASE WHEN json_type(message, '$.{c}') = 'VARCHAR' THEN message->>'$.{c}' END AS {c}" for c in ("content", "id", "model", "role", "stop_reason"))
+    + ", " + ", ".join(f"CASE WHEN json_type(message, '$.usage.{p}') NOT IN ('VARCHAR', 'OBJECT', 'ARRAY', 'NULL', 'BOOLEAN') THEN CAST(message->'$.usage.{p}' AS DOUBLE) END AS usage__{p.replace('.', '__')}" for p in _USAGE_PATHS)
+    + " FROM (SELECT line_id, CAST(message AS JSON) AS message FROM transcript_event WHERE json_valid(message) AND json_type(message) = 'OBJECT')",
     "p5_found": """
 WITH RECURSIVE node(line_id, v, path, around) AS (
   SELECT line_id, CAST(message AS JSON), '', '' FROM transcript_event WHERE json_valid(message) AND json_type(message) = 'OBJECT'

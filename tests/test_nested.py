@@ -3,7 +3,7 @@
 import json
 import random
 
-from tesseral.operators.nested import MAX_PATHS, _loads, _walk, explode_objects, flat_tables, merged_schema
+from tesseral.operators.nested import MAX_PATHS, _loads, _walk, explode_objects, flat_tables, merged_schema, own_fields
 
 
 def rows(spark, texts):
@@ -16,7 +16,7 @@ def brute(texts):
         if (v := _loads(t)) is not None:
             got = []
             _walk(v, "", "", got)
-            out += [(i, a, b, k) for a, b, k, _ in got]
+            out += [(i, a, b, k) for a, b, k, *_ in got]
     return sorted(out)
 
 
@@ -68,14 +68,39 @@ def test_empty_and_schema(spark):
     assert got == {('["a", "[]"]', 3), ('["a", "[]", "b", "[]"]', 2)}
 
 
-def test_flat_tables_keep_links(spark):
-    t = flat_tables(rows(spark, ['{"a":[{"b":[{"c":1},{"c":2}]}]}']), "line_id", "message")
-    assert sorted(t) == ["a[]", "a[].b[]"]
-    assert [(r["parent_path"], r["place"], r["object"]) for r in t["a[].b[]"].orderBy("place").collect()] == [("a[0]", 0, '{"c":1}'), ("a[0]", 1, '{"c":2}')]
+NESTED = '{"a":1,"u":{"b":{"c":true},"n":null,"s":"x"},"l":[1,"t",[2.5,{"z":1}],null,{"k":[{"m":"q"}],"w":{"y":7}}],"e":[]}'
+
+
+def test_every_value_is_in_one_table_once(spark):
+    got = sorted((r["table_name"], r["item_path"], r["parent_path"], r["field"], r["text"] if r["number"] is None else r["number"]) for r in own_fields(rows(spark, [NESTED, None, "[1]", "{}"]), "line_id", "message").collect())
+    assert got == sorted([
+        ("", "", "", "a", 1.0), ("", "", "", "u.b.c", "true"), ("", "", "", "u.s", "x"), ("l[]", "l[0]", "", "", 1.0), ("l[]", "l[1]", "", "", "t"), ("l[][]", "l[2][0]", "", "", 2.5),
+        ("l[][]", "l[2][1]", "", "z", 1.0), ("l[]", "l[4]", "", "w.y", 7.0), ("l[].k[]", "l[4].k[0]", "l[4]", "m", "q"),
+    ])
+
+
+def test_fields_do_not_depend_on_the_way(spark):
+    df = rows(spark, [*CASES, NESTED])
+    a, b = (sorted(map(tuple, own_fields(df, "line_id", "message", **kw).collect()), key=str) for kw in ({}, {"max_paths": 1}))
+    assert a == b and len(a) > 15
+
+
+def test_flat_tables_are_typed_and_keep_links(spark):
+    t = flat_tables(rows(spark, ['{"m":"x","u":{"n":2},"a":[{"b":[{"c":1},{"c":2}],"d":true}]}', '{"m":5}']), "line_id", "message")
+    assert sorted(t) == ["", "a[]", "a[].b[]"]
+    assert [tuple(r) for r in t[""].select("row", "m", "u__n").orderBy("row").collect()] == [(0, "x", 2.0), (1, "5", None)]
+    assert [tuple(r) for r in t["a[]"].collect()] == [(0, "", "a[0]", 0, True)]
+    assert [(r["parent_path"], r["place"], r["c"]) for r in t["a[].b[]"].orderBy("place").collect()] == [("a[0]", 0, 1.0), ("a[0]", 1, 2.0)]
 
 
 def test_flat_tables_beyond_the_paths_of_one_plan(spark):
     keys = [f"k{i}" for i in range(MAX_PATHS + 5)]
     t = flat_tables(rows(spark, [json.dumps({k: [{"v": k}] for k in keys})]), "line_id", "message")
     assert sorted(t) == sorted(f"{k}[]" for k in keys)
-    assert [tuple(r) for r in t["k7[]"].collect()] == [(0, "", "k7[0]", 0, '{"v":"k7"}')]
+    assert [tuple(r) for r in t["k7[]"].collect()] == [(0, "", "k7[0]", 0, "k7")]
+
+
+def test_keys_that_hold_brackets_keep_their_table(spark):
+    df = rows(spark, ['{"a[0]":[{"x":1}]}'])
+    for kw in ({}, {"max_paths": 0}):
+        assert [(r["kind_path"], r["item_path"]) for r in explode_objects(df, "line_id", "message", **kw).collect()] == [("a[0][]", "a[0][0]")]
