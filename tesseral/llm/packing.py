@@ -35,8 +35,8 @@ from tesseral.session import cut
 #: Documents and tokens a shard is planned for, and shards a task.
 SHARD_DOCS, SHARD_TOKENS, TASK_SHARDS = 2_000, 4_000_000, 16
 K1, B = 1.2, 0.75
-#: A term in at least one of so many documents of a shard is a dense row of its index.
-DENSE = 16
+#: A term in at least one of so many documents of a shard is common there.
+DENSE = 64
 
 
 def measured(df: DataFrame, row: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, cells: tuple[np.ndarray, Cells] | None = None) -> DataFrame:
@@ -107,26 +107,28 @@ class Shard:
         order = np.argsort(terms, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        # Terms in many of the documents as dense rows, which add up faster than lists of documents.
-        n = np.diff(self.starts)
-        often = np.flatnonzero(n * DENSE >= max(1, self.n))
-        self.dense_of = np.full(len(idf), -1)
-        self.dense_of[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n), np.float32)
-        for k, t in enumerate(often):
-            self.dense[k, self.doc[self.starts[t] : self.starts[t + 1]]] = self.weight[self.starts[t] : self.starts[t + 1]]
+        # What terms in many of the documents give is added up for all pairs at once, as a product of matrices; the others' lists are short.
+        often = np.flatnonzero(np.diff(self.starts) * DENSE >= max(1, self.n))
+        dense_of = np.full(len(idf), -1)
+        dense_of[often] = np.arange(len(often))
+        self.rare = dense_of < 0
+        at = dense_of[terms]
+        held = at >= 0
+        asks, gives = np.zeros((self.n, len(often)), np.float32), np.zeros((self.n, len(often)), np.float32)
+        asks[doc[held], at[held]] = 1
+        gives[doc[held], at[held]] = weight[held]
+        self.common = asks @ gives.T
         self.rows: dict[int, np.ndarray] = {}
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
         if (got := self.rows.get(seed)) is None:
             q = self.terms[self.offsets[seed] : self.offsets[seed + 1]]
-            k = self.dense_of[q]
-            often, q = k[k >= 0], q[k < 0]
+            q = q[self.rare[q]]
             lo, n = self.starts[q], self.starts[q + 1] - self.starts[q]
             ends = np.cumsum(n)
             at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            got = self.rows[seed] = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32) + self.dense[often].sum(axis=0)
+            got = self.rows[seed] = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32) + self.common[seed]
         return got
 
 
@@ -184,7 +186,7 @@ def pack_shard(shard: Shard, capacity: int) -> list[tuple[int, int, int, int, in
         if left.fitting(room) >= 0:
             score = shard.scores(int(items[seed]))[items]
             near = np.flatnonzero(left.alive & (sizes <= room) & (score > 0))
-            near = near[np.lexsort((near, -score[near]))]
+            near = near[np.argsort(-score[near], kind="stable")]
             while len(near):
                 i = int(near[0])
                 put(i, place, float(score[i]))

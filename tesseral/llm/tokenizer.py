@@ -169,6 +169,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
+        self.words: dict[str, list[int]] = {}
         self.chars = 0
         self.store, self.starts, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.used, self.count = 0, 1
@@ -195,10 +196,12 @@ class Encoder:
         return out
 
     def learn(self, pieces: list[str]) -> None:
-        split = [self.pattern.findall(p) for p in pieces]
-        words = list(dict.fromkeys(w for s in split for w in s))
+        # A run of ASCII letters, with a blank before it or without, is one word of the pattern.
+        split = [[p] if p.isascii() and (p.isalpha() or p[:1] == " " and p[1:].isalpha()) else self.pattern.findall(p) for p in pieces]
+        of = self.words
+        words = list({w for s in split for w in s}.difference(of))
         tokens, _ = self.vocabulary.encode_words([w.encode() for w in words])
-        of = dict(zip(words, tokens))
+        of.update(zip(words, tokens))
         flat: list[int] = []
         sizes = []
         for p, s in zip(pieces, split):
@@ -208,6 +211,10 @@ class Encoder:
             sizes.append(len(flat) - before)
             self.known[p] = self.count + len(sizes) - 1
             self.chars += len(p) + 20
+        for w in words:
+            if len(w) > CACHE_WORD:
+                del of[w]
+        self.chars += sum(map(len, words)) + 40 * len(words)
         n = len(pieces)
         while self.count + n > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
