@@ -36,7 +36,9 @@ from tesseral.session import cut
 SHARD_DOCS, SHARD_TOKENS, TASK_SHARDS = 2_000, 4_000_000, 16
 K1, B = 1.2, 0.75
 #: A term in at least one of so many documents of a shard is common there.
-DENSE = 64
+DENSE = 32
+#: Pairs of documents added up at once, and neighbours looked at before all are put in order.
+PAIRS, NEAREST = 2_000_000, 32
 
 
 def measured(df: DataFrame, row: str, text: str, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, cells: tuple[np.ndarray, Cells] | None = None) -> DataFrame:
@@ -97,39 +99,41 @@ def fit_cells(df: DataFrame, row: str, text: str, vocabulary: str = "byte_bpe_50
 
 
 class Shard:
-    """The inverted index of one shard's documents: for each term the documents and their BM25 weights."""
+    """The inverted index of one shard's documents, and by it the BM25 of every document for every other one's terms."""
 
     def __init__(self, sizes: np.ndarray, offsets: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray, mean: float) -> None:
-        self.n, self.sizes, self.offsets, self.terms = len(sizes), sizes, offsets, terms
+        self.n, self.sizes = len(sizes), sizes
         doc = np.repeat(np.arange(self.n), np.diff(offsets))
-        tf = counts.astype(np.float64)
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1e-9)))
-        order = np.argsort(terms, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.starts = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        # What terms in many of the documents give is added up for all pairs at once, as a product of matrices; the others' lists are short.
-        often = np.flatnonzero(np.diff(self.starts) * DENSE >= max(1, self.n))
-        dense_of = np.full(len(idf), -1)
-        dense_of[often] = np.arange(len(often))
-        self.rare = dense_of < 0
-        at = dense_of[terms]
-        held = at >= 0
-        asks, gives = np.zeros((self.n, len(often)), np.float32), np.zeros((self.n, len(often)), np.float32)
-        asks[doc[held], at[held]] = 1
-        gives[doc[held], at[held]] = weight[held]
-        self.common = asks @ gives.T
-        self.rows: dict[int, np.ndarray] = {}
+        weight = idf[terms] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * sizes[doc] / max(mean, 1e-9)))
+        found, place = np.unique(terms, return_inverse=True)
+        n = np.bincount(place, minlength=len(found))
+        # What terms in many of the documents give is added up for all pairs at once, as a product of matrices.
+        often = n * DENSE >= max(1, self.n)
+        at = np.cumsum(often) - 1
+        held = often[place]
+        asks, gives = np.zeros((self.n, int(often.sum())), np.float32), np.zeros((self.n, int(often.sum())), np.float32)
+        asks[doc[held], at[place[held]]] = 1
+        gives[doc[held], at[place[held]]] = weight[held]
+        self.bm25 = asks @ gives.T
+        # The others have short lists: each entry is asked for by every document of its list; some documents at once, for bounded memory.
+        doc, place, weight = doc[~held], place[~held], weight[~held]
+        order = np.argsort(place, kind="stable")
+        listed, gave, starts = doc[order], weight[order], np.cumsum(n * ~often) - n * ~often
+        bounds = np.searchsorted(doc, np.arange(self.n + 1))
+        pairs = np.concatenate([[0], np.cumsum(n[place])])[bounds]  # asked for by the documents before
+        first = 0
+        while first < self.n:
+            last = max(first + 1, int(np.searchsorted(pairs, pairs[first] + PAIRS, side="right")) - 1)
+            lo, hi = bounds[first], bounds[last]
+            size = n[place[lo:hi]]
+            to = np.repeat(starts[place[lo:hi]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            asking = np.repeat((doc[lo:hi] - first) * self.n, size)
+            self.bm25[first:last] += np.bincount(asking + listed[to], gave[to], (last - first) * self.n).reshape(last - first, self.n)
+            first = last
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document of the shard for the seed's terms."""
-        if (got := self.rows.get(seed)) is None:
-            q = self.terms[self.offsets[seed] : self.offsets[seed + 1]]
-            q = q[self.rare[q]]
-            lo, n = self.starts[q], self.starts[q + 1] - self.starts[q]
-            ends = np.cumsum(n)
-            at = np.repeat(lo - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            got = self.rows[seed] = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32) + self.common[seed]
-        return got
+        return self.bm25[seed]
 
 
 class _Sizes:
@@ -159,6 +163,16 @@ class _Sizes:
         return int(self.order[i - 1]) if i else -1
 
 
+def _nearest(near: np.ndarray, score: np.ndarray) -> Iterator[np.ndarray]:
+    """The neighbours best first, ties in their order: first about NEAREST of them, then the rest, put in order only if asked for."""
+    if len(near) > 4 * NEAREST:
+        least = np.partition(score, len(score) - NEAREST)[len(score) - NEAREST]
+        best = score > least
+        yield near[best][np.argsort(-score[best], kind="stable")]
+        near, score = near[~best], score[~best]
+    yield near[np.argsort(-score, kind="stable")]
+
+
 def pack_shard(shard: Shard, capacity: int) -> list[tuple[int, int, int, int, int, int, float]]:
     """(bin, place, document, piece, first token, tokens, score) of every piece of the shard's documents."""
     out, bins = [], 0
@@ -180,19 +194,24 @@ def pack_shard(shard: Shard, capacity: int) -> list[tuple[int, int, int, int, in
         out.append((bins, place, d, k, k * capacity, int(sizes[i]), score))
         left.remove(i)
 
+    every = len(items) == shard.n
     while (seed := left.fitting(capacity)) >= 0:
         room, place = capacity - int(sizes[seed]), 1
         put(seed, 0, 0.0)
         if left.fitting(room) >= 0:
-            score = shard.scores(int(items[seed]))[items]
+            score = shard.scores(int(items[seed]))
+            score = score if every else score[items]
             near = np.flatnonzero(left.alive & (sizes <= room) & (score > 0))
-            near = near[np.argsort(-score[near], kind="stable")]
-            while len(near):
-                i = int(near[0])
-                put(i, place, float(score[i]))
-                room -= int(sizes[i])
-                place += 1
-                near = near[1:][sizes[near[1:]] <= room]
+            for part in _nearest(near, score[near]):
+                part = part[sizes[part] <= room]
+                while len(part):
+                    i = int(part[0])
+                    put(i, place, float(score[i]))
+                    room -= int(sizes[i])
+                    place += 1
+                    part = part[1:][sizes[part[1:]] <= room]
+                if left.fitting(room) < 0:
+                    break
         while (i := left.fitting(room)) >= 0:
             put(i, place, 0.0)
             room -= int(sizes[i])

@@ -156,6 +156,21 @@ class Vocabulary:
         return tokens, len(failing)
 
 
+class _Known(dict):
+    """Numbers of pieces; a piece asked for the first time gets the next number and is noted as fresh."""
+
+    def __init__(self) -> None:
+        super().__init__({"": 0})
+        self.fresh: list[str] = []
+        self.next = 1
+
+    def __missing__(self, piece: str) -> int:
+        i = self[piece] = self.next
+        self.next += 1
+        self.fresh.append(piece)
+        return i
+
+
 class Encoder:
     """Texts to token ids, remembering words.
 
@@ -168,7 +183,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = _Known()
         self.words: dict[str, list[int]] = {}
         self.chars = 0
         self.store, self.starts, self.sizes = np.zeros(1024, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
@@ -209,7 +224,6 @@ class Encoder:
             for w in s:
                 flat += of[w]
             sizes.append(len(flat) - before)
-            self.known[p] = self.count + len(sizes) - 1
             self.chars += len(p) + 20
         for w in words:
             if len(w) > CACHE_WORD:
@@ -233,9 +247,10 @@ class Encoder:
             self.forget()
         cut = [self.pieces(t) if t else [] for t in texts]
         flat = [p for c in cut for p in c]
-        if new := set(flat).difference(self.known):
-            self.learn(list(new))
         at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        new, self.known.fresh = self.known.fresh, []
+        if new:
+            self.learn(new)
         for p in new:
             if len(p) > CACHE_WORD:
                 del self.known[p]
