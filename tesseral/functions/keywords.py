@@ -10,7 +10,7 @@ from tesseral.functions.text import let
 # Fixed value: words that are no keywords.
 STOP = "about above after again always before below between could every first have having their there these those through under until where which while would should rules rule block section files file code task tasks".split()
 # Fixed value: phrases that give reasons.
-CAUSAL = r"(?i)\b(I'll|I'm going to|let me|let's|I should|I need to|I want to|I've|because|since|per|as the rule|the rule says|in line with|to comply|to follow|skipping|ignoring|following|noting|so I|so let)\b"
+CAUSAL = r"(?i)\b(I'?ll|I'?m going to|Let me|Let's|I should|I need to|I want to|I'?ve|because|since|per\b|as the rule|the rule says|in line with|to comply|to follow|skipping|ignoring|following|noting|so I|so let)\b"
 
 
 def keywords(text: Column, prompt: Column | None = None, n: int = 12, least: int = 5) -> Column:
@@ -27,13 +27,15 @@ def hits(text: Column, words: Column) -> Column:
     return let(F.lower(text), lambda t: F.size(F.filter(words, lambda w: t.contains(w))))
 
 
-def topical_score(text: Column, words: Column, named: tuple[str, ...] = ("the rule", "global rules")) -> Column:
-    """A point a keyword, two more for a reason given, one for naming the rules; none without a keyword."""
-    h, t = hits(text, words), F.lower(text)
-    names = F.lit(False)
-    for n in named:
-        names = names | t.contains(n)
-    return F.when(h > 0, h + F.when(text.rlike(CAUSAL), 2).otherwise(0) + F.when(names, 1).otherwise(0)).otherwise(0)
+def bonus(text: Column, weights: dict[str, int]) -> Column:
+    """Points of a text whatever the keywords are: those of each pattern it matches."""
+    return sum((F.when(text.rlike(p), n).otherwise(0) for p, n in weights.items()), F.lit(0))
+
+
+def grams(text: Column, n: int = 5) -> Column:
+    """The distinct runs of ``n`` characters inside the text's words, lower case: a word of n or more that a text contains begins with one of them."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"([a-z0-9_-]{{{n},}})"), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n)))))
 
 
 def sentences(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -60,25 +61,54 @@ def lanes(steps: DataFrame, session: str, order: list[str], agent: str, opens: s
     parts = steps.select(session, F.struct(*order).alias("_o"), agent, opens).repartition(session).sortWithinPartitions(session, "_o").select(session, agent, opens)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used = None, {}
+        current, used, free, lanes_ = None, {}, [], 0  # free: a heap of lanes given back
         for b in batches:
             out = []
             for s, a, o in b.itertuples(index=False):
                 if s != current:
-                    current, used = s, {}
+                    current, used, free, lanes_ = s, {}, [], 0
                 if o:
-                    taken = set(used.values())
-                    lane = next(i for i in range(len(taken) + 1) if i not in taken)
-                    used[a] = lane
-                    out.append((s, a, lane))
-                else:
-                    used.pop(a, None)
+                    if free:
+                        used[a] = heapq.heappop(free)
+                    else:
+                        used[a], lanes_ = lanes_, lanes_ + 1
+                    out.append((s, a, used[a]))
+                elif a in used:
+                    heapq.heappush(free, used.pop(a))
             yield pd.DataFrame(out, columns=[*cols, "lane"])
 
     types = dict(parts.dtypes)
     return parts.mapInPandas(run, f"{session} {types[session]}, {agent} {types[agent]}, lane int")
 
 
+def occupancy(steps: DataFrame, session: str, order: list[str], agent: str, opens: str) -> DataFrame:
+    """(session, step, agent, opens, lane, through): at each step the agent's own lane and the lanes of all others open, in order.
+
+    The same fold as :func:`lanes`, with a row a step.
+    """
+    parts = steps.select(session, F.struct(*order).alias("_o"), agent, opens).repartition(session).sortWithinPartitions(session, "_o").select(session, agent, opens)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used, free, step = None, {}, [], 0
+        for b in batches:
+            out = []
+            for s, a, o in b.itertuples(index=False):
+                if s != current:
+                    current, used, free, step = s, {}, [], 0
+                if o:
+                    used[a] = heapq.heappop(free) if free else len(used)
+                lane = used.get(a)
+                through = sorted(n for x, n in used.items() if x != a)
+                out.append((s, step, a, o, lane, ",".join(map(str, through))))
+                if not o and a in used:
+                    heapq.heappush(free, used.pop(a))
+                step += 1
+            yield pd.DataFrame(out, columns=[session, "step", agent, opens, "lane", "through"]).astype({"lane": "Int32"})
+
+    types = dict(parts.dtypes)
+    return parts.mapInPandas(run, f"{session} {types[session]}, step bigint, {agent} {types[agent]}, {opens} boolean, lane int, through string")
+
+
 def fan_outs(rows: DataFrame, session: str, order: list[str], kind: str, ref: str) -> DataFrame:
     """Maximal runs of consecutive spawns that all report before the next turn: (session, first, size, members).
 
@@ -86,7 +116,8 @@ def fan_outs(rows: DataFrame, session: str, order: list[str], kind: str, ref: st
     """
     w = Window.partitionBy(session).orderBy(*order)
     place = rows.withColumn("_n", F.row_number().over(w))
-    ahead = Window.partitionBy(session).orderBy("_n").rowsBetween(1, Window.unboundedFollowing)
+    # The next turn is the least one before in the reverse order: a running value.
+    ahead = Window.partitionBy(session).orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
     place = place.withColumn("_turn", F.min(F.when(F.col(kind) == "turn", F.col("_n"))).over(ahead))
     spawn = F.col(kind) == "spawn"
     islands = place.withColumn("_island", F.col("_n") - F.sum(F.when(spawn, 1).otherwise(0)).over(Window.partitionBy(session).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)))

@@ -135,17 +135,19 @@ def union_table(lines: DataFrame, files: DataFrame, keys: list[str] | None = Non
 
     Objects held by every file that has the field become columns ``outer__inner``; what is mixed or an array
     stays as JSON text. ``more_fields`` maps any field beyond ``max_columns`` to its JSON text.
-    The names and kinds of fields, and which stand in one file, are the only things brought to
-    the driver: metadata whose size is that of the fields' vocabulary.
+    The names and kinds of fields, the renames, and which renamed ones stand in one file, are the only
+    things brought to the driver: metadata whose size is that of the fields' vocabulary.
     """
     keys = keys or ["line_id", "file_id", "line_no"]
     schemas = cut(file_schemas(lines))
     flat = schemas.where("outer is not null").select("file_id", "outer", "inner", "kinds")
     fields = {(r["outer"], r["inner"]): r["kinds"] for r in flat.groupBy("outer", "inner").agg(F.bit_or("kinds").alias("kinds")).collect()}
     tops = {o: k for (o, i), k in fields.items() if i is None}
-    a, b = flat.where("inner is null").select("file_id", F.col("outer").alias("a")), flat.where("inner is null").select("file_id", F.col("outer").alias("b"))
-    together = {tuple(r) for r in a.join(b, "file_id").where("a < b").select("a", "b").distinct().collect()}
     renames = [tuple(r) for r in schema_changes(lines, files, schemas).where("change = 'renamed' and not contains(old_path, '.')").select("old_path", "new_path").distinct().collect()]
+    # Only fields that were renamed may be one column, so only of these it matters which stand in one file.
+    moved = flat.where(F.col("inner").isNull() & F.col("outer").isin(sorted({n for pair in renames for n in pair}) or [""]))
+    a, b = moved.select("file_id", F.col("outer").alias("a")), moved.select("file_id", F.col("outer").alias("b"))
+    together = {tuple(r) for r in a.join(b, "file_id").where("a < b").select("a", "b").distinct().collect()}
     v = F.col("_v")
     columns, more, taken = [], [], {k.lower() for k in [*keys, "more_fields"]}
 

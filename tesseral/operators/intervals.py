@@ -30,7 +30,9 @@ def uncovered(points: DataFrame, merged: DataFrame, keys: list[str], at: str, st
     a = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_k"), F.lit(None).cast("bigint").alias("_s"), F.lit(None).cast("bigint").alias("_e"), F.struct(*names).alias("_row"))
     b = merged.select(*keys, F.col(start).cast(a.schema["_at"].dataType).alias("_at"), F.lit(0).alias("_k"), F.col(start).cast("bigint").alias("_s"), F.col(end).cast("bigint").alias("_e"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
     w = Window.partitionBy(*keys).orderBy("_at", "_k")
-    x = a.unionByName(b).withColumn("end_before", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start_after", F.first("_s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    # What comes after is what went before in the reverse order: both are running values.
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    x = a.unionByName(b).withColumn("end_before", F.last("_e", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start_after", F.last("_s", ignorenulls=True).over(back))
     return x.where((F.col("_k") == 1) & (F.col("end_before").isNull() | (F.col("_at") > F.col("end_before")))).select(*keys, "_row.*", "end_before", "start_after")
 
 

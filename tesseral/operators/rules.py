@@ -91,6 +91,8 @@ def judge(check: dict[str, Any], path: str, text: str) -> tuple[str, int, str] |
 
 def problem(check: dict[str, Any]) -> str | None:
     """Why a check can't be used, else None: shape, patterns, and its own examples."""
+    if not isinstance(check, dict):
+        return "no object"
     kind = check.get("kind")
     if not check.get("id"):
         return "no id"
@@ -134,10 +136,15 @@ def load_checks(data: dict[str, Any]) -> tuple[list[dict[str, Any]], list[tuple[
         if reason is None:
             good.append(c)
         else:
-            bad.append((str(c.get("id") or ""), reason))
+            bad.append((str(c.get("id") or "") if isinstance(c, dict) else "", reason))
     return good, bad
 
 
+def not_checkable(data: dict[str, Any]) -> list[tuple[str, str, str]]:
+    """(rule_ref, rule_text, why) of the rules a file says can't be checked; entries of another shape are left out."""
+    return [(str(x.get("rule_ref") or ""), str(x.get("rule_text") or ""), str(x.get("why") or "")) for x in data.get("not_checkable") or [] if isinstance(x, dict)]
+
+
 # How a text forbids something, and what in backticks looks like code or a glob.
 FORBIDS = re.compile(r"\b(?:never|don't|do not|avoid|must not|no longer)\b[^.\n]{0,40}?`([A-Za-z_][A-Za-z0-9_.]{2,}(?:\(\))?)`", re.I)
 GLOB = re.compile(r"`(\*{1,2}[^`\s]*\.\w+|[\w*/.-]+\.\w+)`")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesseral.functions.text import iso_micros
 from tesseral.functions.messages import AGENT_TOOLS
-from tesseral.operators import agents, compare, intervals
+from tesseral.operators import agents, compare, intervals, sessions
 from tesseral.operators.sessions import in_order
 from tesseral.plans.common import TURNS, micros
 from tesseral.plans.sessions import compactions, events, turned
@@ -20,6 +20,8 @@ from tesseral.sources import transcripts as tr
 READ_CAP = 2000
 #: Statuses of subagents from the one that shows to the one that hides.
 STATUS_RANKS = ["failed", "killed", "cancelled", "running", "completed"]
+#: The place of what stands after all events.
+END = (1 << 63) - 1
 #: Characters of a timeline row by kind.
 CLIPS = {"user": 300, "tool-result": 200, "assistant-text": 400, "tool-use": 160}
 
@@ -82,36 +84,47 @@ def open_spawns(spark: SparkSession, root: str) -> DataFrame:
     return spawns(spark, root).join(r, ["session_key", "spawn"], "left_anti").select("session_key", "event_idx", "spawn", "subagent_type")
 
 
+def placed_reports(spark: SparkSession, root: str) -> DataFrame:
+    """Reports with ``place``: the first event at or after their time; those without a readable time, or after all events, stand at the end."""
+    r = reports(spark, root)
+    marks = r.where("session_key is not null and return_us is not null").select("session_key", F.col("return_us").alias("us"), F.col("return_row").alias("mark"))
+    hit = sessions.first_at_or_after(events(spark, root).select("session_key", "event_idx", "us"), marks, "session_key", "event_idx", "us", "mark")
+    return r.join(hit.select("session_key", F.col("mark").alias("return_row"), F.col("event_idx").alias("_p")), ["session_key", "return_row"], "left").withColumn("place", F.coalesce("_p", F.lit(END))).drop("_p")
+
+
 def spawn_return_by_name(spark: SparkSession, root: str) -> DataFrame:
-    s = spawns(spark, root).where("spawn_us is not null").select(F.col("session_key").alias("session"), F.col("spawn_us").alias("at"), "spawn", F.col("description").alias("name"))
+    s = spawns(spark, root).select(F.col("session_key").alias("session"), F.col("event_idx").alias("at"), "spawn", F.col("description").alias("name"))
     known = calls(spark, root).select(F.col("session_key").alias("session"), F.col("id").alias("ref"), F.lit(True).alias("_c")).where("ref is not null").distinct()
-    r = reports(spark, root).select(F.col("session_key").alias("session"), F.col("return_us").alias("at"), F.col("return_row").cast("string").alias("report"), F.col("tool_use_id").alias("ref"), F.col("summary").alias("name"))
+    r = placed_reports(spark, root).select(F.col("session_key").alias("session"), F.col("place").alias("at"), F.col("return_row").cast("string").alias("report"), F.col("tool_use_id").alias("ref"), F.col("summary").alias("name"))
     r = r.join(known, ["session", "ref"], "left").withColumn("foreign", F.col("_c").isNotNull()).drop("_c")
     return agents.pair_with_names(s, r)
 
 
 def agent_steps(spark: SparkSession, root: str) -> DataFrame:
-    """Openings and, where an agent ever reports, its closing at the last report."""
-    s, r = spawns(spark, root).where("spawn_us is not null"), reports(spark, root)
-    last = r.where("return_us is not null").groupBy("session_key", F.col("tool_use_id").alias("spawn")).agg(F.max("return_us").alias("us"))
-    first = s.groupBy("session_key", "spawn").agg(F.min("spawn_us").alias("us"), F.min("event_idx").alias("event_idx"))
-    opens = first.select("session_key", "us", F.lit(0).alias("k"), "spawn", F.lit(True).alias("opens"))
-    closes = last.join(first.select("session_key", "spawn", F.col("us").alias("from_us")), ["session_key", "spawn"]).where("us >= from_us").select("session_key", "us", F.lit(1).alias("k"), "spawn", F.lit(False).alias("opens"))
+    """Openings and, where an agent ever reports, its closing at the last report, by their place among the events.
+
+    An agent without an id, or one whose only reports stand before it, is open; of equal ids the first counts.
+    """
+    last = placed_reports(spark, root).where("tool_use_id is not null").groupBy("session_key", F.col("tool_use_id").alias("spawn")).agg(F.max("place").alias("place"))
+    first = spawns(spark, root).groupBy("session_key", F.coalesce("spawn", F.concat(F.lit("#"), F.col("event_idx").cast("string"))).alias("spawn")).agg(F.min("event_idx").alias("place"))
+    opens = first.select("session_key", "place", F.lit(0).alias("k"), "spawn", F.lit(True).alias("opens"))
+    closes = last.join(first.select("session_key", "spawn", F.col("place").alias("from_place")), ["session_key", "spawn"]).where("place >= from_place").select("session_key", "place", F.lit(1).alias("k"), "spawn", F.lit(False).alias("opens"))
     return opens.unionByName(closes)
 
 
 def lane_assignment(spark: SparkSession, root: str) -> DataFrame:
-    return agents.lanes(agent_steps(spark, root), "session_key", ["us", "k", "spawn"], "spawn", "opens")
+    return agents.lanes(agent_steps(spark, root), "session_key", ["place", "k", "spawn"], "spawn", "opens")
 
 
 def agents_in_flight(spark: SparkSession, root: str) -> DataFrame:
-    return agents.in_flight(agent_steps(spark, root), "session_key", ["us", "k", "spawn"], "opens").select("session_key", "us", "spawn", "opens", "in_flight")
+    return agents.in_flight(agent_steps(spark, root), "session_key", ["place", "k", "spawn"], "opens").select("session_key", "place", "spawn", "opens", "in_flight")
 
 
 def fanout_groups(spark: SparkSession, root: str) -> DataFrame:
-    steps = agent_steps(spark, root).select("session_key", "us", F.when(F.col("opens"), 1).otherwise(2).alias("k"), F.when(F.col("opens"), "spawn").otherwise("return").alias("kind"), F.col("spawn").alias("ref"))
-    t = turned(spark, root).where("prompt is not null and us is not null").select("session_key", "us", F.lit(0).alias("k"), F.lit("turn").alias("kind"), F.col("event_idx").cast("string").alias("ref"))
-    return agents.fan_outs(t.unionByName(steps), "session_key", ["us", "k", "ref"], "kind", "ref")
+    """Runs of consecutive spawns that all report before the next turn."""
+    steps = agent_steps(spark, root).select("session_key", "place", F.when(F.col("opens"), 1).otherwise(2).alias("k"), F.when(F.col("opens"), "spawn").otherwise("return").alias("kind"), F.col("spawn").alias("ref"))
+    t = tr.prompts(events(spark, root)).where("prompt is not null").select("session_key", F.col("event_idx").alias("place"), F.lit(0).alias("k"), F.lit("turn").alias("kind"), F.col("event_idx").cast("string").alias("ref"))
+    return agents.fan_outs(t.unionByName(steps), "session_key", ["place", "k", "ref"], "kind", "ref")
 
 
 def agent_group_totals(spark: SparkSession, root: str) -> DataFrame:
@@ -234,11 +247,13 @@ _RANGES = _CALLS + f""", r AS (
   SELECT *, CASE WHEN max(e) OVER w IS NULL OR s > max(e) OVER w + 1 THEN 1 ELSE 0 END AS fresh FROM rr WINDOW w AS (PARTITION BY session_key, path ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), k AS (SELECT *, sum(fresh) OVER (PARTITION BY session_key, path ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM g), merged AS (SELECT session_key, path, min(s) AS s, max(e) AS e FROM k GROUP BY session_key, path, island)
 """
-_AGENTS = _CALLS + f""", sp AS (SELECT session_key, event_idx, id AS spawn, {micros("ts")} AS spawn_us, input->>'$.subagent_type' AS subagent_type FROM c WHERE name IN ('Agent', 'Task', 'Workflow')),
+_AGENTS = _CALLS + f""", aev AS (SELECT session_key, event_idx, {micros("ts")} AS us FROM transcript_event QUALIFY row_number() OVER (PARTITION BY session_key, event_idx ORDER BY arrived_at, line_id) = 1),
+sp AS (SELECT session_key, event_idx, id AS spawn, {micros("ts")} AS spawn_us, input->>'$.subagent_type' AS subagent_type FROM c WHERE name IN ('Agent', 'Task', 'Workflow')),
 rp AS (SELECT *, {micros("ts")} AS return_us FROM agent_return),
-fi AS (SELECT session_key, spawn, min(spawn_us) AS us FROM sp WHERE spawn_us IS NOT NULL GROUP BY 1, 2),
-la AS (SELECT session_key, tool_use_id AS spawn, max(return_us) AS us FROM rp WHERE return_us IS NOT NULL GROUP BY 1, 2),
-steps AS (SELECT session_key, us, 0 AS k, spawn, true AS opens FROM fi UNION ALL SELECT l.session_key, l.us, 1, l.spawn, false FROM la l JOIN fi f ON f.session_key = l.session_key AND f.spawn = l.spawn WHERE l.us >= f.us)
+pl AS (SELECT r.*, coalesce((SELECT min(e.event_idx) FROM aev e WHERE e.session_key = r.session_key AND e.us >= r.return_us), {END}) AS place FROM rp r),
+fi AS (SELECT session_key, coalesce(spawn, '#' || event_idx) AS spawn, min(event_idx) AS place FROM sp GROUP BY 1, 2),
+la AS (SELECT session_key, tool_use_id AS spawn, max(place) AS place FROM pl WHERE tool_use_id IS NOT NULL GROUP BY 1, 2),
+steps AS (SELECT session_key, place, 0 AS k, spawn, true AS opens FROM fi UNION ALL SELECT l.session_key, l.place, 1, l.spawn, false FROM la l JOIN fi f ON f.session_key = l.session_key AND f.spawn = l.spawn WHERE l.place >= f.place)
 """
 _PAIRS = TURNS + """, br AS (SELECT session_key, arg_min(git_branch, event_idx) FILTER (WHERE git_branch IS NOT NULL) AS git_branch FROM ev GROUP BY 1),
 p AS (SELECT * FROM (SELECT session_key, lead(session_key) OVER (PARTITION BY git_branch ORDER BY session_key) AS other FROM br WHERE git_branch IS NOT NULL) WHERE other IS NOT NULL)
@@ -257,9 +272,29 @@ z AS (SELECT q.*, (SELECT max(reason) FROM ld l WHERE l.session_key = q.session_
 SELECT session_key, probe, key, NOT (coalesce(reason = 'path_glob_match', false) AND cut IS NOT NULL) AS resident, CASE WHEN reason = 'path_glob_match' THEN cut END AS evicted_at FROM z""",
     "spawn_return_pairs": _AGENTS + "SELECT s.session_key, s.event_idx, spawn, CASE WHEN r.return_row IS NULL THEN 'open' ELSE 'returned' END AS status, return_row, r.status AS report_status, subagent_tokens, duration_ms FROM sp s LEFT JOIN rp r ON r.session_key = s.session_key AND r.tool_use_id = s.spawn",
     "open_spawns": _AGENTS + "SELECT session_key, event_idx, spawn, subagent_type FROM sp s WHERE NOT EXISTS (SELECT 1 FROM rp r WHERE r.session_key = s.session_key AND r.tool_use_id = s.spawn)",
-    "agents_in_flight": _AGENTS + "SELECT session_key, us, spawn, opens, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY session_key ORDER BY us, k, spawn ROWS UNBOUNDED PRECEDING) AS in_flight FROM steps",
-    "fanout_groups": TURNS + _AGENTS.replace("WITH c AS", ", c AS", 1) + """, rw AS (SELECT session_key, us, 0 AS k, 'turn' AS kind, CAST(event_idx AS VARCHAR) AS ref FROM turned WHERE prompt IS NOT NULL AND us IS NOT NULL UNION ALL SELECT session_key, us, CASE WHEN opens THEN 1 ELSE 2 END, CASE WHEN opens THEN 'spawn' ELSE 'return' END, spawn FROM steps),
-n AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY us, k, ref) AS n FROM rw),
+    "lane_assignment": _AGENTS.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, ord AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY place, k, spawn) AS n FROM steps),
+lane AS (
+  SELECT session_key, 0 AS n, CAST([] AS STRUCT(a VARCHAR, l BIGINT)[]) AS used, CAST(NULL AS VARCHAR) AS spawn, CAST(NULL AS BIGINT) AS lane FROM ord GROUP BY 1
+  UNION ALL
+  SELECT o.session_key, o.n, CASE WHEN o.opens THEN list_append(p.used, {'a': o.spawn, 'l': f}) ELSE list_filter(p.used, lambda u: u.a <> o.spawn) END, o.spawn, CASE WHEN o.opens THEN f END
+  FROM (SELECT *, list_min(list_filter(range(len(used) + 1), lambda x: NOT list_contains(list_transform(used, lambda u: u.l), x))) AS f FROM lane) p JOIN ord o ON o.session_key = p.session_key AND CAST(o.n AS INT) = p.n + 1
+) SELECT session_key, spawn, CAST(lane AS INT) AS lane FROM lane WHERE lane IS NOT NULL""",
+    "spawn_return_by_name": _AGENTS.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, al AS (
+  SELECT session_key AS session, event_idx AS t, 0 AS k, id, input->>'$.description' AS name, CAST(NULL AS VARCHAR) AS report, false AS far FROM c WHERE name IN ('Agent', 'Task', 'Workflow')
+  UNION ALL SELECT session_key, place, 1, tool_use_id, summary, CAST(return_row AS VARCHAR), tool_use_id IS NOT NULL AND EXISTS (SELECT 1 FROM c WHERE c.session_key = pl.session_key AND c.id = pl.tool_use_id) FROM pl),
+ord AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t, k, report NULLS LAST, id NULLS LAST) AS n FROM al),
+st AS (
+  SELECT session, 0 AS n, CAST([] AS STRUCT(i VARCHAR, w VARCHAR, c BOOLEAN)[]) AS l, CAST(NULL AS VARCHAR) AS report, CAST(NULL AS VARCHAR) AS spawn, CAST(NULL AS VARCHAR) AS matched_by FROM ord GROUP BY 1
+  UNION ALL
+  SELECT session, n, CASE WHEN k = 0 THEN list_append(l, {'i': id, 'w': name, 'c': false}) ELSE list_transform(l, lambda x: {'i': x.i, 'w': x.w, 'c': x.c OR coalesce(x.i = hit, false)}) END, report, CASE WHEN k = 1 THEN hit END, CASE WHEN k = 1 THEN how END
+  FROM (
+    SELECT *, CASE WHEN known THEN id WHEN NOT far THEN free.i END AS hit, CASE WHEN known THEN 'id' WHEN NOT far AND free IS NOT NULL THEN 'name' ELSE 'unmatched' END AS how
+    FROM (SELECT o.*, p.l, list_contains(list_transform(p.l, lambda x: x.i), o.id) AND o.id IS NOT NULL AS known, list_filter(p.l, lambda x: x.w IS NOT DISTINCT FROM o.name AND NOT x.c)[1] AS free FROM st p JOIN ord o ON o.session = p.session AND CAST(o.n AS INT) = p.n + 1)
+  )
+) SELECT session, report, spawn, matched_by FROM st WHERE matched_by IS NOT NULL""",
+    "agents_in_flight": _AGENTS + "SELECT session_key, place, spawn, opens, sum(CASE WHEN opens THEN 1 ELSE -1 END) OVER (PARTITION BY session_key ORDER BY place, k, spawn ROWS UNBOUNDED PRECEDING) AS in_flight FROM steps",
+    "fanout_groups": TURNS + _AGENTS.replace("WITH c AS", ", c AS", 1) + """, rw AS (SELECT session_key, event_idx AS place, 0 AS k, 'turn' AS kind, CAST(event_idx AS VARCHAR) AS ref FROM pr WHERE prompt IS NOT NULL UNION ALL SELECT session_key, place, CASE WHEN opens THEN 1 ELSE 2 END, CASE WHEN opens THEN 'spawn' ELSE 'return' END, spawn FROM steps),
+n AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY place, k, ref) AS n FROM rw),
 t AS (SELECT *, min(n) FILTER (WHERE kind = 'turn') OVER (PARTITION BY session_key ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_turn, n - sum(CASE WHEN kind = 'spawn' THEN 1 ELSE 0 END) OVER (PARTITION BY session_key ORDER BY n) AS island FROM n),
 b AS (SELECT session_key, ref, min(n) AS back FROM t WHERE kind = 'return' GROUP BY 1, 2)
 SELECT t.session_key, min(n) AS first_row, count(*) AS size, string_agg(t.ref, ',' ORDER BY t.ref) AS members FROM t LEFT JOIN b ON b.session_key = t.session_key AND b.ref = t.ref WHERE kind = 'spawn' GROUP BY t.session_key, island

@@ -11,6 +11,7 @@ from tesseral.functions import format as fmt
 from tesseral.operators import compare
 from tesseral.plans.common import TURNS, micros
 from tesseral.plans.flows import calls, spawns
+from tesseral.plans.sessions import ORACLES as SESSIONS
 from tesseral.plans.sessions import events, session_summary, turn_usage_totals, turned
 from tesseral.session import table
 from tesseral.sources import transcripts as tr
@@ -175,9 +176,11 @@ _ALL = (session_lines, newest_sessions, prefix_lookup, session_links, report_loa
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CALLS = "WITH c AS (SELECT * FROM tool_call QUALIFY row_number() OVER (PARTITION BY session_key, event_idx, item_idx ORDER BY arrived_at, call_row) = 1)"
+SUMMARY = SESSIONS["session_summary"]
 _MAIN = "coalesce(agent_id, '') = ''"
 _TURN_USE = ", tu AS (SELECT s.session_key, turn_idx, sum(cache_read) AS cache_read, sum(input + cache_read + cache_creation) AS p FROM series s JOIN turned t ON t.session_key = s.session_key AND t.event_idx = s.event_idx GROUP BY 1, 2)"
 ORACLES: dict[str, str] = {
+    "session_lines": "SELECT session_key, left(session_key, 8) || '  ' || events || '  ' || coalesce(CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END, '-') || '  ' || coalesce(git_branch, '-') AS line FROM (SELECT *, duration_sec AS s FROM (" + SUMMARY + "))",
     "newest_sessions": f"SELECT session_key, max({micros('ts')}) AS last_us FROM (SELECT * FROM transcript_event QUALIFY row_number() OVER (PARTITION BY session_key, event_idx ORDER BY arrived_at, line_id) = 1) GROUP BY 1 HAVING last_us IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 20",
     "prefix_lookup": "SELECT left(session_key, 2) AS prefix, count(DISTINCT session_key) AS n, CASE WHEN count(DISTINCT session_key) = 1 THEN min(session_key) END AS session_key FROM transcript_event GROUP BY 1",
     "session_links": "SELECT session_id, count(*) AS records, min(hook_row) AS first_row, session_id IN (SELECT session_key FROM transcript_event) AS has_transcript FROM hook_record WHERE session_id IS NOT NULL GROUP BY 1",

@@ -227,6 +227,13 @@ ORACLES: dict[str, str] = {
     "events_parsed": EVENTS + "SELECT session_key, event_idx, type, us, is_meta, request_id, user_text, len(items) AS n_items FROM ut",
     "tool_calls": EVENTS + "SELECT session_key, event_idx, item_idx, ts, i->>'$.name' AS name, i->>'$.id' AS id FROM item WHERE kind = 'tool_use'",
     "assistant_segments": EVENTS + "SELECT session_key, event_idx, item_idx, ts, i->>'$.text' AS text FROM item WHERE type = 'assistant' AND kind = 'text' AND json_type(i, '$.text') = 'VARCHAR' UNION ALL SELECT session_key, event_idx, 0, ts, line FROM parts WHERE type = 'assistant' AND line IS NOT NULL",
+    "segments": EVENTS + f""", sg AS (
+  SELECT session_key, event_idx, type, item_idx, kind, CASE WHEN kind = 'tool_result' THEN coalesce(CASE WHEN json_type(i, '$.content') = 'VARCHAR' THEN i->>'$.content' WHEN json_type(i, '$.content') = 'ARRAY' THEN array_to_string(list_transform(CAST(i->'$.content' AS JSON[]), lambda x: coalesce(CASE WHEN json_type(x, '$.text') = 'VARCHAR' THEN x->>'$.text' END, '')), chr(10)) END, '')
+    ELSE coalesce(CASE WHEN json_type(i, '$.text') = 'VARCHAR' THEN i->>'$.text' END, '') END AS body, i->>'$.name' AS name, i->>'$.id' AS id, i->>'$.tool_use_id' AS tool_use_id
+  FROM item WHERE kind IN ('text', 'tool_use', 'tool_result', 'thinking') AND type IN ('user', 'assistant')
+  UNION ALL SELECT session_key, event_idx, type, 0, 'text', line, NULL, NULL, NULL FROM parts WHERE type = 'user' AND line IS NOT NULL)
+SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY event_idx, CASE WHEN type = 'user' AND kind = 'tool_result' THEN 1 ELSE 0 END, item_idx) - 1 AS seg_idx, event_idx, type AS role, kind, CASE WHEN kind = 'tool_result' THEN left(body, {CLIP}) ELSE body END AS text, length(body) AS full_text_len,
+  CASE WHEN body = '' THEN 0 ELSE length(body) - length(replace(body, chr(10), '')) + 1 END AS line_count, name, id, tool_use_id FROM sg""",
     "prompts": EVENTS + "SELECT session_key, event_idx, prompt FROM pr WHERE prompt IS NOT NULL",
     "prompt_counts": EVENTS + "SELECT session_key, count(prompt) AS prompts, arg_min(prompt, event_idx) FILTER (WHERE prompt IS NOT NULL) AS first_prompt FROM pr GROUP BY 1",
     "turn_split": TURNS + "SELECT session_key, turn_idx, min(event_idx) AS start_event, max(event_idx) + 1 AS end_event, arg_min(turn_prompt, event_idx) AS prompt FROM turned WHERE turn_idx IS NOT NULL GROUP BY 1, 2",

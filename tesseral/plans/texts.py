@@ -12,7 +12,7 @@ from tesseral.functions import keywords as kw
 from tesseral.operators import compare, rules, similarity
 from tesseral.plans.common import strip
 from tesseral.plans.flows import calls
-from tesseral.plans.sessions import prompts
+from tesseral.plans.sessions import assistant_segments, prompts
 from tesseral.session import table
 from tesseral.sources import documents as docs
 
@@ -36,8 +36,8 @@ def markdown_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def block_ids(spark: SparkSession, root: str) -> DataFrame:
-    b = docs.markdown_blocks(_docs(spark, root).where("path is not null"), "doc_id", "text").join(_docs(spark, root).select("doc_id", "path"), "doc_id")
-    return b.select("doc_id", "block_idx", F.concat_ws("-", fmt.file_slug(F.col("path")), F.col("block_idx").cast("string"), fmt.title_slug(F.col("title"))).alias("id"), fmt.text_key(F.col("title"), F.col("content")).alias("rule_key"))
+    b = docs.markdown_blocks(_docs(spark, root), "doc_id", "text").join(_docs(spark, root).select("doc_id", "path"), "doc_id")
+    return b.select("doc_id", "block_idx", F.concat_ws("-", F.coalesce(fmt.file_slug(F.col("path")), F.concat(F.lit("doc"), F.col("doc_id").cast("string"))), F.col("block_idx").cast("string"), fmt.title_slug(F.col("title"))).alias("id"), fmt.text_key(F.col("title"), F.col("content")).alias("rule_key"))
 
 
 def block_cost_share(spark: SparkSession, root: str) -> DataFrame:
@@ -78,12 +78,21 @@ def keyword_lists(spark: SparkSession, root: str) -> DataFrame:
     return _docs(spark, root).where("text is not null").select("doc_id", F.array_join(kw.keywords(F.col("text")), ",").alias("words"))
 
 
+#: Points of a text beside those for keywords: for a reason given, and for naming the rules.
+TOPICAL = {kw.CAUSAL: 2, "(?i)the rule|global rules": 1}
+
+
 def topical_topk(spark: SparkSession, root: str) -> DataFrame:
-    """The prompts most about the documents captured in their session, three a document, of two points or more."""
-    d = _docs(spark, root).where("text is not null and session_key is not null").select("session_key", "doc_id", kw.keywords(F.col("text")).alias("words"))
-    p = prompts(spark, root)
-    scored = d.join(p, "session_key").withColumn("score", kw.topical_score(F.col("prompt"), F.col("words"))).where("score > 0")
-    return compare.top_k(scored, ["doc_id"], [F.desc("score"), "session_key", "event_idx"], 3).where("score >= 2").select("doc_id", "session_key", "event_idx", "score")
+    """The assistant texts most about the documents captured in their session, three a document; of these those of two points or more.
+
+    Texts and documents meet by the first characters of a keyword, so only pairs that share one are made.
+    """
+    words = kw.keywords(F.col("text"))
+    d = _docs(spark, root).where("text is not null and session_key is not null").select("session_key", "doc_id", F.explode(words).alias("word")).withColumn("gram", F.left("word", F.lit(5)))
+    t = assistant_segments(spark, root).select("session_key", "event_idx", "item_idx", F.lower("text").alias("text"), kw.bonus(F.col("text"), TOPICAL).alias("bonus"), kw.grams(F.col("text")).alias("grams"))
+    met = d.join(t.withColumn("gram", F.explode("grams")).drop("grams"), ["session_key", "gram"]).where(F.contains("text", "word"))
+    scored = met.groupBy("doc_id", "session_key", "event_idx", "item_idx", "bonus").agg(F.count("*").alias("hits")).withColumn("score", F.col("hits") + F.col("bonus"))
+    return compare.top_k(scored, ["doc_id"], [F.desc("score"), "session_key", "event_idx", "item_idx"], 3).where("score >= 2").select("doc_id", "session_key", "event_idx", "item_idx", "score")
 
 
 def reason_sentences(spark: SparkSession, root: str) -> DataFrame:
@@ -136,7 +145,13 @@ s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(ran
 """
 _CALLS = "WITH c AS (SELECT * FROM tool_call QUALIFY row_number() OVER (PARTITION BY session_key, event_idx, item_idx ORDER BY arrived_at, call_row) = 1)"
 _SLUG = "regexp_replace(regexp_replace(lower({}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_FOUND = r"SELECT DISTINCT doc_id, ref FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^\pL\pN_./-])', '\1\1', 'g'), '(?:^|[^\pL\pN_])([A-Za-z0-9_][\w./-]*\.md)(?:[^\pL\pN_]|$)', 1)) AS ref FROM documents)"
 ORACLES: dict[str, str] = {
+    "md_references": _FOUND,
+    "resolved_references": f"WITH r AS ({_FOUND}), t AS (SELECT doc_id, ref, unnest([{{'r': -1, 'p': ref}}, {{'r': 0, 'p': 'docs/' || ref}}, {{'r': 1, 'p': 'lib/' || ref}}, {{'r': 2, 'p': 'src/' || ref}}]) AS t FROM r) SELECT doc_id, ref, arg_min(t.p, t.r) AS path FROM t WHERE t.p IN (SELECT path FROM documents WHERE path IS NOT NULL) GROUP BY 1, 2",
+    "block_ids": _LINES + f""", body AS (SELECT b.doc_id, b.block_idx, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n > start_line), '')")} AS content FROM b JOIN blocks k ON k.doc_id = b.doc_id AND k.block_idx = b.block_idx GROUP BY 1, 2)
+SELECT k.doc_id, k.block_idx, coalesce(right({_SLUG.format('path')}, 40), 'doc' || k.doc_id) || '-' || k.block_idx || '-' || coalesce(nullif({_SLUG.format('title')}, ''), 'block') AS id,
+  left(sha256(lower(trim(regexp_replace(title, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) || chr(0) || lower(trim(regexp_replace(content, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))), 16) AS rule_key FROM blocks k JOIN body d ON d.doc_id = k.doc_id AND d.block_idx = k.block_idx JOIN documents o ON o.doc_id = k.doc_id""",
     "markdown_blocks": _LINES + f""", body AS (SELECT b.doc_id, b.block_idx, {strip("coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE n > start_line), '')")} AS content FROM b JOIN blocks k ON k.doc_id = b.doc_id AND k.block_idx = b.block_idx GROUP BY 1, 2)
 SELECT k.doc_id, k.block_idx, title, level, start_line, end_line, length(content) AS chars,
   CASE WHEN contains(lower(title), 'rules') AND contains(lower(title), 'global') THEN 'overview' WHEN contains(lower(title), 'skill') OR contains(lower(content), 'trigger:') OR regexp_matches(content, '`/[a-z]+`') THEN 'skill'

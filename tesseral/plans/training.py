@@ -123,6 +123,46 @@ WITH named AS (
 ORACLES: dict[str, str] = {
     "p1_found": _ORPHANS + "SELECT source_table, row_id, reason FROM cases",
     "p1_report": _ORPHANS + "SELECT source_table, CAST(t AS DATE) AS day, reason, count(*) AS orphans FROM cases GROUP BY ALL",
+    "p3_found": """
+WITH v AS (
+  SELECT file_id, CAST(line AS JSON) AS j FROM log_line WHERE json_valid(line) AND json_type(line) = 'OBJECT'
+), k1 AS (
+  SELECT file_id, k AS outr, json_extract(j, '$."' || k || '"') AS x FROM (SELECT file_id, j, unnest(json_keys(j)) AS k FROM v)
+), k2 AS (
+  SELECT file_id, outr, k AS inr, json_extract(x, '$."' || k || '"') AS x FROM (SELECT file_id, outr, x, unnest(json_keys(x)) AS k FROM k1 WHERE json_type(x) = 'OBJECT')
+), kinds AS (
+  SELECT file_id, outr, inr, string_agg(DISTINCT CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END, ',' ORDER BY CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END) AS t
+  FROM (SELECT file_id, outr, '' AS inr, x, true AS top FROM k1 UNION ALL SELECT file_id, outr, inr, x, false FROM k2) WHERE json_type(x) <> 'NULL' GROUP BY file_id, outr, inr, top
+), tops AS (
+  SELECT file_id, outr AS nm, t FROM (SELECT file_id, outr, string_agg(DISTINCT kd, ',' ORDER BY kd) AS t FROM (SELECT file_id, outr, CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kd FROM k1 WHERE json_type(x) <> 'NULL') GROUP BY 1, 2)
+), ins AS (
+  SELECT file_id, outr, inr AS nm, t FROM (SELECT file_id, outr, inr, string_agg(DISTINCT kd, ',' ORDER BY kd) AS t FROM (SELECT file_id, outr, inr, CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE 'number' END AS kd FROM k2 WHERE json_type(x) <> 'NULL') GROUP BY 1, 2, 3)
+), pairs AS (
+  SELECT * FROM (SELECT file_id AS new_id, lag(file_id) OVER (PARTITION BY stream ORDER BY opened_at NULLS LAST, file_id) AS old_id FROM log_file WHERE file_id IN (SELECT file_id FROM v)) WHERE old_id IS NOT NULL
+), tj AS (
+  SELECT coalesce(o.new_id, n.new_id) AS new_id, o.nm AS o, n.nm AS n, o.t AS ot, n.t AS nt
+  FROM (SELECT new_id, nm, t FROM pairs JOIN tops ON file_id = old_id) o FULL JOIN (SELECT new_id, nm, t FROM pairs JOIN tops ON file_id = new_id) n ON o.new_id = n.new_id AND o.nm = n.nm
+), tg AS (
+  SELECT new_id, max(o) FILTER (WHERE n IS NULL) AS o, max(n) FILTER (WHERE o IS NULL) AS n, max(ot) FILTER (WHERE n IS NULL) AS ot, max(nt) FILTER (WHERE o IS NULL) AS nt FROM tj GROUP BY 1
+  HAVING count(*) FILTER (WHERE n IS NULL) = 1 AND count(*) FILTER (WHERE o IS NULL) = 1 AND max(ot) FILTER (WHERE n IS NULL) = max(nt) FILTER (WHERE o IS NULL)
+), td AS (
+  SELECT * FROM tj WHERE (o IS NOT NULL AND n IS NOT NULL) OR new_id NOT IN (SELECT new_id FROM tg) UNION ALL SELECT * FROM tg
+), par AS (
+  SELECT td.new_id, old_id, o, n FROM td JOIN pairs ON pairs.new_id = td.new_id WHERE contains(ot, 'object') AND contains(nt, 'object')
+), ij AS (
+  SELECT coalesce(a.new_id, b.new_id) AS new_id, coalesce(a.po, b.po) AS po, coalesce(a.pn, b.pn) AS pn, a.nm AS o, b.nm AS n, a.t AS ot, b.t AS nt
+  FROM (SELECT new_id, par.o AS po, par.n AS pn, nm, t FROM par JOIN ins ON file_id = old_id AND outr = par.o) a FULL JOIN (SELECT new_id, par.o AS po, par.n AS pn, nm, t FROM par JOIN ins ON file_id = new_id AND outr = par.n) b ON a.new_id = b.new_id AND a.po = b.po AND a.pn = b.pn AND a.nm = b.nm
+), ig AS (
+  SELECT new_id, po, pn, max(o) FILTER (WHERE n IS NULL) AS o, max(n) FILTER (WHERE o IS NULL) AS n, max(ot) FILTER (WHERE n IS NULL) AS ot, max(nt) FILTER (WHERE o IS NULL) AS nt FROM ij GROUP BY 1, 2, 3
+  HAVING count(*) FILTER (WHERE n IS NULL) = 1 AND count(*) FILTER (WHERE o IS NULL) = 1 AND max(ot) FILTER (WHERE n IS NULL) = max(nt) FILTER (WHERE o IS NULL)
+), idiff AS (
+  SELECT * FROM ij WHERE (o IS NOT NULL AND n IS NOT NULL) OR (new_id, po, pn) NOT IN (SELECT (new_id, po, pn) FROM ig) UNION ALL SELECT * FROM ig
+), every AS (
+  SELECT new_id AS file_id, o, n, ot, nt, coalesce(o, '') AS old_path, coalesce(n, '') AS new_path FROM td
+  UNION ALL SELECT new_id, o, n, ot, nt, CASE WHEN o IS NULL THEN '' ELSE po || '.' || o END, CASE WHEN n IS NULL THEN '' ELSE pn || '.' || n END FROM idiff
+)
+SELECT file_id, CASE WHEN n IS NULL THEN 'removed' WHEN o IS NULL THEN 'added' WHEN o <> n THEN 'renamed' ELSE 'retyped' END AS change, old_path, new_path FROM every WHERE n IS NULL OR o IS NULL OR o <> n OR ot <> nt
+""",
     "p4_found": _RANKED + "SELECT row_id FROM ranked WHERE ident IS NOT NULL AND n > 1",
     "p4_kept": _RANKED + "SELECT u.row_id, batch_id, request_id, usage FROM usage_entry u JOIN ranked r ON u.row_id = r.row_id WHERE ident IS NULL OR n = 1",
     "p5_tables": _FIELDS + "SELECT * FROM val",

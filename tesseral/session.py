@@ -34,13 +34,12 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table to the shared folder and read it back: lineage ends here.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a temporary folder is made. The data are compressed columns in files all executors
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and the master is
+    local (tests, a laptop) a temporary folder is made; a cluster without it is refused. The data are compressed columns in files all executors
     share, so the loss of an executor loses nothing. :func:`clear_cuts` removes them.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    path = f"{folder.rstrip('/')}/tesseral-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tesseral-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _cuts.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -55,6 +54,15 @@ def clear_cuts(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only where the driver is the whole cluster."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_folder()
+
+
 @functools.cache
 def _own_folder() -> str:
     folder = tempfile.mkdtemp(prefix="tesseral-")

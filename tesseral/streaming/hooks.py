@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesseral.functions.variant import parse_object
 from tesseral.operators.redelivery import identity
-from tesseral.session import _own_folder
+from tesseral.session import shared_folder
 
 
 def read_hook_lines(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -36,15 +36,16 @@ def first_deliveries(rows: DataFrame, ident: str, at: str, late: str = "7 days")
 
     State is kept an identifier for ``late`` only, so it is bounded by the traffic of that time.
     """
-    named = rows.withColumn("_key", F.coalesce(F.concat(F.lit("="), identity(F.col(ident))), F.concat(F.lit("#"), F.expr("uuid()"))))
-    named = named.withColumn(at, F.col(at).cast("timestamp"))
-    return named.withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    named = rows.withColumn("_key", identity(F.col(ident))).withColumn(at, F.col(at).cast("timestamp"))
+    # Rows that identify nothing go around the state.
+    once = named.where("_key is not null").withWatermark(at, late).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
+    return once.unionByName(named.where("_key is null").drop("_key"))
 
 
 def run_once(stream: DataFrame) -> DataFrame:
     """Runs a stream over what is there, exactly once, into files of the shared folder, and reads them."""
     spark = stream.sparkSession
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own_folder()).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")

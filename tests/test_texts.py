@@ -41,7 +41,7 @@ def test_formats(spark):
 def test_keywords(spark):
     t = "Always check the Pipeline and the pipeline-runner before deploying Pipeline widgets"
     assert one(spark, F.array_join(kw.keywords(F.col("t"), F.lit("widgets please")), ","), t=t) == "check,pipeline,pipeline-runner,deploying"
-    assert one(spark, kw.topical_score(F.col("t"), F.array(F.lit("check"), F.lit("none"))), t="I'll check it") == 3
+    assert one(spark, kw.hits(F.col("t"), F.array(F.lit("check"), F.lit("none"))) + kw.bonus(F.col("t"), {kw.CAUSAL: 2, "the rule": 1}), t="I'll check it") == 3
     assert one(spark, kw.reason_sentence(F.col("t")), t="This is a start. Because of that we go. End of it.") == "Because of that we go."
 
 
