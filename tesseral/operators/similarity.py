@@ -29,8 +29,13 @@ def normal(text: Column) -> Column:
 
 def shingles(text: Column, words: int = WORDS) -> Column:
     """The distinct runs of so many words; words are three letters or more, without the stop words."""
+    return _runs(normal(text), words)
+
+
+def _runs(text: Column, words: int) -> Column:
+    """The shingles of a normal text."""
     stop = F.array(*map(F.lit, STOP))
-    kept = F.filter(F.regexp_extract_all(normal(text), F.lit(r"([a-z][a-z0-9-]{2,})"), F.lit(1)), lambda x: ~F.array_contains(stop, x))
+    kept = F.filter(F.regexp_extract_all(text, F.lit(r"([a-z][a-z0-9-]{2,})"), F.lit(1)), lambda x: ~F.array_contains(stop, x))
 
     def runs(w: Column) -> Column:
         places = F.when(F.size(w) >= words, F.sequence(F.lit(1), F.size(w) - words + 1)).otherwise(F.array().cast("array<int>"))
@@ -45,6 +50,12 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(n > 0, F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
 
 
+def sketches(df: DataFrame, doc: str, text: str, words: int = WORDS) -> DataFrame:
+    """(doc, h, s): the hash of each normal text and of its shingles; a text is made normal once."""
+    both = let(normal(F.col(text)), lambda t: F.struct(F.sha2(t, 256).alias("h"), F.transform(_runs(t, words), lambda s: F.xxhash64(s)).alias("s")))
+    return df.where(F.col(text).isNotNull()).select(doc, both.alias("_x")).select(doc, "_x.h", "_x.s")
+
+
 def classes(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, class_id): copies of one normal text have one class, its least doc."""
     x = df.where(F.col(text).isNotNull()).select(doc, F.sha2(normal(F.col(text)), 256).alias("_h"))
@@ -53,8 +64,11 @@ def classes(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 def similar_pairs(reps: DataFrame, doc: str, text: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_a, doc_b, shared, similarity): every pair of texts that reaches the containment; doc_a has fewer shingles."""
-    sets = reps.select(F.col(doc).alias("d"), F.transform(shingles(F.col(text), words), lambda s: F.xxhash64(s)).alias("s")).where(F.size("s") > 0).withColumn("n", F.size("s"))
-    sets = cut(sets)  # read by each step below
+    return _similar_sets(cut(sketches(reps, doc, text, words).where("size(s) > 0").select(F.col(doc).alias("d"), "s", F.size("s").alias("n"))), threshold)
+
+
+def _similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of (d, s, n), sets of n hashes, that reach the containment. ``sets`` is read several times."""
     all_ = sets.select("d", "n", F.explode("s").alias("h"))
     often = all_.groupBy("h").agg(F.count("*").alias("df"))
     # Rarest first; the prefix that any partner must share one shingle of.
@@ -75,8 +89,10 @@ def shared_phrase(a: Column, b: Column, words: int = WORDS) -> Column:
 
 def near_copies(df: DataFrame, doc: str, text: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc, class_id, links): one row a text, with its class of copies and how many other classes that one is similar to."""
-    c = classes(df, doc, text)
-    reps = df.join(c.select(F.col("class_id").alias(doc)).distinct(), doc, "left_semi")
-    p = similar_pairs(reps, doc, text, words, threshold)
+    every = cut(sketches(df, doc, text, words))
+    least = every.groupBy("h").agg(F.min(doc).alias("class_id"))
+    c = every.select(doc, "h").join(least, "h").select(doc, "class_id")
+    sets = cut(every.where("size(s) > 0").join(least.select(F.col("class_id").alias(doc)), doc, "left_semi").select(F.col(doc).alias("d"), "s", F.size("s").alias("n")))
+    p = _similar_sets(sets, threshold)
     n = p.select(F.explode(F.array("doc_a", "doc_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     return c.join(n, "class_id", "left").select(doc, "class_id", F.coalesce("links", F.lit(0)).alias("links"))

@@ -185,8 +185,8 @@ def allocate_largest_remainder(spark: SparkSession, root: str) -> DataFrame:
 
 
 def attribute_with_history(spark: SparkSession, root: str) -> DataFrame:
-    """Each request's prompt tokens over the texts of its turn so far and the history before."""
-    t = turned(spark, root)
+    """Each request's prompt tokens over the items of its own event and the history before; an item without a text weighs 20 characters."""
+    t = events(spark, root)
     s = _series(t).withColumn("total", F.col("input") + F.col("cache_read") + F.col("cache_creation")).select("session_key", "event_idx", "total")
     h = history_chars(spark, root).select("session_key", "event_idx", "history_chars")
     req = s.join(h, ["session_key", "event_idx"])
