@@ -65,10 +65,6 @@ def text_key(heading: Column, text: Column) -> Column:
     return F.substring(F.sha2(F.concat(same_text(heading), F.lit("\0"), same_text(text)), 256), 1, 16)
 
 
-def share_percent(part: Column, whole: Column) -> Column:
-    return F.round(F.try_divide(part * 100, whole)).cast("bigint")
-
-
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

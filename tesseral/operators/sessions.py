@@ -19,24 +19,6 @@ def in_order(keys: list[str], order: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def sessionize(df: DataFrame, session: str, order: str, boundary: Column, carry: Column | None = None, absorb_prefix: bool = True) -> DataFrame:
-    """Adds turn_idx (and turn_carry): a turn begins at each boundary row.
-
-    The first turn takes the rows before it too (``absorb_prefix``), and a session without any
-    boundary has no turns: its turn_idx is null.
-    """
-    w = in_order([session], [order])
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum(F.when(boundary, 1).otherwise(0)).over(upto)
-    all_ = Window.partitionBy(session)
-    out = df.withColumn("_n", n).withColumn("_all", F.max(F.when(boundary, 1).otherwise(0)).over(all_))
-    idx = F.when(F.col("_all") == 1, F.greatest(F.col("_n") - 1, F.lit(0)) if absorb_prefix else F.when(F.col("_n") > 0, F.col("_n") - 1))
-    if carry is not None:
-        first = F.first(F.when(boundary, carry), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        out = out.withColumn("turn_carry", F.coalesce(F.last(F.when(boundary, carry), ignorenulls=True).over(upto), first))
-    return out.withColumn("turn_idx", idx.cast("bigint")).drop("_n", "_all")
-
-
 def turns(df: DataFrame, session: str, order: str) -> DataFrame:
     """(session, turn_idx, start, end, prompt): half-open ranges of sessionized rows."""
     return df.where("turn_idx is not null").groupBy(session, "turn_idx").agg(F.min(order).alias("start_event"), (F.max(order) + 1).alias("end_event"), F.min(F.struct(order, "turn_carry"))["turn_carry"].alias("prompt"))
@@ -92,11 +74,6 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, nam
     return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def ordered_first(df: DataFrame, keys: list[str], order: str, cols: list[str]) -> DataFrame:
-    """For each column its first value that is not null, by order."""
-    return df.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in cols))
-
-
 def split_turns(ev: DataFrame, compactions: DataFrame | None = None, session: str = "session_key", order: str = "event_idx", at: str = "us") -> DataFrame:
     """Adds turn_idx, turn_prompt and after_compaction to events that carry ``prompt``.
 

@@ -34,15 +34,6 @@ def resolve_prefix(keys: DataFrame, column: str, prefix: str) -> str:
     return hit[0]
 
 
-def bounded(df: DataFrame, order: list, line: str, rows: int = ROWS) -> DataFrame:
-    """The first lines in order, then one that says how many more there are."""
-    w = Window.orderBy("_n")
-    top = df.orderBy(*order).limit(rows + 1).select(F.monotonically_increasing_id().alias("_n"), line)
-    cut = top.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows).select(F.col("_r").alias("place"), line)
-    more = df.agg((F.count("*") - rows).alias("_m")).where("_m > 0").select(F.lit(rows + 1).alias("place"), F.format_string("... and %d more", F.col("_m")).alias(line))
-    return cut.unionByName(more)
-
-
 def query(spark: SparkSession, root: str, address: str) -> DataFrame:
     """Lines that answer an address: ``sessions``, or ``<session prefix> [turn-N] [turns|agents|files]``.
 

@@ -24,15 +24,18 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> Da
 
 
 def read_jsonl(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(session_key, event_idx, v): the objects of JSONL files in order; blank and broken lines are left out.
+    """(session_key, event_idx, v, file): the objects of JSONL files in order; blank and broken lines are left out.
 
-    A row's number counts the surviving lines of its own file. Files are split into lines in
-    parallel; one file is one task's work, as its order is its meaning.
+    A row's number counts the surviving lines of its own file. A large file is read in blocks by
+    several tasks: lines are numbered inside their block, after those of the blocks before.
     """
-    whole = spark.read.text(paths, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("session_key"), "value")
-    lines = whole.select("session_key", F.posexplode(F.split("value", LINE_END)).alias("pos", "line")).select("session_key", "pos", parse_object(F.col("line")).alias("v")).where("v is not null")
-    w = Window.partitionBy("session_key").orderBy("pos")
-    return lines.select("session_key", (F.row_number().over(w) - 1).cast("bigint").alias("event_idx"), "v")
+    at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    lines = spark.read.text(paths).select(*at, "value", F.monotonically_increasing_id().alias("pos")).select("file", "block", "pos", parse_object(F.col("value")).alias("v")).where("v is not null")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = lines.withColumn("n", F.row_number().over(Window.partitionBy("file", "block").orderBy("pos")) - 1)
+    key = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("session_key")
+    return inside.join(starts, ["file", "block"]).select(key, (F.col("start") + F.col("n")).cast("bigint").alias("event_idx"), "v", "file")
 
 
 def transcript_rows(raw: DataFrame) -> DataFrame:

@@ -87,3 +87,21 @@ def test_topical_texts_are_those_a_plain_search_finds(spark, root):
                 scored.append((-n, r["session_key"], r["event_idx"], r["item_idx"]))
         want |= {(d["doc_id"], s, e, i, -n) for n, s, e, i in sorted(scored)[:3] if n <= -2}
     assert {tuple(r) for r in texts.topical_topk(spark, root).collect()} == want
+
+
+def test_lines_keep_their_order_when_a_file_is_read_in_blocks(spark, tmp_path):
+    from tesseral.sources.transcripts import read_jsonl
+
+    lines = [("{" + f'"n":{i},"pad":"{"x" * (i % 90)}"' + "}") if i % 7 else ("broken {" if i % 2 else "") for i in range(900)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"n":1}\r\n\r\n{"n":2}')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        df = read_jsonl(spark, str(tmp_path)).selectExpr("session_key", "event_idx", "try_variant_get(v, '$.n', 'int') as n")
+        assert df.rdd.getNumPartitions() >= 1
+        got = sorted(map(tuple, df.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    kept = [i for i in range(900) if i % 7]
+    assert got == [("a", k, n) for k, n in enumerate(kept)] + [("b", 0, 1), ("b", 1, 2)]
