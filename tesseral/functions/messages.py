@@ -43,17 +43,17 @@ def is_stdout(text: Column) -> Column:
     return F.coalesce(strip(text).startswith(STDOUT), F.lit(False))
 
 
-def prompt_text(kind: Column, is_meta: Column, text: Column, next_text: Column) -> Column:
+def prompt_text(kind: Column, is_meta: Column, text: Column, output_next: Column) -> Column:
     """The prompt a user event states, or null if it states none.
 
-    ``next_text`` is the user text of the next event of the file. A command wrapper is the prompt
-    ``name args``, unless its output follows, in which case it ran locally.
+    ``output_next`` says whether the next event of the file is a command's output. A command wrapper
+    is the prompt ``name args``, unless its output follows, in which case it ran locally.
     """
     name, args = F.regexp_extract(text, NAME_TAG, 1), F.regexp_extract(text, ARGS_TAG, 1)
     wrapped = name != ""
     flat = strip(text)
     none = (
-        (kind != "user") | kind.isNull() | F.coalesce(is_meta, F.lit(False)) | text.isNull() | is_stdout(text) | (wrapped & is_stdout(next_text))
+        (kind != "user") | kind.isNull() | F.coalesce(is_meta, F.lit(False)) | text.isNull() | is_stdout(text) | (wrapped & output_next)
         | flat.startswith(CAVEAT) | flat.startswith(NOTIFICATION) | (flat == "") | flat.rlike(INTERRUPTED)
     )
     return F.when(~none, F.when(wrapped, strip(F.concat_ws(" ", strip(name), strip(args)))).otherwise(text))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions.variant import kind_bit
+from tesseral.operators.blocks import _carried, block_of, earlier, running_sum
 
 USAGE = {
     "input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_creation": "cache_creation_input_tokens", "cache_creation_1h": "cache_creation.ephemeral_1h_input_tokens",
@@ -24,16 +25,20 @@ def turns(df: DataFrame, session: str, order: str) -> DataFrame:
     return df.where("turn_idx is not null").groupBy(session, "turn_idx").agg(F.min(order).alias("start_event"), (F.max(order) + 1).alias("end_event"), F.min(F.struct(order, "turn_carry"))["turn_carry"].alias("prompt"))
 
 
-def first_at_or_after(rows: DataFrame, marks: DataFrame, session: str, order: str, at: str, mark: str) -> DataFrame:
+def first_at_or_after(rows: DataFrame, marks: DataFrame, session: str, order: str, at: str, mark: str, bucket: int = 3_600_000_000) -> DataFrame:
     """For each mark the least ``order`` among its session's rows with ``at`` >= the mark's: first in file order, not in time.
 
     Rows and marks are laid in one order of time; the least order from a point on is one running
-    minimum from the end, so no pair is made.
+    minimum from the end, so no pair is made. It runs inside buckets of time; what the later buckets
+    come to is carried by a table of one row a bucket.
     """
     a = rows.where(F.col(at).isNotNull()).select(session, F.col(at).alias("_t"), F.lit(1).alias("_k"), F.col(order).alias("_o"), F.lit(None).cast(marks.schema[mark].dataType).alias(mark))
     b = marks.select(session, F.col(at).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(rows.schema[order].dataType).alias("_o"), mark)
-    w = Window.partitionBy(session).orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn(order, F.min("_o").over(w)).where("_k = 0").select(session, mark, order)
+    x = a.unionByName(b).withColumn("_b", block_of("_t", bucket))
+    later = Window.partitionBy(session).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    least = x.groupBy(session, "_b").agg(F.min("_o").alias("_m")).select(session, "_b", F.min("_m").over(later).alias("_later"))
+    w = Window.partitionBy(session, "_b").orderBy(F.desc("_t"), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
+    return _carried(x.withColumn("_i", F.min("_o").over(w)).where("_k = 0"), least, [session]).select(session, mark, F.least("_i", "_later").alias(order))
 
 
 def count_of(v: Column, path: str) -> Column:
@@ -70,8 +75,7 @@ def cache_breaks(series: DataFrame, session: str, order: str) -> DataFrame:
 
 def prefix_sum(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Adds the sum of ``value`` over the rows before."""
-    w = in_order(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    return running_sum(df, keys, order, F.col(value), name, own=False)
 
 
 def split_turns(ev: DataFrame, compactions: DataFrame | None = None, session: str = "session_key", order: str = "event_idx", at: str = "us") -> DataFrame:
@@ -82,22 +86,24 @@ def split_turns(ev: DataFrame, compactions: DataFrame | None = None, session: st
     carved by a compaction keeps the prompt before it. A session without prompts has no turns.
     ``compactions`` has (session, at).
     """
-    rows = ev
+    rows = ev.withColumn("_b", block_of(order))
     if compactions is not None:
         marks = compactions.where(F.col(at).isNotNull()).select(session, at).distinct().withColumn("_mark", F.monotonically_increasing_id())
-        hits = first_at_or_after(rows, marks, session, order, at, "_mark").where(F.col(order).isNotNull()).select(session, order).distinct().withColumn("_hit", F.lit(True))
+        hits = first_at_or_after(ev, marks, session, order, at, "_mark").where(F.col(order).isNotNull()).select(session, order).distinct().withColumn("_hit", F.lit(True))
         rows = rows.join(hits, [session, order], "left")
     else:
         rows = rows.withColumn("_hit", F.lit(None).cast("boolean"))
-    w = in_order([session], [order])
-    upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     asked = F.col("prompt").isNotNull()
-    x = rows.withColumn("_first", F.row_number().over(w) == 1).withColumn("_prompts", F.count(F.when(asked, 1)).over(upto)).withColumn("_any", F.first("prompt", ignorenulls=True).over(whole))
-    carved = F.coalesce(F.col("_hit"), F.lit(False)) & ~F.col("_first")
-    begin = F.col("_first") | (asked & (F.col("_prompts") > 1)) | carved
-    return (
-        x.withColumn("turn_idx", F.when(F.col("_any").isNotNull(), F.sum(F.when(begin, 1).otherwise(0)).over(upto) - 1).cast("bigint"))
-        .withColumn("turn_prompt", F.coalesce(F.last("prompt", ignorenulls=True).over(upto), F.col("_any")))
-        .withColumn("after_compaction", carved)
-        .drop("_first", "_prompts", "_any", "_hit")
+    said = F.when(asked, F.struct(F.col(order).alias("at"), "prompt"))
+    # One row a block: what its session begins with, and the last prompt before it.
+    whole = Window.partitionBy(session)
+    blocks = rows.groupBy(session, "_b").agg(F.min(order).alias("_lo"), F.min(said).alias("_p"), F.max(said).alias("_q")).select(
+        session, "_b", F.min("_lo").over(whole).alias("_from"), F.min("_p").over(whole).alias("_any"), F.max("_q").over(earlier([session])).alias("_prior")
     )
+    first = F.col(order) == F.col("_from")
+    carved = F.coalesce(F.col("_hit"), F.lit(False)) & ~first
+    x = _carried(rows, blocks, [session]).withColumn("after_compaction", carved).withColumn("_begin", first | (asked & (F.col(order) != F.col("_any.at"))) | carved).drop("_b")
+    inside = Window.partitionBy(session, block_of(order)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("turn_prompt", F.coalesce(F.last("prompt", ignorenulls=True).over(inside), F.col("_prior.prompt"), F.col("_any.prompt")))
+    n = running_sum(x, [session], [order], F.when(F.col("_begin"), 1).otherwise(0), "_n")
+    return n.withColumn("turn_idx", F.when(F.col("_any").isNotNull(), F.col("_n") - 1).cast("bigint")).drop("_from", "_any", "_prior", "_begin", "_hit", "_n")

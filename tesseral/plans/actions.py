@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tesseral.functions import format as fmt
 from tesseral.functions import keywords as kw
 from tesseral.functions.messages import wrapper_name
+from tesseral.operators.blocks import numbered
 from tesseral.plans.common import EVENTS, TURNS, micros, strip
 from tesseral.plans.flows import calls
 from tesseral.plans.sessions import assistant_segments, events, items, listed_names, turned
@@ -33,8 +34,7 @@ def _actions(spark: SparkSession, root: str) -> DataFrame:
 
 def session_actions(spark: SparkSession, root: str) -> DataFrame:
     """Each session's tool uses as steps."""
-    w = Window.partitionBy("session_key").orderBy("event_idx", "item_idx")
-    return _actions(spark, root).withColumn("step", (F.row_number().over(w) - 1).cast("bigint")).select("session_key", "step", "name", "detail")
+    return numbered(_actions(spark, root), ["session_key"], ["event_idx", "item_idx"], "step").select("session_key", "step", "name", "detail")
 
 
 def turn_actions(spark: SparkSession, root: str) -> DataFrame:

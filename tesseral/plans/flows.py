@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesseral.functions.text import iso_micros
 from tesseral.functions.messages import AGENT_TOOLS
 from tesseral.operators import agents, compare, intervals, sessions
-from tesseral.operators.sessions import in_order
+from tesseral.operators.blocks import numbered
 from tesseral.plans.common import TURNS, micros
 from tesseral.plans.sessions import compactions, events, turned
 from tesseral.session import table
@@ -143,8 +143,7 @@ def timeline_rows(spark: SparkSession, root: str) -> DataFrame:
     clip = F.col("text")
     for k, n in CLIPS.items():
         clip = F.when(F.col("kind") == k, F.substring("text", 1, n)).otherwise(clip)
-    w = in_order(["session_key"], ["event_idx", "item_idx"])
-    return said.unionByName(rows).withColumn("text", clip).withColumn("place", (F.row_number().over(w) - 1)).select("session_key", "place", "event_idx", "item_idx", "kind", "label", "text")
+    return numbered(said.unionByName(rows).withColumn("text", clip), ["session_key"], ["event_idx", "item_idx"], "place").select("session_key", "place", "event_idx", "item_idx", "kind", "label", "text")
 
 
 def timeline_markers(spark: SparkSession, root: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tesseral.functions.text import iso_micros
 from tesseral.functions.variant import text_at
 from tesseral.operators import allocate, sessions
+from tesseral.operators.blocks import numbered
 from tesseral.plans.common import EVENTS, NAMES, TURNS, USAGE
-from tesseral.session import table
+from tesseral.session import cut, table
 from tesseral.sources import transcripts as tr
 
 #: Characters a tool result is clipped to in a segment.
@@ -28,7 +29,10 @@ def compactions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def turned(spark: SparkSession, root: str) -> DataFrame:
-    return sessions.split_turns(tr.prompts(events(spark, root)), compactions(spark, root))
+    """Events with their turn. Turns are found on a narrow table of places and prompts; the events meet them by their own key."""
+    ev = events(spark, root)
+    narrow = cut(tr.prompts(ev).select("session_key", "event_idx", "us", "prompt"))
+    return ev.join(sessions.split_turns(narrow, compactions(spark, root)).drop("us"), ["session_key", "event_idx"])
 
 
 def _series(ev: DataFrame, *carry: str) -> DataFrame:
@@ -64,9 +68,9 @@ def segments(spark: SparkSession, root: str) -> DataFrame:
     both = shown.select("session_key", "event_idx", "type", "item_idx", "kind", "body", "name", "id", "tool_use_id").unionByName(plain.drop("ts"), allowMissingColumns=True)
     # In a user's list the words come before the results.
     late = F.when((F.col("type") == "user") & (F.col("kind") == "tool_result"), 1).otherwise(0)
-    w = Window.partitionBy("session_key").orderBy("event_idx", late, "item_idx")
+    both = numbered(both.withColumn("_late", late), ["session_key"], ["event_idx", "_late", "item_idx"], "seg_idx")
     lines = F.when(F.col("body") == "", 0).otherwise(F.length("body") - F.length(F.replace("body", F.lit("\n"))) + 1)
-    return both.select("session_key", (F.row_number().over(w) - 1).alias("seg_idx"), "event_idx", F.col("type").alias("role"), "kind", F.when(F.col("kind") == "tool_result", F.substring("body", 1, CLIP)).otherwise(F.col("body")).alias("text"), F.length("body").alias("full_text_len"), lines.alias("line_count"), "name", "id", "tool_use_id")
+    return both.select("session_key", "seg_idx", "event_idx", F.col("type").alias("role"), "kind", F.when(F.col("kind") == "tool_result", F.substring("body", 1, CLIP)).otherwise(F.col("body")).alias("text"), F.length("body").alias("full_text_len"), lines.alias("line_count"), "name", "id", "tool_use_id")
 
 
 def prompts(spark: SparkSession, root: str) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesseral.functions.messages import items, prompt_text, user_text
+from tesseral.functions.messages import is_stdout, items, prompt_text, user_text
 from tesseral.functions.text import iso_micros, strip
 from tesseral.functions.variant import parse_object
+from tesseral.operators.blocks import _carried, block_of
 
 LINE_END = r"\r\n|\n|\r"
 
@@ -74,9 +75,13 @@ def events(delivered: DataFrame, keep: tuple[str, ...] = EVENT_COLUMNS) -> DataF
 
 def prompts(ev: DataFrame) -> DataFrame:
     """Adds user_text and prompt (null where the event states none)."""
-    t = ev.withColumn("user_text", F.when(F.col("type") == "user", user_text(F.col("v"), F.col("items"))))
-    w = Window.partitionBy("session_key").orderBy("event_idx")
-    return t.withColumn("prompt", prompt_text(F.col("type"), F.col("is_meta"), F.col("user_text"), F.lead("user_text").over(w)))
+    t = ev.withColumn("user_text", F.when(F.col("type") == "user", user_text(F.col("v"), F.col("items")))).withColumn("_b", block_of("event_idx"))
+    # The event after a block's last is the first of the next block, which a table of one row a block knows.
+    output = is_stdout(F.col("user_text"))
+    first = t.groupBy("session_key", "_b").agg(F.min(F.struct("event_idx", output.alias("o")))["o"].alias("_o")).select("session_key", "_b", F.lead("_o").over(Window.partitionBy("session_key").orderBy("_b")).alias("_after"))
+    inside = Window.partitionBy("session_key", "_b").orderBy("event_idx")
+    x = _carried(t.withColumn("_next", F.lead(output).over(inside)), first, ["session_key"])
+    return x.withColumn("prompt", prompt_text(F.col("type"), F.col("is_meta"), F.col("user_text"), F.coalesce("_next", "_after", F.lit(False)))).drop("_b", "_next", "_after")
 
 
 def hook_facts(log: DataFrame) -> tuple[DataFrame, DataFrame]:
