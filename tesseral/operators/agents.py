@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesseral.operators.blocks import running_sum
+
 
 def pair_by_id(spawns: DataFrame, returns: DataFrame, session: str, spawn_id: str, return_ref: str) -> DataFrame:
     """Every spawn with its reports; a spawn without any is open."""
@@ -131,5 +133,4 @@ def fan_outs(rows: DataFrame, session: str, order: list[str], kind: str, ref: st
 
 def in_flight(steps: DataFrame, session: str, order: list[str], opens: str) -> DataFrame:
     """Adds how many agents are open after each step."""
-    w = Window.partitionBy(session).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("in_flight", F.sum(F.when(F.col(opens), 1).otherwise(-1)).over(w))
+    return running_sum(steps, [session], order, F.when(F.col(opens), 1).otherwise(-1), "in_flight")

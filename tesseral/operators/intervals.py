@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesseral.operators.blocks import numbered
+
 
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Closed whole-number intervals joined where they overlap or touch; those with end < start are dropped."""
@@ -69,5 +71,5 @@ def insert_markers(rows: DataFrame, markers: DataFrame, session: str, order: str
     hit = first_at_or_after(rows, markers.where(F.col(at).isNotNull()).select(session, at, "mark"), session, order, at, "mark").select(session, "mark", F.col(order).alias("_pos"))
     m = markers.join(hit, [session, "mark"], "left").withColumn("_k", F.lit(0)).withColumn("_pos", F.coalesce(F.col("_pos").cast("bigint"), F.lit((1 << 63) - 1)))
     r = rows.withColumn("_pos", F.col(order).cast("bigint")).withColumn("_k", F.lit(1))
-    w = Window.partitionBy(session).orderBy("_pos", "_k", F.when(F.col("_k") == 0, F.col(at)).asc_nulls_last(), F.desc("mark"))
-    return m.unionByName(r, allowMissingColumns=True).withColumn("place", (F.row_number().over(w) - 1).cast("bigint")).drop("_pos", "_k")
+    order = ["_pos", "_k", F.when(F.col("_k") == 0, F.col(at)).asc_nulls_last(), F.desc("mark")]
+    return numbered(m.unionByName(r, allowMissingColumns=True), [session], order, "place").drop("_pos", "_k")

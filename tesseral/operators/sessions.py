@@ -67,8 +67,11 @@ def usage_totals(series: DataFrame, keys: list[str]) -> DataFrame:
 
 def cache_breaks(series: DataFrame, session: str, order: str) -> DataFrame:
     """Requests at which most of the cache was lost and written anew."""
-    prior = F.lag("cache_read").over(in_order([session], [order]))
-    s = series.withColumn("prior_cache_read", prior)
+    x = series.withColumn("_b", block_of(order))
+    last = F.max(F.struct(order, "cache_read"))["cache_read"].alias("_l")
+    before = x.groupBy(session, "_b").agg(last).select(session, "_b", F.last("_l", ignorenulls=True).over(earlier([session])).alias("_prior"))
+    inside = F.lag("cache_read").over(in_order([session, "_b"], [order]))
+    s = _carried(x.withColumn("_lag", inside), before, [session]).withColumn("prior_cache_read", F.coalesce("_lag", "_prior"))
     p = F.col("prior_cache_read")
     return s.where((p >= BREAK_MIN) & (F.col("cache_read") <= BREAK_LEFT * p) & (F.col("cache_creation") >= BREAK_NEW * p)).select(session, order, "prior_cache_read", "cache_read", "cache_creation")
 

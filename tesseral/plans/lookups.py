@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesseral.functions import format as fmt
 from tesseral.functions.text import iso_micros
 from tesseral.functions.variant import parse_object
-from tesseral.operators import agents
+from tesseral.operators import agents, compare
 from tesseral.plans import flows, reports
 from tesseral.plans.actions import CALLS
 from tesseral.plans.common import EVENTS, TURNS, WS, micros
@@ -197,6 +197,14 @@ def session_blocks(spark: SparkSession, root: str) -> DataFrame:
     return b.select("session_key", (F.row_number().over(w) - 1).cast("bigint").alias("place"), "path", "doc_id", "block_idx", "title", "start_line", "end_line")
 
 
+def block_changes(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of sessions: the blocks that only one captured, or that differ in size, by path and title."""
+    d = _docs(spark, root).where("session_key is not null").select("doc_id", "session_key", F.coalesce("path", F.lit("")).alias("path"))
+    b = markdown_blocks(spark, root).join(d, "doc_id").groupBy("session_key", "path", "title").agg(F.sum("chars").alias("chars"))
+    s = flows._sides(spark, root, b)
+    return compare.block_diff(s.where("side = 'a'"), s.where("side = 'b'"), ["pair", "path", "title"], "chars")
+
+
 def block_details(spark: SparkSession, root: str) -> DataFrame:
     """One row a block: its document, size, and how many of its lines are blank or items."""
     b = docs.markdown_blocks(_docs(spark, root), "doc_id", "text").select("doc_id", "block_idx", "title", "level", "start_line", "end_line", F.split("content", "\n").alias("l"), F.length("content").alias("chars"))
@@ -268,7 +276,7 @@ def hook_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 _ALL = (
     newest_transcripts, hook_logs, at_references, named_files, find_guides, hook_payloads, read_coverage, coverage_totals, timeline_shown, nonresident_requests, listed_files, loads_in_context, load_notes, agent_rows, agent_groups, agent_details, lane_occupancy,
-    session_blocks, block_details, file_details, compare_sessions, command_words, text_counts, event_sizes, bounded_listing, hook_sessions,
+    session_blocks, block_changes, block_details, file_details, compare_sessions, command_words, text_counts, event_sizes, bounded_listing, hook_sessions,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
@@ -313,6 +321,10 @@ SELECT session_key, ln.name, path FROM ln LEFT JOIN f ON f.name = ln.name AND f.
     "loads_in_context": f"WITH d AS (SELECT {_NORM} AS p, min(doc_id) AS doc_id, count(*) AS documents FROM documents WHERE path IS NOT NULL GROUP BY 1), l AS (SELECT hook_row, {_NORM} AS path FROM hook_record WHERE event = 'InstructionsLoaded' AND path IS NOT NULL) SELECT hook_row, path, doc_id, coalesce(documents, 0) AS documents FROM l LEFT JOIN d ON p = path",
     "load_notes": "SELECT hook_row, CASE load_reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NOTES.items()) + " ELSE CASE WHEN load_reason <> '' THEN 'loaded (' || load_reason || ')' ELSE 'recorded as loaded' END END || CASE WHEN coalesce(memory_type, '') <> '' THEN ', ' || memory_type || ' memory' ELSE '' END AS note FROM hook_record WHERE event = 'InstructionsLoaded'",
     "session_blocks": _LINES + " SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY coalesce(path, ''), doc_id, block_idx) - 1 AS place, coalesce(path, '') AS path, doc_id, block_idx, title, start_line, end_line FROM blocks JOIN documents USING (doc_id) WHERE session_key IS NOT NULL",
+    "block_changes": flows._PAIRS + f""", b AS (SELECT session_key, coalesce(path, '') AS path, title, sum(chars) AS chars FROM ({_LINES + _BODY} SELECT k.doc_id, title, length(content) AS chars FROM blocks k JOIN body d ON d.doc_id = k.doc_id AND d.block_idx = k.block_idx) x JOIN documents d ON d.doc_id = x.doc_id WHERE session_key IS NOT NULL GROUP BY 1, 2, 3),
+x AS (SELECT p.session_key AS pair, path, title, chars FROM p JOIN b ON b.session_key = p.session_key), y AS (SELECT p.session_key AS pair, path, title, chars FROM p JOIN b ON b.session_key = p.other)
+SELECT coalesce(x.pair, y.pair) AS pair, coalesce(x.path, y.path) AS path, coalesce(x.title, y.title) AS title, CASE WHEN x.pair IS NULL THEN 'added' WHEN y.pair IS NULL THEN 'removed' ELSE 'changed' END AS change, CAST(x.chars AS BIGINT) AS value_a, CAST(y.chars AS BIGINT) AS value_b
+FROM x FULL JOIN y ON x.pair = y.pair AND x.path = y.path AND x.title = y.title WHERE x.pair IS NULL OR y.pair IS NULL OR x.chars <> y.chars""",
     "block_details": _LINES + _BODY + " SELECT k.doc_id, k.block_idx, title, level, start_line, end_line, length(content) AS chars, len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS filled_lines, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(ltrim(x), '^[-*+] '))) AS item_lines FROM blocks k JOIN body d ON d.doc_id = k.doc_id AND d.block_idx = k.block_idx",
     "file_details": _C + """, u AS (SELECT session_key, input->>'$.file_path' AS path, (name = 'Read')::INT AS r, (name <> 'Read')::INT AS e, 0 AS l FROM c WHERE name IN ('Read', 'Edit', 'Write', 'MultiEdit') AND json_valid(input)
   UNION ALL SELECT session_id, path, 0, 0, 1 FROM hook_record WHERE event = 'InstructionsLoaded' AND session_id IS NOT NULL), g AS (SELECT session_key, path, CAST(sum(r) AS BIGINT) AS reads, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(l) AS BIGINT) AS loads FROM u WHERE path IS NOT NULL GROUP BY 1, 2)

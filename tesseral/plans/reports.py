@@ -18,6 +18,8 @@ from tesseral.sources import transcripts as tr
 
 #: Rows and characters that a listing shows before it says how many more there are.
 ROWS, CHARS = 60, 1500
+#: Sessions that the listing of the newest shows.
+SESSIONS_SHOWN = 20
 
 
 class QueryError(Exception):
@@ -72,9 +74,19 @@ def session_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def newest_sessions(spark: SparkSession, root: str) -> DataFrame:
-    """The twenty newest sessions by their last event: a top-k report."""
-    e = events(spark, root).where("us is not null").groupBy("session_key").agg(F.max("us").alias("last_us"))
-    return e.orderBy(F.desc("last_us"), "session_key").limit(20)
+    """The twenty newest sessions by their last event, a top-k report; those without a readable time come last.
+
+    The active session, whose row arrived last, is always among them: if need be in the last place.
+    """
+    e = events(spark, root).groupBy("session_key").agg(F.max("us").alias("last_us"))
+    top = e.orderBy(F.desc_nulls_last("last_us"), "session_key").limit(SESSIONS_SHOWN)
+    now = table(spark, root, "transcript_event").agg(F.max(F.struct("arrived_at", "line_id", "session_key"))["session_key"].alias("now"))
+    # One row of at most twenty sessions, and the active one beside it.
+    seen = top.agg(F.sort_array(F.collect_list(F.struct((-F.coalesce("last_us", F.lit(-(1 << 62)))).alias("o"), "session_key", "last_us"))).alias("l"), F.lit(1).alias("one")).join(now.withColumn("one", F.lit(1)), "one")
+    has = F.exists("l", lambda x: x["session_key"] == F.col("now"))
+    kept = F.when(has | F.col("now").isNull(), F.col("l")).otherwise(F.slice("l", 1, SESSIONS_SHOWN - 1))
+    shown = seen.select(F.explode(F.concat(F.transform(kept, lambda x: x["session_key"]), F.when(has | F.col("now").isNull(), F.array().cast("array<string>")).otherwise(F.array("now")))).alias("session_key"), "now")
+    return shown.join(e, "session_key").select("session_key", "last_us", (F.col("session_key") == F.col("now")).alias("active"))
 
 
 def prefix_lookup(spark: SparkSession, root: str) -> DataFrame:
@@ -120,15 +132,6 @@ def guides_never_touched(spark: SparkSession, root: str) -> DataFrame:
     return d.join(table(spark, root, "hook_record").where("path is not null").select("path"), "path", "left_anti")
 
 
-def delivery_verdicts(spark: SparkSession, root: str) -> DataFrame:
-    """What a read delivered: asked for a part, cut at the cap, or all."""
-    j = lambda k: F.get_json_object("input", f"$.{k}")
-    st = table(spark, root, "hook_record").where("stats is not null and tool_use_id is not null").groupBy(F.col("tool_use_id").alias("id")).agg(F.max(F.get_json_object("stats", "$.lines").try_cast("bigint")).alias("lines"))
-    c = calls(spark, root).where("name = 'Read'").select("session_key", "id", "call_row", j("offset").isNotNull().alias("o"), j("limit").isNotNull().alias("l"))
-    v = F.when(F.col("o") | F.col("l"), "partial_by_request").when(F.col("lines") > 2000, "likely_truncated").when(F.col("lines").isNull(), "unknown").otherwise("full")
-    return c.join(st, "id", "left").select("call_row", v.alias("verdict"))
-
-
 def active_first(spark: SparkSession, root: str) -> DataFrame:
     """Files of each session, those that were edited before those only read, each by first touch."""
     f = calls(spark, root).select("session_key", F.get_json_object("input", "$.file_path").alias("path"), (F.col("name") != "Read").alias("edit"), F.struct("event_idx", "item_idx").alias("at")).where("path is not null")
@@ -163,7 +166,7 @@ def combined_by_session(spark: SparkSession, root: str) -> DataFrame:
     return compare.fold_status(table(spark, root, "agent_return").where("session_key is not null"), ["session_key"], "status", STATUS_RANKS, "unknown")
 
 
-_ALL = (session_lines, newest_sessions, prefix_lookup, session_links, report_loads, report_reads, report_tools, report_compactions, report_subagents, guides_never_touched, delivery_verdicts, active_first, sibling_turns, cached_share, payload_sessions, combined_by_session)
+_ALL = (session_lines, newest_sessions, prefix_lookup, session_links, report_loads, report_reads, report_tools, report_compactions, report_subagents, guides_never_touched, active_first, sibling_turns, cached_share, payload_sessions, combined_by_session)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CALLS = "WITH c AS (SELECT * FROM tool_call QUALIFY row_number() OVER (PARTITION BY session_key, event_idx, item_idx ORDER BY arrived_at, call_row) = 1)"
@@ -172,7 +175,9 @@ _MAIN = "coalesce(agent_id, '') = ''"
 _TURN_USE = ", tu AS (SELECT s.session_key, turn_idx, sum(cache_read) AS cache_read, sum(input + cache_read + cache_creation) AS p FROM series s JOIN turned t ON t.session_key = s.session_key AND t.event_idx = s.event_idx GROUP BY 1, 2)"
 ORACLES: dict[str, str] = {
     "session_lines": "SELECT session_key, left(session_key, 8) || '  ' || events || '  ' || coalesce(CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END, '-') || '  ' || coalesce(git_branch, '-') AS line FROM (SELECT *, duration_sec AS s FROM (" + SUMMARY + "))",
-    "newest_sessions": f"SELECT session_key, max({micros('ts')}) AS last_us FROM (SELECT * FROM transcript_event QUALIFY row_number() OVER (PARTITION BY session_key, event_idx ORDER BY arrived_at, line_id) = 1) GROUP BY 1 HAVING last_us IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 20",
+    "newest_sessions": f"""WITH e AS (SELECT session_key, max({micros('ts')}) AS last_us FROM (SELECT * FROM transcript_event QUALIFY row_number() OVER (PARTITION BY session_key, event_idx ORDER BY arrived_at, line_id) = 1) GROUP BY 1),
+n AS (SELECT session_key AS now FROM transcript_event ORDER BY arrived_at DESC, line_id DESC LIMIT 1), r AS (SELECT *, row_number() OVER (ORDER BY last_us DESC NULLS LAST, session_key) AS r FROM e), i AS (SELECT now, (SELECT r FROM r WHERE session_key = now) <= {SESSIONS_SHOWN} AS inside FROM n)
+SELECT session_key, last_us, session_key = now AS active FROM r, i WHERE r < {SESSIONS_SHOWN} OR (r = {SESSIONS_SHOWN} AND inside) OR (session_key = now)""",
     "prefix_lookup": "SELECT left(session_key, 2) AS prefix, count(DISTINCT session_key) AS n, CASE WHEN count(DISTINCT session_key) = 1 THEN min(session_key) END AS session_key FROM transcript_event GROUP BY 1",
     "session_links": "SELECT session_id, count(*) AS records, min(hook_row) AS first_row, session_id IN (SELECT session_key FROM transcript_event) AS has_transcript FROM hook_record WHERE session_id IS NOT NULL GROUP BY 1",
     "report_loads": f"SELECT session_id, load_reason, count(*) AS loads, count(DISTINCT path) AS paths FROM hook_record WHERE event = 'InstructionsLoaded' AND {_MAIN} GROUP BY 1, 2",
@@ -181,7 +186,6 @@ ORACLES: dict[str, str] = {
     "report_compactions": f"SELECT session_id, count(*) FILTER (WHERE event = 'PreCompact') AS begun, count(*) FILTER (WHERE event = 'PostCompact') AS done FROM hook_record WHERE event IN ('PreCompact', 'PostCompact') AND {_MAIN} GROUP BY 1",
     "report_subagents": _CALLS + " SELECT input->>'$.subagent_type' AS subagent_type, count(*) AS spawns, count(DISTINCT session_key) AS sessions FROM c WHERE name IN ('Agent', 'Task', 'Workflow') GROUP BY 1",
     "guides_never_touched": "SELECT DISTINCT path FROM documents WHERE path LIKE '%.md' AND path NOT IN (SELECT path FROM hook_record WHERE path IS NOT NULL)",
-    "delivery_verdicts": _CALLS + ", s AS (SELECT tool_use_id AS id, max(try_cast(stats->>'$.lines' AS BIGINT)) AS lines FROM hook_record WHERE stats IS NOT NULL AND tool_use_id IS NOT NULL GROUP BY 1) SELECT call_row, CASE WHEN input->>'$.offset' IS NOT NULL OR input->>'$.limit' IS NOT NULL THEN 'partial_by_request' WHEN lines > 2000 THEN 'likely_truncated' WHEN lines IS NULL THEN 'unknown' ELSE 'full' END AS verdict FROM c LEFT JOIN s ON s.id = c.id WHERE name = 'Read'",
     "active_first": _CALLS + ", g AS (SELECT session_key, input->>'$.file_path' AS path, bool_or(name <> 'Read') AS active, min((event_idx, item_idx)) AS f FROM c WHERE json_valid(input) AND input->>'$.file_path' IS NOT NULL GROUP BY 1, 2) SELECT session_key, path, active, row_number() OVER (PARTITION BY session_key ORDER BY active DESC, f) AS place FROM g",
     "sibling_turns": TURNS + ", d AS (SELECT DISTINCT session_key, turn_idx FROM turned WHERE turn_idx IS NOT NULL) SELECT session_key, turn_idx, coalesce(lag(turn_idx) OVER w, turn_idx) AS before, coalesce(lead(turn_idx) OVER w, turn_idx) AS after FROM d WINDOW w AS (PARTITION BY session_key ORDER BY turn_idx)",
     "cached_share": TURNS + _TURN_USE + " SELECT session_key, turn_idx, CAST(floor(cache_read * 100 / nullif(p, 0) + 0.5) AS BIGINT) AS percent, CASE WHEN p < 1000 THEN CAST(p AS VARCHAR) WHEN p < 10000 THEN printf('%.1fk', p / 1e3) WHEN p < 1000000 THEN printf('%.0fk', p / 1e3) ELSE printf('%.1fM', p / 1e6) END AS prompt FROM tu",

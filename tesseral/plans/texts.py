@@ -59,7 +59,7 @@ def resolved_references(spark: SparkSession, root: str) -> DataFrame:
 
 
 def shingle_counts(spark: SparkSession, root: str) -> DataFrame:
-    return _docs(spark, root).where("text is not null").select("doc_id", F.size(similarity.shingles(F.col("text"))).alias("shingles"))
+    return _docs(spark, root).where("text is not null").select("doc_id", F.size(similarity.shingles(F.col("text"), 3)).alias("shingles"))
 
 
 def near_copies(spark: SparkSession, root: str) -> DataFrame:
@@ -164,7 +164,7 @@ SELECT doc_id, block_idx, CAST(fl + CASE WHEN place <= rest THEN 1 ELSE 0 END AS
 p AS (SELECT a.d AS a, b.d AS b FROM r a JOIN r b ON a.h = b.h AND a.d < b.d GROUP BY a.d, b.d HAVING count(*) / least(any_value(a.n), any_value(b.n)) >= 0.8),
 k AS (SELECT d, count(*) AS links FROM (SELECT a AS d FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
 SELECT c.doc_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN k ON k.d = c.class_id""",
-    "shingle_counts": _SHINGLES + "SELECT doc_id, len(s) AS shingles FROM s",
+    "shingle_counts": _SHINGLES.replace("len(w) >= 5", "len(w) >= 3").replace("len(w) - 3", "len(w) - 1").replace("i + 4", "i + 2") + "SELECT doc_id, len(s) AS shingles FROM s",
     "backticks": r"SELECT doc_id, unnest(range(len(t))) AS place, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '`([^`\n]+)`', 1) AS t FROM documents)",
     "formats": f"""SELECT return_row, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN printf('%.1fk', n / 1e3) WHEN n < 1000000 THEN printf('%.0fk', n / 1e3) ELSE printf('%.1fM', n / 1e6) END AS tokens,
   CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN printf('%dm%02ds', s // 60, s % 60) ELSE printf('%dh%02dm', s // 3600, s % 3600 // 60) END AS took, replace(left(ts, 16), 'T', ' ') AS minute,

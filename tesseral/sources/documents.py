@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,13 +80,16 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def block_kind(title: Column, content: Column) -> Column:
-    """overview, skill, rule, reference or instruction; the first that holds."""
-    t, c = F.lower(title), F.lower(content)
-    return (
-        F.when(t.contains("rules") & t.contains("global"), "overview")
-        .when(t.contains("skill") | c.contains("trigger:") | content.rlike("`/[a-z]+`"), "skill")
-        .when(content.rlike(r"(?i)\brule:\b") | c.rlike("always|never|must"), "rule")
-        .when(c.contains("see ") | content.contains("@") | content.contains(".md)"), "reference")
-        .otherwise("instruction")
-    )
+# The kinds of blocks with the patterns of their titles and of their contents, any of which will do; the first kind that fits counts.
+KINDS = [
+    ("overview", r"(?is)^(?=.*rules)(?=.*global)", None),
+    ("skill", r"(?i)skill", r"(?i:trigger:)|`/[a-z]+`"),
+    ("rule", None, r"(?i)\brule:\b|always|never|must"),
+    ("reference", None, r"(?i:see )|@|\.md\)"),
+]
+
+
+def block_kind(title: Column, content: Column, kinds: list[tuple[str, str | None, str | None]] = KINDS, other: str = "instruction") -> Column:
+    """The first of ``kinds`` (name, title pattern, content pattern) that a block fits, else ``other``."""
+    fits = [(name, [c.rlike(p) for c, p in ((title, of_title), (content, of_content)) if p]) for name, of_title, of_content in kinds]
+    return F.coalesce(*(F.when(reduce(or_, tests), name) for name, tests in fits), F.lit(other))
