@@ -22,6 +22,11 @@ def p2_conversations(spark: SparkSession, root: str) -> DataFrame:
     return ordered(table(spark, root, "transcript_event"))
 
 
+def p2_trees(spark: SparkSession, root: str) -> DataFrame:
+    """Every conversation with its prompts, replies and trees, and why it is dropped (null if it is not)."""
+    return verdicts(table(spark, root, "transcript_event"))
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encode(table(spark, root, "documents"), "doc_id", "text").select(F.col("row").alias("doc_id"), "ids")
 
@@ -49,9 +54,8 @@ def p8_statistics(spark: SparkSession, root: str) -> DataFrame:
     return text_types(table(spark, root, "documents"), "doc_id", "text", table(spark, root, "common_word")).withColumnRenamed("row", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_conversations, p6_ids, p7_packed, p7_fill, p8_found, p8_statistics)}
-ORACLES: dict[str, str] = {
-    "p2_found": r"""
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_conversations, p2_trees, p6_ids, p7_packed, p7_fill, p8_found, p8_statistics)}
+_VERDICTS = r"""
 WITH ev AS (
   SELECT *, CASE WHEN json_valid(message) AND json_type(message) = 'OBJECT' THEN CAST(message AS JSON) END AS m,
     CASE WHEN regexp_full_match(ts, '\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)') THEN epoch_us(try_cast(ts AS TIMESTAMPTZ))
@@ -92,6 +96,8 @@ WITH ev AS (
   SELECT c.conversation_id, CASE WHEN a.conversation_id IS NULL THEN 'empty' WHEN headless OR b.conversation_id IS NOT NULL OR l.conversation_id IS NOT NULL THEN 'broken' WHEN open THEN 'no_reply' END AS reason
   FROM (SELECT DISTINCT conversation_id FROM files) c LEFT JOIN agg a USING (conversation_id) LEFT JOIN bad b USING (conversation_id) LEFT JOIN lost l USING (conversation_id)
 )
-SELECT conversation_id, reason FROM verdict WHERE reason IS NOT NULL
-""",
+"""
+ORACLES: dict[str, str] = {
+    "p2_found": _VERDICTS + "SELECT conversation_id, reason FROM verdict WHERE reason IS NOT NULL",
+    "p2_trees": _VERDICTS + "SELECT conversation_id, coalesce(prompts, 0) AS prompts, coalesce(replies, 0) AS replies, coalesce(prompts, 0) AS trees, reason FROM verdict LEFT JOIN (SELECT conversation_id, count(*) FILTER (WHERE kind = 'prompt') AS prompts, count(*) FILTER (WHERE kind = 'reply') AS replies FROM kind GROUP BY 1) USING (conversation_id)",
 }
