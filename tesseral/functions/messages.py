@@ -32,6 +32,12 @@ def items(message: Column) -> Column:
     )
 
 
+def result_text(content: Column) -> Column:
+    """A tool result's text: a string as it is, of a list the items' texts line by line, else empty."""
+    listed = F.transform(F.coalesce(F.try_variant_get(content, "$", "array<variant>"), F.array().cast("array<variant>")), lambda c: F.coalesce(text_at(c, "text"), F.lit("")))
+    return F.coalesce(text_at(content), F.array_join(listed, "\n"))
+
+
 def user_text(message: Column, parts: Column) -> Column:
     """A user's own words: a string content as it is; of a list the stripped texts, null if it holds a tool result."""
     said = F.transform(F.filter(parts, lambda i: (i["kind"] == "text") & ~F.coalesce(is_blank(i["text"]), F.lit(True))), lambda i: strip(i["text"]))

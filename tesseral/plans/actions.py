@@ -12,15 +12,13 @@ from tesseral.functions import keywords as kw
 from tesseral.functions.messages import wrapper_name
 from tesseral.operators.blocks import numbered
 from tesseral.plans.common import EVENTS, TURNS, micros, strip
-from tesseral.plans.flows import calls
+from tesseral.plans.flows import DETAILS, calls
 from tesseral.plans.sessions import assistant_segments, events, items, listed_names, turned
 from tesseral.session import table
 from tesseral.sources import transcripts as tr
 
 #: Characters of an action's detail and of a turn's preview, texts looked back at for a reason, and characters that make a narration.
 DETAIL, PREVIEW, LOOK_BACK, NARRATION = 120, 140, 6, 20
-#: What tells an action apart, the first that its input has.
-DETAILS = ("file_path", "command", "pattern", "description", "glob")
 EDITS = ("Edit", "Write", "MultiEdit", "NotebookEdit")
 
 

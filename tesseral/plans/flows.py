@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesseral.functions.text import iso_micros
-from tesseral.functions.messages import AGENT_TOOLS
+from tesseral.functions.messages import AGENT_TOOLS, result_text
 from tesseral.operators import agents, compare, intervals, sessions
 from tesseral.operators.blocks import numbered
 from tesseral.plans.common import TURNS, micros
@@ -24,6 +24,8 @@ STATUS_RANKS = ["failed", "killed", "cancelled", "running", "completed"]
 END = (1 << 63) - 1
 #: Characters of a timeline row by kind.
 CLIPS = {"user": 300, "tool-result": 200, "assistant-text": 400, "tool-use": 160}
+#: Inputs that tell what a call is about, the first one it has.
+DETAILS = ("file_path", "command", "pattern", "description", "glob")
 
 
 def calls(spark: SparkSession, root: str) -> DataFrame:
@@ -134,16 +136,18 @@ def agent_group_totals(spark: SparkSession, root: str) -> DataFrame:
 
 
 def timeline_rows(spark: SparkSession, root: str) -> DataFrame:
-    """Texts, calls and results as rows of a timeline, clipped by kind."""
+    """Texts, calls and results as rows of a timeline, clipped by kind; a call's detail is the first of its telling inputs."""
     ev = tr.prompts(events(spark, root))
-    said = ev.where("prompt is not null").select("session_key", "event_idx", F.lit(-1).alias("item_idx"), F.lit("user").alias("kind"), F.lit("prompt").alias("label"), F.col("prompt").alias("text"))
+    said = ev.where("prompt is not null").select("session_key", "event_idx", F.lit(-1).alias("item_idx"), F.lit("user").alias("kind"), F.lit("prompt").alias("label"), F.col("prompt").alias("text"), F.lit("").alias("detail"))
     i = ev.select("session_key", "event_idx", "type", F.posexplode("items").alias("item_idx", "i")).select("session_key", "event_idx", "type", "item_idx", "i.*")
     kinds = F.when((F.col("kind") == "text") & (F.col("type") == "assistant"), "assistant-text").when(F.col("kind") == "tool_use", "tool-use").when(F.col("kind") == "tool_result", "tool-result")
-    rows = i.select("session_key", "event_idx", "item_idx", kinds.alias("kind"), F.coalesce("name", F.lit("")).alias("label"), F.coalesce("text", "id", "tool_use_id", F.lit("")).alias("text")).where("kind is not null")
+    detail = F.coalesce(*(F.when(F.col("kind") == "tool_use", F.try_variant_get("input", f"$.{k}", "string")) for k in DETAILS), F.lit(""))
+    text = F.when(F.col("kind") == "tool_result", result_text(F.col("content"))).otherwise(F.coalesce("text", "id", F.lit("")))
+    rows = i.select("session_key", "event_idx", "item_idx", kinds.alias("kind"), F.coalesce("name", F.lit("")).alias("label"), text.alias("text"), F.substring(detail, 1, CLIPS["tool-use"]).alias("detail")).where("kind is not null")
     clip = F.col("text")
     for k, n in CLIPS.items():
         clip = F.when(F.col("kind") == k, F.substring("text", 1, n)).otherwise(clip)
-    return numbered(said.unionByName(rows).withColumn("text", clip), ["session_key"], ["event_idx", "item_idx"], "place").select("session_key", "place", "event_idx", "item_idx", "kind", "label", "text")
+    return numbered(said.unionByName(rows).withColumn("text", clip), ["session_key"], ["event_idx", "item_idx"], "place").select("session_key", "place", "event_idx", "item_idx", "kind", "label", "text", "detail")
 
 
 def timeline_markers(spark: SparkSession, root: str) -> DataFrame:
@@ -257,6 +261,14 @@ steps AS (SELECT session_key, place, 0 AS k, spawn, true AS opens FROM fi UNION
 _PAIRS = TURNS + """, br AS (SELECT session_key, arg_min(git_branch, event_idx) FILTER (WHERE git_branch IS NOT NULL) AS git_branch FROM ev GROUP BY 1),
 p AS (SELECT * FROM (SELECT session_key, lead(session_key) OVER (PARTITION BY git_branch ORDER BY session_key) AS other FROM br WHERE git_branch IS NOT NULL) WHERE other IS NOT NULL)
 """
+OCCUPANCY = _AGENTS.replace("WITH c AS", "WITH RECURSIVE c AS", 1) + """, ord AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY place, k, spawn) AS n FROM steps),
+lane AS (
+  SELECT session_key, 0 AS n, CAST([] AS STRUCT(a VARCHAR, l BIGINT)[]) AS used, CAST(NULL AS VARCHAR) AS spawn, CAST(NULL AS BOOLEAN) AS opens, CAST(NULL AS BIGINT) AS lane, CAST(NULL AS VARCHAR) AS through FROM ord GROUP BY 1
+  UNION ALL
+  SELECT o.session_key, o.n, CASE WHEN o.opens THEN list_append(p.used, {'a': o.spawn, 'l': f}) ELSE list_filter(p.used, lambda u: u.a <> o.spawn) END, o.spawn, o.opens, CASE WHEN o.opens THEN f ELSE list_filter(p.used, lambda u: u.a = o.spawn)[1].l END,
+    array_to_string(list_sort(list_transform(list_filter(p.used, lambda u: u.a <> o.spawn), lambda u: u.l)), ',')
+  FROM (SELECT *, list_min(list_filter(range(len(used) + 1), lambda x: NOT list_contains(list_transform(used, lambda u: u.l), x))) AS f FROM lane) p JOIN ord o ON o.session_key = p.session_key AND CAST(o.n AS INT) = p.n + 1
+) SELECT session_key, n - 1 AS step, spawn, opens, CAST(lane AS INT) AS lane, through FROM lane WHERE n > 0"""
 ORACLES: dict[str, str] = {
     "merged_ranges": _RANGES + "SELECT * FROM merged",
     "range_gaps": _RANGES + ", l AS (SELECT *, lag(e) OVER (PARTITION BY session_key, path ORDER BY s) AS b FROM merged) SELECT session_key, path, b + 1 AS gap_start, s - 1 AS gap_end FROM l WHERE b IS NOT NULL",
@@ -300,10 +312,11 @@ SELECT t.session_key, min(n) AS first_row, count(*) AS size, string_agg(t.ref, '
 HAVING count(*) > 1 AND count(*) = count(*) FILTER (WHERE back IS NOT NULL AND (next_turn IS NULL OR back < next_turn))""",
     "agent_group_totals": _AGENTS + ", t AS (SELECT session_key, tool_use_id AS spawn, sum(subagent_tokens) AS tokens, max(duration_ms) AS ms FROM rp GROUP BY 1, 2) SELECT s.session_key, subagent_type, count(*) AS agents, CAST(sum(tokens) AS BIGINT) AS tokens, max(ms) AS slowest_ms FROM sp s LEFT JOIN t ON t.session_key = s.session_key AND t.spawn = s.spawn GROUP BY 1, 2",
     "timeline_rows": TURNS + """, u AS (
-  SELECT session_key, event_idx, -1 AS item_idx, 'user' AS kind, 'prompt' AS label, prompt AS text FROM pr WHERE prompt IS NOT NULL
+  SELECT session_key, event_idx, -1 AS item_idx, 'user' AS kind, 'prompt' AS label, prompt AS text, '' AS detail FROM pr WHERE prompt IS NOT NULL
   UNION ALL SELECT session_key, event_idx, item_idx, CASE WHEN kind = 'text' AND type = 'assistant' THEN 'assistant-text' WHEN kind = 'tool_use' THEN 'tool-use' WHEN kind = 'tool_result' THEN 'tool-result' END, coalesce(i->>'$.name', ''),
-    coalesce(CASE WHEN json_type(i, '$.text') = 'VARCHAR' THEN i->>'$.text' END, i->>'$.id', i->>'$.tool_use_id', '') FROM item)
-SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY event_idx, item_idx) - 1 AS place, event_idx, item_idx, kind, label, left(text, CASE kind WHEN 'user' THEN 300 WHEN 'tool-result' THEN 200 WHEN 'assistant-text' THEN 400 ELSE 160 END) AS text FROM u WHERE kind IS NOT NULL""",
+    CASE WHEN kind = 'tool_result' THEN coalesce(CASE WHEN json_type(i, '$.content') = 'VARCHAR' THEN i->>'$.content' WHEN json_type(i, '$.content') = 'ARRAY' THEN array_to_string(list_transform(CAST(i->'$.content' AS JSON[]), lambda x: coalesce(CASE WHEN json_type(x, '$.text') = 'VARCHAR' THEN x->>'$.text' END, '')), chr(10)) END, '')
+      ELSE coalesce(CASE WHEN json_type(i, '$.text') = 'VARCHAR' THEN i->>'$.text' END, i->>'$.id', '') END, CASE WHEN kind = 'tool_use' THEN left(coalesce(""" + ", ".join(f"i->>'$.input.{k}'" for k in DETAILS) + """, ''), 160) ELSE '' END FROM item)
+SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY event_idx, item_idx) - 1 AS place, event_idx, item_idx, kind, label, left(text, CASE kind WHEN 'user' THEN 300 WHEN 'tool-result' THEN 200 WHEN 'assistant-text' THEN 400 ELSE 160 END) AS text, detail FROM u WHERE kind IS NOT NULL""",
     "timeline_markers": TURNS + f""", mk AS (SELECT session_id AS session_key, hook_row AS mark, {micros("ts")} AS us FROM hook_record WHERE event IN ('PreCompact', 'PostCompact') AND session_id IS NOT NULL),
 mp AS (SELECT m.session_key, mark, m.us, min(e.event_idx) AS pos FROM mk m LEFT JOIN ev e ON e.session_key = m.session_key AND e.us >= m.us GROUP BY 1, 2, 3),
 al AS (SELECT session_key, coalesce(pos, 9223372036854775807) AS pos, 0 AS k, 'compaction' AS kind, NULL AS event_idx, mark, us FROM mp UNION ALL SELECT session_key, event_idx, 1, 'event', event_idx, NULL, us FROM ev)

@@ -340,6 +340,8 @@ FROM p JOIN s a ON a.session_key = p.session_key JOIN s b ON b.session_key = oth
     "timeline_shown": f"SELECT session_key, kind, count(*) AS rows, min(place) AS first_place FROM ({flows.ORACLES['timeline_rows']}) WHERE kind <> 'tool-result' GROUP BY 1, 2",
     "nonresident_requests": f"SELECT r.session_key, probe AS turn_idx, key, request_id FROM ({flows.ORACLES['residency_asof']}) r JOIN ({TURNS} SELECT DISTINCT session_key, turn_idx, request_id FROM turned WHERE turn_idx IS NOT NULL AND request_id IS NOT NULL) t ON t.session_key = r.session_key AND t.turn_idx = probe WHERE NOT resident",
     "agent_groups": f"SELECT s.session_key, s.spawn, first_row, size FROM ({_AGENTS} SELECT session_key, spawn FROM fi) s LEFT JOIN (SELECT session_key, first_row, size, unnest(string_split(members, ',')) AS spawn FROM ({flows.ORACLES['fanout_groups']})) g ON g.session_key = s.session_key AND g.spawn = s.spawn",
+    "lane_occupancy": flows.OCCUPANCY,
+    "event_sizes": EVENTS + " SELECT session_key, event_idx, length(CAST(json(message) AS VARCHAR)) AS chars FROM ev WHERE m IS NOT NULL",
     "bounded_listing": f"WITH l AS ({reports.ORACLES['session_lines']}) SELECT * FROM (SELECT session_key, line FROM l ORDER BY session_key LIMIT {ROWS}) UNION ALL SELECT '~', '... and ' || (count(*) - {ROWS}) || ' more' FROM l HAVING count(*) > {ROWS}",
     "command_words": _C + " SELECT call_row, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(input->>'$.command'), '\\b([a-z][a-z0-9_-]+)\\b', 1)), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in NO_COMMANDS) + "))), ' ') AS words FROM c WHERE name = 'Bash' AND json_valid(input) AND input->>'$.command' IS NOT NULL",
     "text_counts": f"WITH d AS (SELECT doc_id, session_key, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS words, greatest(0, (epoch_us(captured_at) - min(epoch_us(captured_at)) OVER (PARTITION BY session_key)) // 1000000) AS s FROM documents WHERE text IS NOT NULL) SELECT doc_id, words, CASE WHEN session_key IS NOT NULL THEN '+' || {_TOOK('s')} END AS after FROM d",

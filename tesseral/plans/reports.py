@@ -118,6 +118,13 @@ def report_tools(spark: SparkSession, root: str) -> DataFrame:
     return h.groupBy("tool").agg(F.count("*").alias("uses"), F.count_if(F.col("event") == "PostToolUseFailure").alias("failures"), F.count_distinct("session_id").alias("sessions"))
 
 
+def report_searches(spark: SparkSession, root: str) -> DataFrame:
+    """The twenty commonest search patterns of each session, ties by first use: a top-k report."""
+    c = calls(spark, root).where("name in ('Grep', 'Glob')").select("session_key", "name", F.get_json_object("input", "$.pattern").alias("pattern"), F.struct("event_idx", "item_idx").alias("at")).where("pattern is not null")
+    g = c.groupBy("session_key", "name", "pattern").agg(F.count("*").alias("times"), F.min("at").alias("first"))
+    return compare.top_k(g, ["session_key"], [F.desc("times"), "first"], 20).select("session_key", "name", "pattern", "times")
+
+
 def report_compactions(spark: SparkSession, root: str) -> DataFrame:
     return tr.hook_facts(table(spark, root, "hook_record"))[1].groupBy("session_id").agg(F.count_if(F.col("event") == "PreCompact").alias("begun"), F.count_if(F.col("event") == "PostCompact").alias("done"))
 
@@ -166,7 +173,7 @@ def combined_by_session(spark: SparkSession, root: str) -> DataFrame:
     return compare.fold_status(table(spark, root, "agent_return").where("session_key is not null"), ["session_key"], "status", STATUS_RANKS, "unknown")
 
 
-_ALL = (session_lines, newest_sessions, prefix_lookup, session_links, report_loads, report_reads, report_tools, report_compactions, report_subagents, guides_never_touched, active_first, sibling_turns, cached_share, payload_sessions, combined_by_session)
+_ALL = (session_lines, newest_sessions, prefix_lookup, session_links, report_loads, report_reads, report_tools, report_searches, report_compactions, report_subagents, guides_never_touched, active_first, sibling_turns, cached_share, payload_sessions, combined_by_session)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 _CALLS = "WITH c AS (SELECT * FROM tool_call QUALIFY row_number() OVER (PARTITION BY session_key, event_idx, item_idx ORDER BY arrived_at, call_row) = 1)"
@@ -183,6 +190,7 @@ SELECT session_key, last_us, session_key = now AS active FROM r, i WHERE r < {SE
     "report_loads": f"SELECT session_id, load_reason, count(*) AS loads, count(DISTINCT path) AS paths FROM hook_record WHERE event = 'InstructionsLoaded' AND {_MAIN} GROUP BY 1, 2",
     "report_reads": f"SELECT path, NOT ({_MAIN}) AS by_subagent, count(*) AS reads, max(response_chars) AS largest FROM hook_record WHERE event = 'PostToolUse' AND tool = 'Read' AND path IS NOT NULL GROUP BY 1, 2",
     "report_tools": "SELECT tool, count(*) AS uses, count(*) FILTER (WHERE event = 'PostToolUseFailure') AS failures, count(DISTINCT session_id) AS sessions FROM hook_record WHERE tool IS NOT NULL GROUP BY 1",
+    "report_searches": _CALLS + ", g AS (SELECT session_key, name, input->>'$.pattern' AS pattern, count(*) AS times, min((event_idx, item_idx)) AS f FROM c WHERE name IN ('Grep', 'Glob') AND json_valid(input) AND input->>'$.pattern' IS NOT NULL GROUP BY 1, 2, 3) SELECT session_key, name, pattern, times FROM g QUALIFY row_number() OVER (PARTITION BY session_key ORDER BY times DESC, f) <= 20",
     "report_compactions": f"SELECT session_id, count(*) FILTER (WHERE event = 'PreCompact') AS begun, count(*) FILTER (WHERE event = 'PostCompact') AS done FROM hook_record WHERE event IN ('PreCompact', 'PostCompact') AND {_MAIN} GROUP BY 1",
     "report_subagents": _CALLS + " SELECT input->>'$.subagent_type' AS subagent_type, count(*) AS spawns, count(DISTINCT session_key) AS sessions FROM c WHERE name IN ('Agent', 'Task', 'Workflow') GROUP BY 1",
     "guides_never_touched": "SELECT DISTINCT path FROM documents WHERE path LIKE '%.md' AND path NOT IN (SELECT path FROM hook_record WHERE path IS NOT NULL)",

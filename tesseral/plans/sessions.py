@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tesseral.functions.messages import NOTIFICATION_FIELDS, result_text
 from tesseral.functions.text import iso_micros
 from tesseral.functions.variant import text_at
 from tesseral.operators import allocate, sessions
 from tesseral.operators.blocks import numbered
-from tesseral.plans.common import EVENTS, NAMES, TURNS, USAGE
+from tesseral.plans.common import EVENTS, NAMES, TURNS, USAGE, strip
 from tesseral.session import cut, table
 from tesseral.sources import transcripts as tr
 
@@ -62,7 +63,7 @@ def segments(spark: SparkSession, root: str) -> DataFrame:
     """Every item that shows, in order: texts, calls, clipped results and thinking."""
     ev = events(spark, root)
     x = items(ev)
-    body = F.when(F.col("kind") == "tool_result", F.coalesce(text_at(F.col("content")), F.array_join(F.transform(F.coalesce(F.try_variant_get("content", "$", "array<variant>"), F.array().cast("array<variant>")), lambda c: F.coalesce(text_at(c, "text"), F.lit(""))), "\n"))).otherwise(F.col("text"))
+    body = F.when(F.col("kind") == "tool_result", result_text(F.col("content"))).otherwise(F.col("text"))
     shown = x.where("kind in ('text', 'tool_use', 'tool_result', 'thinking') and type in ('user', 'assistant')").withColumn("body", F.coalesce(body, F.lit("")))
     plain = ev.where("type = 'user'").select("session_key", "event_idx", "type", "ts", F.lit(0).alias("item_idx"), F.lit("text").alias("kind"), text_at(F.col("v"), "content").alias("body")).where("body is not null")
     both = shown.select("session_key", "event_idx", "type", "item_idx", "kind", "body", "name", "id", "tool_use_id").unionByName(plain.drop("ts"), allowMissingColumns=True)
@@ -209,6 +210,7 @@ def cost_by_turn(spark: SparkSession, root: str) -> DataFrame:
 _ALL = (events_parsed, tool_calls, assistant_segments, segments, prompts, prompt_counts, task_notifications, turn_split, event_to_turn, usage_series, usage_session_totals, turn_usage_totals, usage_session_and_turn, cache_breaks, history_chars, first_event_at_or_after, session_summary, tool_counts, tool_mix_top3, file_activity, latest_instructions, attachments, listed_names, allocate_largest_remainder, attribute_with_history, cost_by_turn)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
+_TAG = "regexp_extract(t, '(?s)<{0}>(.*?)</{0}>', 1)"
 _SUMS = ", ".join(f"sum({n}) AS {n}" for n in NAMES)
 _CALLS = "WITH c AS (SELECT * FROM tool_call QUALIFY row_number() OVER (PARTITION BY session_key, event_idx, item_idx ORDER BY arrived_at, call_row) = 1)"
 _HISTORY = ", hist AS (SELECT session_key, event_idx, coalesce(length(message), 0) AS chars, coalesce(sum(coalesce(length(message), 0)) OVER (PARTITION BY session_key ORDER BY event_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS history_chars FROM ev)"
@@ -240,6 +242,8 @@ SELECT session_key, row_number() OVER (PARTITION BY session_key ORDER BY event_i
   CASE WHEN body = '' THEN 0 ELSE length(body) - length(replace(body, chr(10), '')) + 1 END AS line_count, name, id, tool_use_id FROM sg""",
     "prompts": EVENTS + "SELECT session_key, event_idx, prompt FROM pr WHERE prompt IS NOT NULL",
     "prompt_counts": EVENTS + "SELECT session_key, count(prompt) AS prompts, arg_min(prompt, event_idx) FILTER (WHERE prompt IS NOT NULL) AS first_prompt FROM pr GROUP BY 1",
+    "task_notifications": EVENTS + ", n AS (SELECT session_key, event_idx, user_text AS t FROM ut WHERE starts_with(" + strip("user_text") + ", '<task-notification>')) SELECT session_key, event_idx, "
+    + ", ".join(f"nullif({strip(_TAG.format(t))}, '') AS {t.replace('-', '_')}" for t in NOTIFICATION_FIELDS[:5]) + ", " + ", ".join(f"try_cast(nullif({strip(_TAG.format(t))}, '') AS BIGINT) AS {t}" for t in NOTIFICATION_FIELDS[5:]) + " FROM n",
     "turn_split": TURNS + "SELECT session_key, turn_idx, min(event_idx) AS start_event, max(event_idx) + 1 AS end_event, arg_min(turn_prompt, event_idx) AS prompt FROM turned WHERE turn_idx IS NOT NULL GROUP BY 1, 2",
     "event_to_turn": TURNS + "SELECT session_key, event_idx, turn_idx, compacted AND NOT first_row AS after_compaction FROM turned",
     "usage_series": USAGE + "SELECT * FROM series",

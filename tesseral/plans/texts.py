@@ -164,6 +164,9 @@ SELECT doc_id, block_idx, CAST(fl + CASE WHEN place <= rest THEN 1 ELSE 0 END AS
 p AS (SELECT a.d AS a, b.d AS b FROM r a JOIN r b ON a.h = b.h AND a.d < b.d GROUP BY a.d, b.d HAVING count(*) / least(any_value(a.n), any_value(b.n)) >= 0.8),
 k AS (SELECT d, count(*) AS links FROM (SELECT a AS d FROM p UNION ALL SELECT b FROM p) GROUP BY 1)
 SELECT c.doc_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN k ON k.d = c.class_id""",
+    "similar_pairs": _SHINGLES + """, c AS (SELECT DISTINCT min(doc_id) OVER (PARTITION BY t) AS d FROM n), r AS (SELECT doc_id AS d, len(s) AS n, unnest(s) AS h FROM s WHERE doc_id IN (SELECT d FROM c)),
+p AS (SELECT a.d AS doc_a, b.d AS doc_b, count(*) AS shared, any_value(a.n) AS n, arg_min(a.h, (-length(a.h), a.h)) AS phrase FROM r a JOIN r b ON a.h = b.h AND (a.n < b.n OR a.n = b.n AND a.d < b.d) GROUP BY 1, 2)
+SELECT doc_a, doc_b, shared, round(shared / n, 3) AS similarity, phrase FROM p WHERE shared / n >= 0.8""",
     "shingle_counts": _SHINGLES.replace("len(w) >= 5", "len(w) >= 3").replace("len(w) - 3", "len(w) - 1").replace("i + 4", "i + 2") + "SELECT doc_id, len(s) AS shingles FROM s",
     "backticks": r"SELECT doc_id, unnest(range(len(t))) AS place, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '`([^`\n]+)`', 1) AS t FROM documents)",
     "formats": f"""SELECT return_row, CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 10000 THEN printf('%.1fk', n / 1e3) WHEN n < 1000000 THEN printf('%.0fk', n / 1e3) ELSE printf('%.1fM', n / 1e6) END AS tokens,

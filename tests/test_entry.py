@@ -34,7 +34,7 @@ def test_names():
     assert {"p1_found", "p3_found", "p4_found", "p5_found"} <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["turn_usage_totals", "p1_found", "p4_found", "p5_found", "residency_asof", "timeline_markers", "fanout_groups", "near_copies", "attribute_with_history", "cached_share"])
+@pytest.mark.parametrize("name", ["turn_usage_totals", "p1_found", "p4_found", "p5_found", "residency_asof", "timeline_markers", "fanout_groups", "near_copies", "attribute_with_history", "cached_share", "p3_found", "p5_tables", "p5_records", "agent_rows", "lane_assignment", "lane_occupancy", "spawn_return_by_name", "before_reads", "intent_before", "loaded_names", "read_coverage", "segments", "timeline_rows", "scan_transcripts", "compare_sessions", "newest_sessions", "block_ids"])
 def test_against_sql(spark, root, con, name):
     df = catalogue.QUERIES[name](spark, root)
     cols = sorted(df.columns)
