@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Documents the tree is fitted on, about; numbers in a sketch; splits from root to leaf; buckets a leaf.
 SAMPLE_DOCS, DIMS, DEPTH, BUCKETS = 4096, 256, 7, 64
+#: Tokens of a document that is too short to be about something.
+FILLER = 64
 
 
 def rarity(df_of: np.ndarray, n: float) -> np.ndarray:
@@ -116,13 +118,18 @@ def cell_shards(sizes: list[tuple[int, int, int]], docs: int, tokens: int, mid:
     return out, shard + (n > 0)
 
 
-def with_shards(docs: DataFrame, max_docs: int, max_tokens: int, cells: Cells | None = None) -> tuple[DataFrame, int]:
+def with_shards(docs: DataFrame, max_docs: int, max_tokens: int, cells: Cells | None = None, filler: int = FILLER) -> tuple[DataFrame, int]:
     """``docs`` (row, cell, n_tokens, ...) with a column ``shard``, and how many shards there are.
 
-    The table of cells has at most 2 ** DEPTH * BUCKETS rows whatever the corpus; it is collected and broadcast.
+    Documents of at most ``filler`` tokens are spread over all shards by a hash: they say little about anything, and
+    every shard needs some to fill its last gaps. The table of cells has at most 2 ** DEPTH * BUCKETS rows whatever
+    the corpus; it is collected and broadcast.
     """
-    sizes = [tuple(r) for r in docs.groupBy("cell").agg(F.count("*"), F.sum("n_tokens")).collect()]
-    placed, n = cell_shards(sizes, max_docs, max_tokens, cells.mid if cells else None)
+    about = F.col("n_tokens") > filler
+    sizes = [tuple(r) for r in docs.groupBy(F.when(about, F.col("cell")).otherwise(-1).alias("cell")).agg(F.count("*"), F.sum("n_tokens")).collect()]
+    placed, n = cell_shards([x for x in sizes if x[0] >= 0], max_docs, max_tokens, cells.mid if cells else None)
+    n = max(n, -(-sum(d for _, d, _ in sizes) // (2 * max_docs)))
     table = docs.sparkSession.createDataFrame(placed, "cell int, first int, parts int")
     part: Column = F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    return docs.join(F.broadcast(table), "cell").withColumn("shard", part).drop("cell", "first", "parts"), n
+    spread = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(max(1, n))).cast("int")
+    return docs.join(F.broadcast(table), "cell", "left").withColumn("shard", F.when(about, part).otherwise(spread)).drop("cell", "first", "parts"), n

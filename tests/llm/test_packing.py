@@ -135,3 +135,13 @@ def test_sketches_do_not_depend_on_the_size_of_the_vocabulary():
     w = np.arange(1.0, 9.0)
     a, b = (Sketcher(w, n).sketch(terms, counts, offsets) for n in (8, 5000))
     assert np.array_equal(a, b) and not a[1].any() and abs(np.linalg.norm(a[0]) - 1) < 1e-5
+
+
+def test_short_documents_are_spread(spark):
+    df = spark.createDataFrame([(i, 0, 5 if i % 2 else 500) for i in range(400)], "row bigint, cell int, n_tokens bigint")
+    sharded, n = with_shards(df, 50, 10**9)
+    rows = sharded.collect()
+    long, short = ([r["shard"] for r in rows if (r["n_tokens"] > 64) is want] for want in (True, False))
+    assert n == 4 and len(rows) == 400 and set(long) == set(short) == set(range(4))
+    only, m = with_shards(df.where("n_tokens < 10"), 50, 10**9)
+    assert only.count() == 200 and m == 2 and {r["shard"] for r in only.collect()} == {0, 1}
