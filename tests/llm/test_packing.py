@@ -108,7 +108,7 @@ def test_neighbours_are_in_the_shard_of_their_topic(spark, monkeypatch):
     texts = [" ".join(rng.choice(topics[i % 12], 20)) for i in range(480)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     cells = fit_cells(df, "doc_id", "text")
-    sharded, n = with_shards(measured(df, "doc_id", "text", cells=cells), 60, 10**9, cells[1])
+    sharded, n = with_shards(measured(df, "doc_id", "text", cells=cells), 60, 10**9, cells[1], filler=0)
     rows = sorted(sharded.collect(), key=lambda r: r["row"])
     assert n >= 8 and [r["row"] for r in rows] == list(range(480))
     offsets = np.cumsum([0, *(len(r["terms"]) for r in rows)])
