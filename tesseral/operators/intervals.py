@@ -46,18 +46,18 @@ def residency(changes: DataFrame, probes: DataFrame, session: str, key: str, at:
     time a load wins over a compaction. Keys are what a session ever loads; before its first load
     a key counts as resident, as nothing says otherwise.
     """
-    loads = changes.where(F.col(key).isNotNull())
+    loads = changes.where(F.col(key).isNotNull()).select(session, key, at, "reason", F.lit(1).alias("_k"))
+    evictions = changes.where(F.col(key).isNull()).select(session, at, F.lit(0).alias("_k"))
+    # The first compaction after each load: a running value in the reverse order, in which a load comes before a compaction of its time.
+    back = Window.partitionBy(session).orderBy(F.desc(at), F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    ended = loads.unionByName(evictions, allowMissingColumns=True).withColumn("_cut", F.last(F.when(F.col("_k") == 0, F.col(at)), ignorenulls=True).over(back)).where("_k = 1")
     known = loads.select(session, key).distinct()
-    both = loads.select(session, key, at, F.lit(1).alias("_k"), "reason", F.lit(None).cast("bigint").alias("probe")).unionByName(
-        known.join(changes.where(F.col(key).isNull()).select(session, at), session).select(session, key, at, F.lit(0).alias("_k"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("bigint").alias("probe"))
-    )
-    asked = known.join(probes.select(session, at, "probe"), session).select(session, key, at, F.lit(2).alias("_k"), F.lit(None).cast("string").alias("reason"), "probe")
-    w = Window.partitionBy(session, key).orderBy(at, "_k").rowsBetween(Window.unboundedPreceding, 0)
-    x = both.unionByName(asked).withColumn("_n", F.count(F.when(F.col("_k") == 1, 1)).over(w)).withColumn("_reason", F.last(F.when(F.col("_k") == 1, F.coalesce("reason", F.lit(""))), ignorenulls=True).over(w))
-    since = Window.partitionBy(session, key, "_n").orderBy(at, "_k").rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_cut", F.min(F.when(F.col("_k") == 0, F.col(at))).over(since))
-    gone = (F.col("_reason") == evictable) & F.col("_cut").isNotNull()
-    return x.where("_k = 2").select(session, "probe", key, (~F.coalesce(gone, F.lit(False))).alias("resident"), F.when(F.coalesce(gone, F.lit(False)), F.col("_cut")).alias("evicted_at"))
+    asked = known.join(probes.select(session, at, "probe"), session).withColumn("_k", F.lit(2))
+    state = F.when(F.col("_k") == 1, F.struct(F.coalesce("reason", F.lit("")).alias("reason"), F.col("_cut").alias("cut")))
+    w = Window.partitionBy(session, key).orderBy(at, "_k", "reason").rowsBetween(Window.unboundedPreceding, 0)
+    x = ended.unionByName(asked, allowMissingColumns=True).withColumn("_s", F.last(state, ignorenulls=True).over(w)).where("_k = 2")
+    gone = F.coalesce((F.col("_s.reason") == evictable) & (F.col("_s.cut") <= F.col(at)), F.lit(False))
+    return x.select(session, "probe", key, (~gone).alias("resident"), F.when(gone, F.col("_s.cut")).alias("evicted_at"))
 
 
 def insert_markers(rows: DataFrame, markers: DataFrame, session: str, order: str, at: str) -> DataFrame:

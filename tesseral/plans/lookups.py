@@ -29,6 +29,8 @@ CAP = 2000
 NO_COMMANDS = "the a an and or if see use any all rule always never must i you we it is are was were this that these those trigger yaml json md ts tsx py argparse".split()
 #: Roots a name is looked for under, in this order, after the name as it stands.
 ROOTS = ("docs", "lib", "src")
+#: Folders whose units are listed.
+FOLDERS = ("api", "config", "core", "docs", "lib", "src", "store", "tests", "util", "views", "web")
 #: What is said of a load by its reason.
 NOTES = {
     "path_glob_match": "loaded because a file it watches was touched", "session_start": "loaded at session start", "nested_traversal": "loaded while walking the directory tree",
@@ -76,6 +78,27 @@ def named_files(spark: SparkSession, root: str) -> DataFrame:
     return docs.resolve(d.unionByName(c), files, list(ROOTS)).select("source", "row_id", "ref", "path")
 
 
+def folder_units(spark: SparkSession, root: str) -> DataFrame:
+    """The units of each folder of documents: ``<name>.md``, or ``<name>/SKILL.md``."""
+    files = _docs(spark, root).where("path is not null").select("path")
+    first, *rest = (docs.units(files, f).withColumn("folder", F.lit(f)) for f in FOLDERS)
+    for x in rest:
+        first = first.unionByName(x)
+    return first.select("folder", "name", "path")
+
+
+def newest_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Of the documents of one file name the one captured last."""
+    files = _docs(spark, root).where("path is not null").select("path", F.col("captured_at").alias("modified"))
+    return docs.newest(files, r"([^/]+)$").select("key", "path")
+
+
+def check_sidecars(spark: SparkSession, root: str) -> DataFrame:
+    """The file of checks beside each document; null if there is none."""
+    d = _docs(spark, root).where("path is not null").select("path").distinct()
+    return docs.sidecars(d, d)
+
+
 def find_guides(spark: SparkSession, root: str) -> DataFrame:
     """Documents that guide: markdown, or of a guiding kind, and not below a folder to skip."""
     skip = "(^|/)(" + "|".join(s.replace(".", r"\.") for s in SKIP) + ")/"
@@ -275,7 +298,7 @@ def hook_sessions(spark: SparkSession, root: str) -> DataFrame:
 
 
 _ALL = (
-    newest_transcripts, hook_logs, at_references, named_files, find_guides, hook_payloads, read_coverage, coverage_totals, timeline_shown, nonresident_requests, listed_files, loads_in_context, load_notes, agent_rows, agent_groups, agent_details, lane_occupancy,
+    newest_transcripts, hook_logs, at_references, named_files, folder_units, newest_documents, check_sidecars, find_guides, hook_payloads, read_coverage, coverage_totals, timeline_shown, nonresident_requests, listed_files, loads_in_context, load_notes, agent_rows, agent_groups, agent_details, lane_occupancy,
     session_blocks, block_changes, block_details, file_details, compare_sessions, command_words, text_counts, event_sizes, bounded_listing, hook_sessions,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
@@ -301,6 +324,9 @@ ORACLES: dict[str, str] = {
     "named_files": _C + r""", refs AS (SELECT DISTINCT source, row_id, ref FROM (SELECT 'document' AS source, doc_id AS row_id, unnest(regexp_extract_all(text, '((?:[\w.-]+/)+[\w-]+\.\w+)', 1)) AS ref FROM documents
   UNION ALL SELECT 'command', call_row, unnest(regexp_extract_all(input->>'$.command', '((?:[\w.-]+/)+[\w-]+\.\w+)', 1)) FROM c WHERE name = 'Bash' AND json_valid(input)))
 SELECT source, row_id, ref, arg_min(t.p, t.r) AS path """ + _RESOLVED.format(keys="source, row_id") + " GROUP BY 1, 2, 3",
+    "folder_units": r"SELECT folder, name, arg_min(path, (ends_with(path, '/SKILL.md'), path)) AS path FROM (SELECT path, split_part(path, '/', 1) AS folder, regexp_extract(path, '^[^/]+/([^/]+?)(?:\.md|/SKILL\.md)$', 1) AS name FROM documents WHERE path IS NOT NULL) WHERE name <> '' AND folder IN (" + ", ".join(f"'{f}'" for f in FOLDERS) + ") GROUP BY 1, 2",
+    "newest_documents": "SELECT string_split(path, '/')[-1] AS key, arg_max(path, (captured_at, path)) AS path FROM documents WHERE path IS NOT NULL AND string_split(path, '/')[-1] <> '' GROUP BY 1",
+    "check_sidecars": r"WITH p AS (SELECT DISTINCT path FROM documents WHERE path IS NOT NULL) SELECT path, coalesce((SELECT min(path) FROM p b WHERE b.path = a.path || '.checks.json'), (SELECT min(path) FROM p b WHERE b.path = regexp_replace(a.path, '\.[^./]*$', '') || '.checks.json')) AS sidecar FROM p a",
     "find_guides": "SELECT DISTINCT path, doc_kind FROM documents WHERE path IS NOT NULL AND (ends_with(path, '.md') OR doc_kind IN ('rule', 'global', 'project', 'skill')) AND NOT regexp_matches(path, '(^|/)(\\.git|node_modules|vendor|dist|build)/')",
     "hook_payloads": r"""WITH v AS (SELECT line_id, CAST(line AS JSON) AS j FROM log_line WHERE file_id IN (SELECT file_id FROM log_file WHERE kind = 'hook') AND json_valid(line) AND json_type(line) = 'OBJECT'),
 k AS (SELECT *, CASE WHEN coalesce(json_type(j, '$.tool_response'), 'NULL') <> 'NULL' THEN 'tool_response' WHEN coalesce(json_type(j, '$.tool_result'), 'NULL') <> 'NULL' THEN 'tool_result' WHEN coalesce(json_type(j, '$.response'), 'NULL') <> 'NULL' THEN 'response' END AS response_key FROM v),

@@ -36,36 +36,6 @@ def resolve_prefix(keys: DataFrame, column: str, prefix: str) -> str:
     return hit[0]
 
 
-def query(spark: SparkSession, root: str, address: str) -> DataFrame:
-    """Lines that answer an address: ``sessions``, or ``<session prefix> [turn-N] [turns|agents|files]``.
-
-    The one session addressed is resolved first and pushed down as a filter on its key, so nothing
-    else of the tables is worked on.
-    """
-    parts = address.split()
-    if parts[:1] == ["sessions"]:
-        return session_lines(spark, root)
-    if not parts:
-        raise QueryError("empty address; list sessions with: sessions")
-    sid = resolve_prefix(table(spark, root, "transcript_event"), "session_key", parts[0])
-    mine = F.col("session_key") == sid
-    turn = next((int(p[5:]) for p in parts[1:] if p.startswith("turn-") and p[5:].isdigit()), None)
-    what = parts[-1] if len(parts) > 1 and not parts[-1].startswith("turn-") else "turn" if turn is not None else "session"
-    if what == "session":
-        return session_summary(spark, root).where(mine)
-    if what in ("turn", "turns"):
-        t = turn_usage_totals(spark, root).where(mine)
-        out = t if turn is None else t.where(F.col("turn_idx") == turn)
-        if turn is not None and out.limit(1).count() == 0:
-            raise QueryError(f"no turn-{turn} in {sid}; list them with: {sid[:8]} turns")
-        return out
-    if what == "agents":
-        return spawns(spark, root).where(mine)
-    if what == "files":
-        return calls(spark, root).where(mine).select("name", F.get_json_object("input", "$.file_path").alias("path")).where("path is not null").groupBy("path").agg(F.count("*").alias("calls"))
-    raise QueryError(f"unknown part {what!r}; use turns, agents or files")
-
-
 def session_lines(spark: SparkSession, root: str) -> DataFrame:
     """A line a session as a listing shows it."""
     s = session_summary(spark, root)

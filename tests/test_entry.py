@@ -10,7 +10,6 @@ import pytest
 
 import __spark_entry__ as entry
 from tesseral.plans import catalogue
-from tesseral.plans.reports import QueryError, query
 
 
 def norm(v):
@@ -41,12 +40,3 @@ def test_against_sql(spark, root, con, name):
     got = Counter(tuple(norm(x) for x in r) for r in df.select(*cols).collect())
     cur = con.execute(f"select {', '.join(cols)} from ({catalogue.ORACLES[name]})")
     assert got == Counter(tuple(norm(x) for x in r) for r in cur.fetchall())
-
-
-def test_addresses(spark, root):
-    key = spark.read.parquet(f"{root}/transcript_event.parquet").selectExpr("min(session_key)").collect()[0][0]
-    assert query(spark, root, key).count() == 1
-    assert query(spark, root, f"{key[:12]} turns").where(f"session_key <> '{key}'").count() == 0
-    for bad in ("", "zzzz", f"{key} turn-9999", f"{key} nonsense"):
-        with pytest.raises(QueryError):
-            query(spark, root, bad)
