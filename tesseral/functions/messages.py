@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tesseral.functions.text import is_blank, strip
+from tesseral.functions.text import SPACE, is_blank, strip
 from tesseral.functions.variant import items_at, text_at
 
 # The tags and markers that agent sessions write into user texts.
@@ -14,7 +14,7 @@ CAVEAT = "<local-command-caveat>"
 NOTIFICATION = "<task-notification>"
 NAME_TAG = r"(?s)<command-name>(.*?)</command-name>"
 ARGS_TAG = r"(?s)<command-args>(.*?)</command-args>"
-INTERRUPTED = r"^\[Request interrupted by user[^\]]*\]$"
+INTERRUPTED = rf"\[Request interrupted by user[^\]]*\]{SPACE}*\z"
 #: Tools that start a subagent.
 AGENT_TOOLS = ("Agent", "Task", "Workflow")
 NOTIFICATION_FIELDS = ("task-id", "tool-use-id", "status", "summary", "result", "subagent_tokens", "tool_uses", "duration_ms")
@@ -46,7 +46,7 @@ def user_text(message: Column, parts: Column) -> Column:
 
 
 def is_stdout(text: Column) -> Column:
-    return F.coalesce(strip(text).startswith(STDOUT), F.lit(False))
+    return F.coalesce(text.rlike(f"^{SPACE}*{STDOUT}"), F.lit(False))
 
 
 def prompt_text(kind: Column, is_meta: Column, text: Column, output_next: Column) -> Column:
@@ -55,12 +55,12 @@ def prompt_text(kind: Column, is_meta: Column, text: Column, output_next: Column
     ``output_next`` says whether the next event of the file is a command's output. A command wrapper
     is the prompt ``name args``, unless its output follows, in which case it ran locally.
     """
+    # Expressions over whole texts are asked only where a plain search has found their tag.
     name, args = F.regexp_extract(text, NAME_TAG, 1), F.regexp_extract(text, ARGS_TAG, 1)
-    wrapped = name != ""
-    flat = strip(text)
+    wrapped = F.when(text.contains("<command-name>"), name != "").otherwise(False)
     none = (
         (kind != "user") | kind.isNull() | F.coalesce(is_meta, F.lit(False)) | text.isNull() | is_stdout(text) | (wrapped & output_next)
-        | flat.startswith(CAVEAT) | flat.startswith(NOTIFICATION) | (flat == "") | flat.rlike(INTERRUPTED)
+        | text.rlike(f"^{SPACE}*(?:{CAVEAT}|{NOTIFICATION}|{INTERRUPTED}|\\z)")
     )
     return F.when(~none, F.when(wrapped, strip(F.concat_ws(" ", strip(name), strip(args)))).otherwise(text))
 

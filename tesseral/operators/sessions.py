@@ -96,17 +96,25 @@ def split_turns(ev: DataFrame, compactions: DataFrame | None = None, session: st
         rows = rows.join(hits, [session, order], "left")
     else:
         rows = rows.withColumn("_hit", F.lit(None).cast("boolean"))
-    asked = F.col("prompt").isNotNull()
-    said = F.when(asked, F.struct(F.col(order).alias("at"), "prompt"))
-    # One row a block: what its session begins with, and the last prompt before it.
-    whole = Window.partitionBy(session)
-    blocks = rows.groupBy(session, "_b").agg(F.min(order).alias("_lo"), F.min(said).alias("_p"), F.max(said).alias("_q")).select(
-        session, "_b", F.min("_lo").over(whole).alias("_from"), F.min("_p").over(whole).alias("_any"), F.max("_q").over(earlier([session])).alias("_prior")
+    asked, hit = F.col("prompt").isNotNull(), F.coalesce(F.col("_hit"), F.lit(False))
+    said = F.when(asked, F.struct(F.col(order).alias("at"), "prompt", hit.alias("hit")))
+    # One row a block: what its session begins with, the last prompt before it, and how many turns began before it. A turn begins
+    # with the session, with each prompt but the session's first, and with each hit, so the two special rows are set right.
+    marked = F.struct(F.col(order).alias("at"), (asked | hit).alias("counts"))
+    whole, prior = Window.partitionBy(session), earlier([session])
+    ends = rows.groupBy(session, "_b").agg(F.min(marked).alias("_f"), F.count_if(asked | hit).alias("_n"), F.min(said).alias("_p"), F.max(said).alias("_q"))
+    ends = ends.withColumns({"_from": F.min("_f").over(whole), "_any": F.min("_p").over(whole)})
+    of_first = F.when((F.col("_f.at") == F.col("_from.at")) & ~F.col("_from.counts"), 1).otherwise(0)
+    of_prompt = F.when((F.col("_p.at") == F.col("_any.at")) & (F.col("_any.at") != F.col("_from.at")) & ~F.col("_any.hit"), 1).otherwise(0)
+    blocks = ends.withColumn("_n", F.col("_n") + of_first - F.coalesce(of_prompt, F.lit(0))).select(
+        session, "_b", F.col("_from.at").alias("_from"), "_any", F.max("_q").over(prior).alias("_prior"), F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_before")
     )
+    x = _carried(rows, blocks, [session])
     first = F.col(order) == F.col("_from")
-    carved = F.coalesce(F.col("_hit"), F.lit(False)) & ~first
-    x = _carried(rows, blocks, [session]).withColumn("after_compaction", carved).withColumn("_begin", first | (asked & (F.col(order) != F.col("_any.at"))) | carved).drop("_b")
-    inside = Window.partitionBy(session, block_of(order)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("turn_prompt", F.coalesce(F.last("prompt", ignorenulls=True).over(inside), F.col("_prior.prompt"), F.col("_any.prompt")))
-    n = running_sum(x, [session], [order], F.when(F.col("_begin"), 1).otherwise(0), "_n")
-    return n.withColumn("turn_idx", F.when(F.col("_any").isNotNull(), F.col("_n") - 1).cast("bigint")).drop("_from", "_any", "_prior", "_begin", "_hit", "_n")
+    x = x.withColumn("after_compaction", hit & ~first).withColumn("_begin", first | (asked & (F.col(order) != F.col("_any.at"))) | hit)
+    inside = Window.partitionBy(session, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({
+        "turn_prompt": F.coalesce(F.last("prompt", ignorenulls=True).over(inside), F.col("_prior.prompt"), F.col("_any.prompt")),
+        "_n": F.sum(F.when(F.col("_begin"), 1).otherwise(0)).over(inside),
+    })
+    return x.withColumn("turn_idx", F.when(F.col("_any").isNotNull(), F.col("_before") + F.col("_n") - 1).cast("bigint")).drop("_b", "_from", "_any", "_prior", "_before", "_begin", "_hit", "_n")
