@@ -24,7 +24,7 @@ FIELDS = {
     "session": ("id", "events", "user_messages", "assistant_messages", "tool_calls", "duration_sec", "git_branch", "cwd", "version"),
     "turn": ("prompt", "events", "calls"),
     "block": ("title", "path", "start_line", "end_line", "chars", "content"),
-    "file": ("path", "reads", "edits", "loads", "group"),
+    "file": ("path", "reads", "edits", "loads", "use"),
     "agent": ("agent_type", "description", "label", "status", "tokens", "took", "reports"),
 }
 
@@ -117,7 +117,7 @@ def ask(spark: SparkSession, root: str, address: str) -> DataFrame:
         return bound_rows(_numbered(b, [F.coalesce("path", F.lit("")), "doc_id", "block_idx"], F.concat_ws("  ", "id", _text("path"), "title")), f"{full} --all", show_all)
     if what == "files":
         f = lookups.file_details(spark, root).where(mine)
-        return bound_rows(_numbered(f, ["group", "path"], F.concat_ws("  ", fmt.file_slug(F.col("path")), F.concat(F.lit("["), "group", F.lit("]")), "path", F.format_string("%d reads, %d edits", "reads", "edits"))), f"{full} --all", show_all)
+        return bound_rows(_numbered(f, ["use", "path"], F.concat_ws("  ", fmt.file_slug(F.col("path")), F.concat(F.lit("["), "use", F.lit("]")), "path", F.format_string("%d reads, %d edits", "reads", "edits"))), f"{full} --all", show_all)
     if what == "agents":
         a = lookups.agent_details(spark, root).where(mine)
         return bound_rows(_numbered(a, ["spawn"], F.concat_ws("  ", F.concat(F.lit("agent-"), "spawn"), "agent_type", "label", "tokens", "took")), f"{full} --all", show_all)

@@ -147,7 +147,7 @@ def coverage_totals(spark: SparkSession, root: str) -> DataFrame:
 
 def timeline_shown(spark: SparkSession, root: str) -> DataFrame:
     """The timeline as it opens: without results."""
-    return timeline_rows(spark, root).where("kind <> 'tool-result'").groupBy("session_key", "kind").agg(F.count("*").alias("rows"), F.min("place").alias("first_place"))
+    return timeline_rows(spark, root).where("kind <> 'tool-result'").groupBy("session_key", "kind").agg(F.count("*").alias("n_rows"), F.min("place").alias("first_place"))
 
 
 def nonresident_requests(spark: SparkSession, root: str) -> DataFrame:
@@ -185,8 +185,8 @@ def agent_rows(spark: SparkSession, root: str) -> DataFrame:
     t = tr.prompts(events(spark, root)).where("prompt is not null").select("session_key", F.col("event_idx").alias("place"), F.lit(0).alias("k"), F.lit("turn").alias("kind"), F.col("event_idx").cast("string").alias("ref"))
     back = steps.where("kind = 'return'").select("session_key", "ref", F.lit(True).alias("back"))
     w = Window.partitionBy("session_key").orderBy("place", "k", "ref")
-    x = t.unionByName(steps).withColumn("row", (F.row_number().over(w) - 1).cast("bigint")).join(back, ["session_key", "ref"], "left")
-    return x.select("session_key", "row", "kind", "ref", ((F.col("kind") == "spawn") & F.col("back").isNull()).alias("dangling"))
+    x = t.unionByName(steps).withColumn("step", (F.row_number().over(w) - 1).cast("bigint")).join(back, ["session_key", "ref"], "left")
+    return x.select("session_key", "step", "kind", "ref", ((F.col("kind") == "spawn") & F.col("back").isNull()).alias("dangling"))
 
 
 def agent_groups(spark: SparkSession, root: str) -> DataFrame:
@@ -241,7 +241,7 @@ def file_details(spark: SparkSession, root: str) -> DataFrame:
     c = calls(spark, root).where("name in ('Read', 'Edit', 'Write', 'MultiEdit')").select("session_key", j.alias("path"), (F.col("name") == "Read").cast("int").alias("r"), (F.col("name") != "Read").cast("int").alias("e"), F.lit(0).alias("l"))
     h = _hooks(spark, root).where("event = 'InstructionsLoaded' and session_id is not null").select(F.col("session_id").alias("session_key"), "path", F.lit(0).alias("r"), F.lit(0).alias("e"), F.lit(1).alias("l"))
     g = c.unionByName(h).where("path is not null").groupBy("session_key", F.expr("path").alias("path")).agg(F.sum("r").alias("reads"), F.sum("e").alias("edits"), F.sum("l").alias("loads"))
-    return g.withColumn("group", F.when(F.col("edits") > 0, "active").otherwise("quiet")).withColumn("loaded", F.col("loads") > 0)
+    return g.withColumn("use", F.when(F.col("edits") > 0, "active").otherwise("quiet")).withColumn("loaded", F.col("loads") > 0)
 
 
 def compare_sessions(spark: SparkSession, root: str) -> DataFrame:
@@ -335,7 +335,7 @@ SELECT line_id, j->>'$.hook_event_name' AS event, j->>'$.session_id' AS session_
   CASE WHEN t = 'VARCHAR' THEN length(json_extract_string(j, '$.' || response_key)) END AS text_chars FROM s""",
     "read_coverage": _COVER + f" SELECT call_row, kind, CASE kind WHEN 'partial_by_request' THEN 'lines ' || coalesce(o, 1) || '-' || coalesce(CAST(coalesce(o, 1) + l - 1 AS VARCHAR), '?') || ' of ' || coalesce(CAST(total AS VARCHAR), '?') WHEN 'likely_truncated' THEN 'lines 1-{CAP} of ' || total WHEN 'reported_partial' THEN 'reported as a partial view' ELSE coalesce('full (' || total || ' lines)', 'full') END AS label FROM ck",
     "coverage_totals": _COVER + " SELECT session_key, kind, count(*) AS reads FROM ck GROUP BY 1, 2",
-    "agent_rows": TURNS + _AG + _FAN + " SELECT session_key, n - 1 AS row, kind, ref, kind = 'spawn' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.session_key = n.session_key AND b.kind = 'return' AND b.ref = n.ref) AS dangling FROM n",
+    "agent_rows": TURNS + _AG + _FAN + " SELECT session_key, n - 1 AS step, kind, ref, kind = 'spawn' AND NOT EXISTS (SELECT 1 FROM n b WHERE b.session_key = n.session_key AND b.kind = 'return' AND b.ref = n.ref) AS dangling FROM n",
     "agent_details": _AGENTS + f""", sd AS (SELECT session_key, id AS spawn, arg_min(coalesce(input->>'$.subagent_type', '-'), event_idx) AS agent_type, arg_min(coalesce(input->>'$.description', '-'), event_idx) AS description FROM c WHERE name IN ('Agent', 'Task', 'Workflow') AND id IS NOT NULL GROUP BY 1, 2),
 ls AS (SELECT session_key, tool_use_id AS spawn, arg_max({{'status': status, 't': subagent_tokens, 's': CAST(round(duration_ms / 1000) AS BIGINT)}}, (place, return_row)) AS r, count(*) AS reports FROM pl WHERE tool_use_id IS NOT NULL GROUP BY 1, 2)
 SELECT sd.session_key, sd.spawn, agent_type, description, CASE WHEN reports IS NULL THEN 'no reply' ELSE 'returned' END AS label, coalesce(r.status, '-') AS status, coalesce(CASE WHEN r.t IS NOT NULL THEN {_SHORT('r.t')} END, '-') AS tokens, coalesce(CASE WHEN r.s IS NOT NULL THEN {_TOOK('r.s')} END, '-') AS took, coalesce(reports, 0) AS reports
@@ -354,7 +354,7 @@ FROM x FULL JOIN y ON x.pair = y.pair AND x.path = y.path AND x.title = y.title
     "block_details": _LINES + _BODY + " SELECT k.doc_id, k.block_idx, title, level, start_line, end_line, length(content) AS chars, len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) AS filled_lines, len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(ltrim(x), '^[-*+] '))) AS item_lines FROM blocks k JOIN body d ON d.doc_id = k.doc_id AND d.block_idx = k.block_idx",
     "file_details": _C + """, u AS (SELECT session_key, input->>'$.file_path' AS path, (name = 'Read')::INT AS r, (name <> 'Read')::INT AS e, 0 AS l FROM c WHERE name IN ('Read', 'Edit', 'Write', 'MultiEdit') AND json_valid(input)
   UNION ALL SELECT session_id, path, 0, 0, 1 FROM hook_record WHERE event = 'InstructionsLoaded' AND session_id IS NOT NULL), g AS (SELECT session_key, path, CAST(sum(r) AS BIGINT) AS reads, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(l) AS BIGINT) AS loads FROM u WHERE path IS NOT NULL GROUP BY 1, 2)
-SELECT *, CASE WHEN edits > 0 THEN 'active' ELSE 'quiet' END AS "group", loads > 0 AS loaded FROM g""",
+SELECT *, CASE WHEN edits > 0 THEN 'active' ELSE 'quiet' END AS use, loads > 0 AS loaded FROM g""",
     "compare_sessions": TURNS + CALLS + """, br AS (SELECT session_key, arg_min(git_branch, event_idx) FILTER (WHERE git_branch IS NOT NULL) AS git_branch FROM ev GROUP BY 1),
 p AS (SELECT * FROM (SELECT session_key, lead(session_key) OVER (PARTITION BY git_branch ORDER BY session_key) AS other FROM br WHERE git_branch IS NOT NULL) WHERE other IS NOT NULL),
 f AS (SELECT session_key, coalesce(lower(trim(regexp_replace(arg_min(prompt, event_idx) FILTER (WHERE prompt IS NOT NULL), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), '') AS task FROM pr GROUP BY 1),
@@ -363,7 +363,7 @@ u AS (SELECT session_key, sum(input + cache_read + cache_creation) AS prompt_tok
 s AS (SELECT f.session_key, task, coalesce(calls, 0) AS calls, coalesce(edited, 0) AS edited, coalesce(prompt_tokens, 0) AS prompt_tokens, coalesce(output_tokens, 0) AS output_tokens FROM f LEFT JOIN n ON n.session_key = f.session_key LEFT JOIN u ON u.session_key = f.session_key)
 SELECT p.session_key, other, a.task = b.task AS same_task, CASE WHEN a.task = b.task THEN '' ELSE 'different tasks: the differences may mislead' END AS note, b.calls - a.calls AS calls_delta, b.edited - a.edited AS edited_delta, CAST(b.prompt_tokens - a.prompt_tokens AS BIGINT) AS prompt_tokens_delta, CAST(b.output_tokens - a.output_tokens AS BIGINT) AS output_tokens_delta
 FROM p JOIN s a ON a.session_key = p.session_key JOIN s b ON b.session_key = other""",
-    "timeline_shown": f"SELECT session_key, kind, count(*) AS rows, min(place) AS first_place FROM ({flows.ORACLES['timeline_rows']}) WHERE kind <> 'tool-result' GROUP BY 1, 2",
+    "timeline_shown": f"SELECT session_key, kind, count(*) AS n_rows, min(place) AS first_place FROM ({flows.ORACLES['timeline_rows']}) WHERE kind <> 'tool-result' GROUP BY 1, 2",
     "nonresident_requests": f"SELECT r.session_key, probe AS turn_idx, key, request_id FROM ({flows.ORACLES['residency_asof']}) r JOIN ({TURNS} SELECT DISTINCT session_key, turn_idx, request_id FROM turned WHERE turn_idx IS NOT NULL AND request_id IS NOT NULL) t ON t.session_key = r.session_key AND t.turn_idx = probe WHERE NOT resident",
     "agent_groups": f"SELECT s.session_key, s.spawn, first_row, size FROM ({_AGENTS} SELECT session_key, spawn FROM fi) s LEFT JOIN (SELECT session_key, first_row, size, unnest(string_split(members, ',')) AS spawn FROM ({flows.ORACLES['fanout_groups']})) g ON g.session_key = s.session_key AND g.spawn = s.spawn",
     "lane_occupancy": flows.OCCUPANCY,
